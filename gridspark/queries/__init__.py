@@ -6,7 +6,7 @@ import importlib
 
 from gridspark.queries.registry import ORACLES, QUERIES
 
-SECTIONS = ("ingest", "scalars")
+SECTIONS = ("ingest", "scalars", "gridding", "spatial")
 
 for _section in SECTIONS:
     importlib.import_module(f"gridspark.queries.{_section}")
