@@ -129,7 +129,7 @@ def crosswalk(crops: DataFrame, maps: Sequence[tuple[str, DataFrame]], key: str
     for rank, (rule, table) in enumerate(maps):
         rows = table.select(key, "target", F.lit(rank).alias("_rank"), F.lit(rule).alias("rule"))
         ranked = rows if ranked is None else ranked.unionByName(rows)
-    listed = ranked.groupBy(key, "_rank", "rule").agg(F.array_join(F.array_sort(F.collect_set("target")), "|").alias("targets"))
+    listed = ranked.groupBy(key, "_rank", "rule").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("targets"))
     best = listed.groupBy(key).agg(F.min_by(F.struct("rule", "targets"), "_rank").alias("m")).select(key, "m.rule", "m.targets")
     joined = crops.select(key).distinct().join(best, key, "left")
     return joined.withColumn("rule", F.coalesce("rule", F.lit("unmatched")))
@@ -149,9 +149,11 @@ def codebook_join(a: DataFrame, b: DataFrame, name: str = "crop_name", code: str
     """Two code systems matched by crop name, flagging codes that mean another crop in the other system."""
     left = a.select(name, F.col(code).alias("code_a"))
     right = b.select(name, F.col(code).alias("code_b"))
-    reused = a.select(F.col(code).alias("code_a"), F.col(name).alias("_n")).join(
-        b.select(F.col(code).alias("code_a"), F.col(name).alias("_m")), "code_a"
-    ).where(F.col("_n") != F.col("_m")).select("code_a").distinct().withColumn("code_reused", F.lit(True))
+    both = a.select(name, code, F.lit(0).alias("_side")).unionByName(b.select(name, code, F.lit(1).alias("_side")))
+    meanings = both.groupBy(F.col(code).alias("code_a")).agg(
+        (F.min(name) != F.max(name)).alias("_many"), (F.min("_side") != F.max("_side")).alias("_shared")
+    )
+    reused = meanings.where("_many AND _shared").select("code_a", F.lit(True).alias("code_reused"))
     return left.join(right, name).join(reused, "code_a", "left").withColumn(
         "code_reused", F.coalesce("code_reused", F.lit(False))
     )

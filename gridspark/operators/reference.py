@@ -80,6 +80,7 @@ def stage_reduction(stages: DataFrame, zone: str, climate: str, attainable: str,
     a, b, c = F.col(climate), F.col(attainable), F.col(adjusted)
     return both.withColumns({
         "attainable_share": safe_divide(b, a),
+        "adjusted_share_of_attainable": safe_divide(c, b),
         "adjusted_share": safe_divide(c, a),
         "climate_loss_pct": safe_divide((a - b) * 100.0, a),
         "cropland_loss_pct": safe_divide((b - c) * 100.0, b),
