@@ -61,9 +61,9 @@ VIEWS = {
         CAST(s_lat AS DOUBLE) AS s_lat, CAST(n_lat AS DOUBLE) AS n_lat
         FROM (VALUES ('west', -115, -85, 25, 50), ('mid', -10, 45, 0, 35), ('east', 95, 125, 25, 45),
         ('isle', 120, 146, 30, 46)) AS t(region, w_lon, e_lon, s_lat, n_lat)""",
-    "v_score": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 5 AS fold, l_quantity / 50.0 AS x1,
-        l_discount * 10.0 AS x2, l_tax * 12.5 AS x3, l_extendedprice / 105000.0 AS x4, l_suppkey % 3 AS cls,
-        l_quantity AS w FROM {lineitem}""",
+    "v_score": """SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey % 5 AS fold, MIN(l_quantity) / 50.0 AS x1,
+        MIN(l_discount) * 10.0 AS x2, MIN(l_tax) * 12.5 AS x3, MIN(l_extendedprice) / 105000.0 AS x4,
+        MIN(l_suppkey) % 3 AS cls, MIN(l_quantity) AS w FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "v_codes": """SELECT p_partkey AS id,
         CASE WHEN p_size % 10 = 0 THEN 'n/a' WHEN p_size % 7 = 0 THEN '-9999'
              ELSE CAST(p_size AS VARCHAR(10)) END AS raw_text,

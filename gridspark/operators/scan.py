@@ -69,16 +69,18 @@ def running_sums(
     by: Sequence[str] = (),
     totals: Mapping[str, str] | None = None,
     ties: Sequence[str] = (),
+    bucket: Column | None = None,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """Inclusive running sums over ``order`` within ``by``.
 
     ``sums`` maps new column names to the summed columns, ``totals`` maps new
     names to columns summed over the whole group. Rows must be unique on
-    (by, order, ties).
+    (by, order, ties). A ``bucket`` that rises with ``order`` (a hash prefix)
+    saves looking for cuts.
     """
     totals = dict(totals or {})
-    ranged = add_range(df, order, by, split_rows)
+    ranged = add_range(df, order, by, split_rows) if bucket is None else df.withColumn(BUCKET, bucket)
     keys = [*by, BUCKET]
     per_range = ranged.groupBy(*keys).agg(
         *[F.sum(c).alias(f"_part_{name}") for name, c in {**sums, **totals}.items()]
@@ -104,7 +106,13 @@ def running_sums(
 
 
 def numbered(
-    df: DataFrame, order: str, ties: Sequence[str], by: Sequence[str] = (), name: str = "rn", total: str | None = None,
+    df: DataFrame,
+    order: str,
+    ties: Sequence[str],
+    by: Sequence[str] = (),
+    name: str = "rn",
+    total: str | None = None,
+    bucket: Column | None = None,
     split_rows: int = SPLIT_ROWS,
 ) -> DataFrame:
     """1-based row number over (order, ties) within ``by``, optionally with the group size."""
@@ -115,14 +123,41 @@ def numbered(
         by,
         totals={total: "_one"} if total else None,
         ties=ties,
+        bucket=bucket,
         split_rows=split_rows,
     ).drop("_one")
 
 
-def first_n(df: DataFrame, order: str, ties: Sequence[str], n: int, by: Sequence[str] = (), name: str = "rn",
-            split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """The first ``n`` rows of each group, numbered, for any ``n``."""
-    return numbered(df, order, ties, by, name, split_rows=split_rows).where(F.col(name) <= n)
+def first_n(
+    df: DataFrame,
+    order: str,
+    ties: Sequence[str],
+    n: Column | int,
+    by: Sequence[str] = (),
+    name: str = "rn",
+    bucket: Column | None = None,
+    split_rows: int = SPLIT_ROWS,
+) -> DataFrame:
+    """The first ``n`` rows of each group, numbered, for any ``n``.
+
+    Ranges that start beyond ``n`` are dropped before anything is sorted. A
+    ``bucket`` that rises with ``order`` (a hash prefix) saves looking for cuts.
+    """
+    limit = n if isinstance(n, Column) else F.lit(n)
+    ranged = add_range(df, order, by, split_rows) if bucket is None else df.withColumn(BUCKET, bucket)
+    keys = [*by, BUCKET]
+    counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.select(*keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")).where(
+        F.col("_before") < limit
+    )
+    inside = Window.partitionBy(*keys).orderBy(order, *ties)
+    return (
+        ranged.join(needed, keys)
+        .withColumn(name, F.row_number().over(inside) + F.col("_before"))
+        .where(F.col(name) <= limit)
+        .select(*df.columns, name)
+    )
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",

@@ -6,7 +6,7 @@ import importlib
 
 from gridspark.queries.registry import ORACLES, QUERIES
 
-SECTIONS = ("ingest", "scalars", "gridding", "spatial", "joining", "aggregates", "ranking")
+SECTIONS = ("ingest", "scalars", "gridding", "spatial", "joining", "aggregates", "ranking", "sampling", "attributing")
 
 for _section in SECTIONS:
     importlib.import_module(f"gridspark.queries.{_section}")

@@ -134,9 +134,9 @@ def _(v):
     return a.unionByName(b).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"))
 
 
-@query("dedupe", duck("v_oof") + f"SELECT {RC}, id, {r6('y')} FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY id) AS k FROM v_oof) WHERE k = 1")
+@query("dedupe", duck("v_oof") + f"SELECT {RC}, id, {r6('y')} FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY id, y) AS k FROM v_oof) WHERE k = 1")
 def _(v):
-    return K.dedupe(v.oof.select("r", "c", "id", "y"), ["r", "c"], ["id"])
+    return K.dedupe(v.oof.select("r", "c", "id", "y"), ["r", "c"], ["id", "y"])
 
 
 @query("wide_to_long", duck("v_cells") + f"SELECT {RC}, 'frac' AS feature, {r6('frac', 'x')} FROM v_cells UNION ALL SELECT {RC}, 'pop', {r6('pop', 'x')} FROM v_cells")
