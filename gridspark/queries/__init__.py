@@ -6,7 +6,9 @@ import importlib
 
 from gridspark.queries.registry import ORACLES, QUERIES
 
-SECTIONS = ("ingest", "scalars", "gridding", "spatial", "joining", "aggregates", "ranking", "sampling", "attributing")
+SECTIONS = (
+    "ingest", "scalars", "gridding", "spatial", "joining", "aggregates", "ranking", "sampling", "attributing", "comparing", "modelling",
+)
 
 for _section in SECTIONS:
     importlib.import_module(f"gridspark.queries.{_section}")
