@@ -113,7 +113,7 @@ def _(v):
 
 
 @query("corr_pvalue", duck("v_cells") + f""", k AS (SELECT soil % 4 AS grp, count(*) AS n, corr(frac, pot_rain) AS r FROM v_cells GROUP BY 1)
-    SELECT {big('grp')}, n, {r6('r')}, {r6('r * sqrt((n - 2) / (1 - r * r))', 't')} FROM k""")
+    SELECT {big('grp')}, n, {r6('r')}, {r6('CASE WHEN n > 2 AND abs(r) < 1 THEN r * sqrt((n - 2) / (1 - r * r)) END', 't')} FROM k""")
 def _(v):
     k = v.cells.groupBy((F.col("soil") % 4).alias("grp")).agg(rows().alias("n"), F.corr("frac", "pot_rain").alias("r"))
     return k.withColumn("t", M.corr_t(F.col("r"), F.col("n")))

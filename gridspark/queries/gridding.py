@@ -154,10 +154,10 @@ def _(v):
     return T.year_range_mean(v.cube, 1994, 1996)
 
 
-@query("recent_window", duck("v_prices") + f"""SELECT {big('yr')}, count(*) AS n, {r6('sum(val)', 'total')} FROM v_prices
+@query("recent_window", duck("v_prices") + f"""SELECT {big('yr')}, count(*) AS n, {r6('avg(val)', 'mean')} FROM v_prices
     WHERE yr > (SELECT max(yr) FROM v_prices) - 5 GROUP BY yr""")
 def _(v):
-    return T.recent_window(v.prices).groupBy("yr").agg(F.count(F.lit(1)).alias("n"), F.sum("val").alias("total"))
+    return T.recent_window(v.prices).groupBy("yr").agg(F.count(F.lit(1)).alias("n"), F.avg("val").alias("mean"))
 
 
 @query("period_label", duck("v_cube") + f"""SELECT {big('r')}, CASE WHEN min(yr) = max(yr) THEN CAST(min(yr) AS VARCHAR)
