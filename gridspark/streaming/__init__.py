@@ -1 +1 @@
-
+"""No operator of this domain is a stream; every pipeline is a batch."""
