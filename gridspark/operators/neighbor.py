@@ -280,7 +280,7 @@ def morans_i(points: DataFrame, value: str, k: int = 8, key: str = "id", lat: st
     other = values.select(*by, F.col(key).alias("neighbour"), F.col("_v").alias("_u"))
     pairs = neighbours.join(values, [*by, key]).join(other, [*by, "neighbour"])
     if by:
-        centred = pairs.join(F.broadcast(stats.select(*by, "mean")), list(by))
+        centred = pairs.join(stats.select(*by, "mean"), list(by))
     else:
         centred = pairs.withColumn("mean", stats.select("mean").scalar())
     cross = centred.groupBy(*by).agg(F.sum((F.col("_v") - F.col("mean")) * (F.col("_u") - F.col("mean"))).alias("cross"))

@@ -29,6 +29,7 @@ def add_range(
 ) -> DataFrame:
     """Add an integer ``_range`` that rises with ``order`` and splits large groups.
 
+    The table comes back unchanged when no group is larger than ``split_rows``.
     The cut points are read once, as numbers, so that every later use of the
     column agrees even if tasks are run again. At most ``MAX_SPLIT_GROUPS``
     groups are split: the largest ones.
@@ -36,7 +37,7 @@ def add_range(
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
     large = sizes.where(F.col("_rows") > split_rows).orderBy(F.desc("_rows")).limit(MAX_SPLIT_GROUPS).collect()
     if not large:
-        return df.withColumn(BUCKET, F.lit(0))
+        return df
     spark = df.sparkSession
     probs = [i / n_ranges for i in range(1, n_ranges)]
     if not by:
@@ -45,19 +46,24 @@ def add_range(
     key_schema = sizes.select(*by).schema
     hot = spark.createDataFrame([tuple(row[k] for k in by) for row in large], key_schema)
     measured = (
-        df.join(F.broadcast(hot), list(by), "left_semi")
+        _join_groups(df, hot, by, "left_semi")
         .groupBy(*by)
         .agg(F.percentile_approx(order, probs, 2000).alias("_cuts"))
     )
     table = spark.createDataFrame(measured.collect(), measured.schema)
     position = _position(F.col(order), [F.get("_cuts", F.lit(i)) for i in range(n_ranges - 1)])
-    return (
-        df.join(F.broadcast(table), list(by), "left")
-        .withColumn(BUCKET, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(position))
-        .drop("_cuts")
+    return _join_groups(df, table, by, "left").select(
+        *df.columns, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(position).alias(BUCKET)
     )
 
 
+def _join_groups(df: DataFrame, table: DataFrame, by: Sequence[str], how: str) -> DataFrame:
+    """Join a table of at most ``MAX_SPLIT_GROUPS`` rows by group; <=> also matches a NULL group."""
+    keyed = table.withColumnsRenamed({k: f"_key_{k}" for k in by})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in by])
+    return df.join(F.broadcast(keyed), same, how)
+
+
 def _position(value: Column, cuts: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, [(value > cut).cast("int") for cut in cuts])
 
@@ -81,6 +87,12 @@ def running_sums(
     """
     totals = dict(totals or {})
     ranged = add_range(df, order, by, split_rows) if bucket is None else df.withColumn(BUCKET, bucket)
+    if ranged is df:
+        whole = Window.partitionBy(*by)
+        upto = whole.orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(
+            "*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()], *[F.sum(c).over(whole).alias(n) for n, c in totals.items()]
+        )
     keys = [*by, BUCKET]
     per_range = ranged.groupBy(*keys).agg(
         *[F.sum(c).alias(f"_part_{name}") for name, c in {**sums, **totals}.items()]
@@ -145,6 +157,9 @@ def first_n(
     """
     limit = n if isinstance(n, Column) else F.lit(n)
     ranged = add_range(df, order, by, split_rows) if bucket is None else df.withColumn(BUCKET, bucket)
+    if ranged is df:
+        whole = Window.partitionBy(*by).orderBy(order, *ties)
+        return df.withColumn(name, F.row_number().over(whole).cast("long")).where(F.col(name) <= limit)
     keys = [*by, BUCKET]
     counts = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
@@ -152,8 +167,10 @@ def first_n(
         F.col("_before") < limit
     )
     inside = Window.partitionBy(*keys).orderBy(order, *ties)
+    keyed = needed.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
     return (
-        ranged.join(needed, keys)
+        ranged.join(keyed, same)
         .withColumn(name, F.row_number().over(inside) + F.col("_before"))
         .where(F.col(name) <= limit)
         .select(*df.columns, name)

@@ -240,8 +240,8 @@ def permutation_importance(df: DataFrame, key: str, groups: Mapping[str, Sequenc
 
     se = F.col(w) * (F.col(y) - F.col("score")) * (F.col(y) - F.col("score"))
     valid = df.where(F.col(w) > 0)
-    base = with_score(valid).agg(F.sum(se).alias("sse"), F.sum(w).alias("sw"))
-    sse, sw = base.select("sse").scalar(), base.select("sw").scalar()
+    base = with_score(valid).agg(F.sum(se).alias("sse"), F.sum(w).alias("sw")).first()
+    sse, sw = F.lit(base["sse"]), F.lit(base["sw"])
     runs = with_score(permuted_rows(valid, key, groups, fold, reps, [y, w], seed)).groupBy("feature_group", "rep").agg(F.sum(se).alias("_sse"))
     delta = (F.col("_sse") - sse) / sw
     return runs.withColumn("_d", delta).groupBy("feature_group").agg(

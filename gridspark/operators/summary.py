@@ -46,8 +46,8 @@ def variable_summary(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 def histogram(df: DataFrame, x: str, bins: int = 55, trim: float = 0.005) -> DataFrame:
     """Counts and shares in equal bins over the trimmed range; the last bin is closed on the right."""
-    limits = exact_quantiles(df, x, {"low": trim, "high": 1.0 - trim})
-    low, high = (limits.select(c).scalar() for c in ("low", "high"))
+    limits = exact_quantiles(df, x, {"low": trim, "high": 1.0 - trim}).first()
+    low, high = F.lit(limits["low"]), F.lit(limits["high"])
     value = F.col(x)
     inside = df.where(value.between(low, high))
     width = (high - low) / F.lit(float(bins))

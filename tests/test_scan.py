@@ -61,10 +61,13 @@ def test_first_n_beyond_one_range(table, split):
     assert set(got.id) == set(want.id)
 
 
-def test_null_group_is_kept(spark):
-    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
-    got = {r.g: r.m for r in scan.exact_quantiles(df, "x", {"m": 0.5}, ["g"]).collect()}
-    assert got == {None: 2.0, "a": 5.0}
+@pytest.mark.parametrize("split", [2, 10**9])
+def test_null_group_is_kept(spark, split):
+    df = spark.createDataFrame([(None, float(i)) for i in range(9)] + [("a", 5.0)], "g string, x double")
+    got = {r.g: r.m for r in scan.exact_quantiles(df, "x", {"m": 0.5}, ["g"], split_rows=split).collect()}
+    assert got == {None: 4.0, "a": 5.0}
+    first = scan.first_n(df, "x", [], 4, ["g"], split_rows=split)
+    assert sorted(r.x for r in first.where("g IS NULL").collect()) == [0.0, 1.0, 2.0, 3.0]
 
 
 def test_average_ranks(table):
