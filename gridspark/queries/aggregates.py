@@ -27,9 +27,9 @@ def _(v):
     return P.price_summary(v.prices)
 
 
-@query("calorie_summary", duck("v_fbs") + f""", x AS (SELECT * FROM v_fbs WHERE area = 'World'),
-    w AS (SELECT item, yr, avg(val) FILTER (WHERE element LIKE '%quantity%') AS q, avg(val) FILTER (WHERE element LIKE '%kcal%') AS e FROM x
-      WHERE yr > (SELECT max(yr) FROM x) - 5 GROUP BY item, yr),
+@query("calorie_summary", duck("v_fbs") + f""", x AS (SELECT * FROM v_fbs WHERE area = 'World' OR NOT EXISTS (SELECT 1 FROM v_fbs WHERE area = 'World')),
+    w AS (SELECT area, item, yr, avg(val) FILTER (WHERE element LIKE '%quantity%') AS q, avg(val) FILTER (WHERE element LIKE '%kcal%') AS e FROM x
+      WHERE yr > (SELECT max(yr) FROM x) - 5 GROUP BY area, item, yr),
     k AS (SELECT item, yr, e * 365.0 / q AS kcal FROM w WHERE q > 0)
     SELECT item, {r6('avg(kcal)', 'kcal_mean')}, {r6('median(kcal)', 'kcal_median')}, count(*) AS observations, {big('min(yr)', 'min_year')},
     {big('max(yr)', 'max_year')} FROM k WHERE kcal > 0 AND kcal < 10000 GROUP BY item""")
