@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from gridspark.functions.scalar import clip, is_finite
 from gridspark.operators.scan import average_ranks, exact_quantiles, running_sums
 
+# Share of the raw sum of squares below which a spread is only rounding.
+NO_SPREAD = 1e-12
+
 
 def regression_sums(y: str, p: str, w: str | None = None) -> dict[str, Column]:
     """Additive statistics; partial results may be summed over any partitioning."""
@@ -32,7 +35,7 @@ def from_sums(prefix: Sequence[str] = ()) -> list[Column]:
         (c("sy") / c("sw")).alias("observed_mean"), (c("sp") / c("sw")).alias("predicted_mean"),
         (c("se") / c("sw")).alias("bias_predicted_minus_observed"), (-c("se") / c("sw")).alias("bias_observed_minus_predicted"),
         F.sqrt(c("see") / c("sw")).alias("rmse"), (c("sae") / c("sw")).alias("mae"),
-        F.when(spread > 0, F.lit(1.0) - c("see") / spread).alias("r2"),
+        F.when(spread > F.lit(NO_SPREAD) * c("syy"), F.lit(1.0) - c("see") / spread).alias("r2"),
     ]
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.grid import EARTH_RADIUS_KM, GridSpec, haversine_km
-from gridspark.functions.scalar import is_finite, safe_divide
+from gridspark.functions.scalar import clip, is_finite, safe_divide
 from gridspark.operators.scan import exact_quantiles
 from gridspark.session import cut_lineage
 
@@ -98,7 +98,7 @@ def neighbourhood_share(num: DataFrame, den: DataFrame, spec: GridSpec, radius_k
     b = box_sum_km(den, spec, radius_km, value).withColumnRenamed("total", "den")
     ratio = F.when(F.col("den") >= min_den, safe_divide(F.col("num"), F.col("den")))
     return a.join(b, ["r", "c"]).select(
-        "r", "c", ratio.alias("share_raw"), F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0)).alias("share"),
+        "r", "c", ratio.alias("share_raw"), clip(ratio).alias("share"),
         (F.coalesce(ratio, F.lit(0.0)) > 1.0).alias("above_one"),
     )
 

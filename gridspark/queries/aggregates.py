@@ -233,10 +233,11 @@ def _(v):
 
 def metric_sql(p: str = "p", w: str = "1.0") -> str:
     """The metric columns by their textbook definitions."""
+    spread = f"(sum({w} * y * y) - sum({w} * y) * sum({w} * y) / sum({w}))"
     return f"""count(*) AS n_cells, {r6(f'sum({w} * y) / sum({w})', 'observed_mean')}, {r6(f'sum({w} * {p}) / sum({w})', 'predicted_mean')},
     {r6(f'sum({w} * ({p} - y)) / sum({w})', 'bias_predicted_minus_observed')}, {r6(f'sum({w} * (y - {p})) / sum({w})', 'bias_observed_minus_predicted')},
     {r6(f'sqrt(sum({w} * ({p} - y) * ({p} - y)) / sum({w}))', 'rmse')}, {r6(f'sum({w} * abs({p} - y)) / sum({w})', 'mae')},
-    {r6(f'1 - sum({w} * ({p} - y) * ({p} - y)) / (sum({w} * y * y) - sum({w} * y) * sum({w} * y) / sum({w}))', 'r2')}"""
+    {r6(f'CASE WHEN {spread} > 1e-12 * sum({w} * y * y) THEN 1 - sum({w} * ({p} - y) * ({p} - y)) / ({spread}) END', 'r2')}"""
 
 
 @query("regression_metrics", duck("v_oof") + f"SELECT {metric_sql('p_cand', 'w')}, {r6('quantile_cont(abs(p_cand - y), 0.95)', 'absolute_error_p95')} FROM v_oof")
@@ -248,7 +249,7 @@ LONG = ", l AS (SELECT id, block, cls, lat, lon, y, w, 'base' AS model, p_base A
 MODELS = {"base": "p_base", "cand": "p_cand"}
 
 
-@query("metrics_by_group", duck("v_oof") + LONG + f"SELECT model, {big('block')}, {metric_sql()} FROM l GROUP BY model, block HAVING sum(y * y) - sum(y) * sum(y) / count(*) > 1e-9")
+@query("metrics_by_group", duck("v_oof") + LONG + f"SELECT model, {big('block')}, {metric_sql()} FROM l GROUP BY model, block HAVING sum(y * y) - sum(y) * sum(y) / count(*) > 1e-12 * sum(y * y)")
 def _(v):
     long = M.models_long(v.oof, MODELS, ["block", "y"])
     return M.regression_metrics(long, "y", "p", by=["model", "block"]).where("r2 IS NOT NULL")
