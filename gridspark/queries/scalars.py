@@ -169,13 +169,13 @@ def _(v):
     return features.groupBy("feature", X.feature_group(F.col("feature")).alias("feature_group")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("parse_filename", """WITH f AS (SELECT p_partkey, 'spam_V2r0_global_A_' || 'CR' || p_size || CASE p_partkey % 3 WHEN 0 THEN '_A'
+@query("parse_filename", """WITH f AS (SELECT p_partkey, 'global_area_A_' || 'CR' || p_size || CASE p_partkey % 3 WHEN 0 THEN '_A'
     WHEN 1 THEN '_I' ELSE '_R' END || '.tif' AS path FROM part)
     SELECT p_partkey, regexp_extract(path, '_A_([A-Z0-9]+)_([AIR])\\b', 1) AS crop,
     regexp_extract(path, '_A_([A-Z0-9]+)_([AIR])\\b', 2) AS production_system FROM f""")
 def _(v):
     suffix = F.expr("CASE p_partkey % 3 WHEN 0 THEN '_A' WHEN 1 THEN '_I' ELSE '_R' END")
-    path = F.concat(F.lit("spam_V2r0_global_A_CR"), F.col("p_size").cast("string"), suffix, F.lit(".tif"))
+    path = F.concat(F.lit("global_area_A_CR"), F.col("p_size").cast("string"), suffix, F.lit(".tif"))
     crop, system = X.parse_filename(path)
     return v.table("part").select("p_partkey", crop.alias("crop"), system.alias("production_system"))
 
