@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -16,6 +19,20 @@ MASK = 0xFFFFFFFFFFFFFFFF
 _LOCAL: dict[str, str] = {}
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors where their Python would not find it by itself, as ``--py-files`` does."""
+    root = Path(__file__).resolve().parents[2]
+    seen = {os.path.realpath(p) for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)) if p}
+    if str(root) in seen or spark.sparkContext.applicationId in _LOCAL:
+        return
+    name = f"{tempfile.mkdtemp(prefix='gridspark-code-')}/gridspark.zip"
+    with zipfile.ZipFile(name, "w") as archive:
+        for file in sorted((root / "gridspark").rglob("*.py")):
+            archive.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(name)
+    _LOCAL[spark.sparkContext.applicationId] = name
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the place that ``spark.checkpoint.dir`` names, which all executors share.
 
@@ -35,6 +52,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def put_file(folder: str, name: str, content: bytes) -> None:
     """One file of a shared folder; a task that runs again replaces it by the same bytes."""
     fs, path = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")

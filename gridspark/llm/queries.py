@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gridspark.llm import packing, tokencount, tokenfile
+from gridspark.llm import curvesearch, dartminhash, decontaminate, langid, licenses, packing, sharding, tokencount, tokenfile, warc
+from gridspark.llm.common import ship_code
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,9 +25,20 @@ def query(name: str, oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_warc")
+def _warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op2_decontamination")
+def _decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).filter("contaminated").drop("contaminated")
+
+
 @query("op3_packing")
 def _packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -37,6 +49,32 @@ def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op5_near_duplicates")
+def _near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query("op6_sharding")
+def _sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+@query("op7_nearest")
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curvesearch.search(table(spark, sf_dir, "embeddings"), 20)
+
+
+@query("op8_language")
+def _language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op9_licenses")
+def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(spark, docs))
+
+
 @query("op10_token_counts")
 def _token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
