@@ -51,8 +51,9 @@ def encode_blocks(ids: np.ndarray, percentile: float = 0.9) -> dict[str, np.ndar
     for w in np.unique(widths):
         if w:
             own = np.nonzero(widths == w)[0]
-            flags = (low[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-            packed = np.packbits(flags.astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+            whole = np.dtype("<u2" if w <= 16 else "<u4")
+            flags = np.unpackbits(low[own].astype(whole).view(np.uint8).reshape(len(own), BLOCK, -1), axis=2, bitorder="little")
+            packed = np.packbits(flags[:, :, :w].reshape(len(own), -1), axis=1, bitorder="little")
             bits[starts[own][:, None] + np.arange(packed.shape[1])] = packed
     return {
         "minima": minima, "widths": widths, "extras": large.sum(axis=1).astype(np.uint8), "starts": starts.astype(np.uint64),
@@ -68,8 +69,10 @@ def decode_blocks(s: dict[str, np.ndarray], first: int, last: int) -> np.ndarray
         if w:
             own = np.nonzero(widths == w)[0]
             packed = s["bits"][starts[own][:, None] + np.arange(int(w) * BLOCK // 8)]
-            flags = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(own), BLOCK, w)
-            out[own] = (flags.astype(np.uint32) << np.arange(w, dtype=np.uint32)).sum(axis=2, dtype=np.uint32)
+            whole = np.dtype("<u2" if w <= 16 else "<u4")
+            flags = np.zeros((len(own), BLOCK, 8 * whole.itemsize), dtype=np.uint8)
+            flags[:, :, :w] = np.unpackbits(packed, axis=1, bitorder="little").reshape(len(own), BLOCK, w)
+            out[own] = np.packbits(flags, axis=2, bitorder="little").reshape(len(own), -1).view(whole)
     ends = np.cumsum(s["extras"].astype(np.int64))
     a, b = (int(ends[first - 1]) if first else 0), (int(ends[last - 1]) if last else 0)
     rows = np.repeat(np.arange(last - first), s["extras"][first:last])

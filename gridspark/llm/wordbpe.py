@@ -45,7 +45,7 @@ def _byte_letters() -> dict[int, str]:
 class TextEncoder:
     """``encode(text)`` gives the same ids as ``Tokenizer.encode(text, add_special_tokens=False)``, as '<u4' bytes."""
 
-    def __init__(self, path: str, cache_words: int = 500_000):
+    def __init__(self, path: str, cache_words: int = 700_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,13 +67,22 @@ class TextEncoder:
         return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
     def _lower_run(self, run: str) -> bytes:
-        return self._cut(self.tokenizer.normalizer.normalize_str(run)) if run else b""
+        if not run.isascii():
+            run = self.tokenizer.normalizer.normalize_str(run)
+        run = run.lower() if run.isascii() else run
+        pieces = self.pattern.findall(run)
+        if len(pieces) == 1:
+            return self._word(pieces[0])
+        return b"".join([self.runs[p] if p.isascii() and p.isalpha() else self.words[p] for p in pieces])
 
     def _spaced_run(self, run: str) -> bytes:
         """The ids of a space and a run that neither starts nor ends with white space."""
+        if run.isalpha():
+            return self._word(" " + run)
         if not run or run[0].isspace() or run[-1].isspace():
             raise _Odd
-        return self._cut(" " + run)
+        first, *rest = self.pattern.findall(" " + run)
+        return (self.runs[first[1:]] if rest else self._word(first)) + b"".join([self.words[p] for p in rest])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
