@@ -1,39 +1,45 @@
-"""Reproducible pseudo-random numbers from integer keys.
+"""Reproducible pseudo-random numbers from keys.
 
-The same arithmetic runs in any SQL engine, survives task retries, and needs no
-generator state, so a draw depends only on (seed, repetition, key).
+A draw is the leading 60 bits of the MD5 of key and salts (seed, repetition, draw), so it depends on nothing else, survives
+task retries, and any SQL engine can repeat it.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MODULUS = 2147483648
+DIGITS = 15
+BITS = 4 * DIGITS
+# A double holds 53 bits: 52 of the hash and the half that keeps 0 and 1 out.
+UNIFORM_BITS = 52
 
 
-def hash31(x: Column) -> Column:
-    """31-bit hash of a non-negative integer below 2**31."""
-    m = F.lit(MODULUS).cast("long")
-    first = (x.cast("long") * F.lit(1103515245).cast("long") + F.lit(12345)) % m
-    return (first * F.lit(69069).cast("long") + F.lit(1)) % m
+def key_hash(key: Column, *salts: Column | int) -> Column:
+    """60-bit hash of a key under any number of salts (seed, repetition, draw); a NULL key is a key of its own."""
+    text = lambda x: F.coalesce(x.cast("long").cast("string"), F.lit("null"))
+    parts = [text(key), *[text(s if isinstance(s, Column) else F.lit(s)) for s in salts]]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, DIGITS), 16, 10).cast("long")
 
 
-def key_hash(key: Column, *salts: Column | int) -> Column:
-    """Hash of a key under any number of salts (seed, repetition, draw)."""
-    out = F.pmod(key.cast("long"), F.lit(MODULUS).cast("long"))
-    for salt in salts:
-        s = salt if isinstance(salt, Column) else F.lit(salt)
-        out = hash31((out + s.cast("long") * F.lit(7919).cast("long")) % F.lit(MODULUS).cast("long"))
-    return hash31(out) if not salts else out
+def portable_hash(key: int, *salts: int) -> int:
+    """Driver-side twin of :func:`key_hash` for small plans."""
+    return int(hashlib.md5("|".join(str(x) for x in (key, *salts)).encode()).hexdigest()[:DIGITS], 16)
+
+
+def hash_prefix(h: Column, bits: int) -> Column:
+    """The leading ``bits`` bits of a hash, which rise with it."""
+    return F.shiftright(h, BITS - bits)
 
 
 def uniform(h: Column) -> Column:
     """A hash as a number strictly between 0 and 1."""
-    return (h + F.lit(0.5)) / F.lit(float(MODULUS))
+    return (hash_prefix(h, UNIFORM_BITS) + F.lit(0.5)) / F.lit(float(1 << UNIFORM_BITS))
 
 
 def index(h: Column, n: Column | int) -> Column:
     """A hash as an index in [0, n)."""
     size = n if isinstance(n, Column) else F.lit(n)
-    return F.floor(uniform(h) * size).cast("long")
+    return F.least(F.floor(uniform(h) * size).cast("long"), size.cast("long") - 1)

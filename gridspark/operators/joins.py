@@ -9,16 +9,9 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.scalar import is_finite, threshold_label
 
-MAX_DIMENSION_ROWS = 200_000
 TILE_DEGREES = 5.0
 
 
-def sized(dim: DataFrame, max_rows: int = MAX_DIMENSION_ROWS) -> DataFrame:
-    """Mark a table for broadcast only once it is known to be small; else Spark shuffles."""
-    small = dim.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(dim) if small else dim
-
-
 def _tiles(low: Column, high: Column, origin: float, limit: int) -> Column:
     first = F.greatest(F.floor((low - F.lit(origin)) / F.lit(TILE_DEGREES)), F.lit(0).cast("long"))
     last = F.least(F.floor((high - F.lit(origin)) / F.lit(TILE_DEGREES)), F.lit(limit).cast("long"))
@@ -61,11 +54,11 @@ def label_lookup(df: DataFrame, dim: DataFrame, key: str, label: str, renames: M
     out = F.col(label)
     for old, new in (renames or {}).items():
         out = F.when(F.col(label) == old, new).otherwise(out)
-    return df.join(sized(dim), key, "left").withColumn(label, F.coalesce(out, F.lit(unknown)))
+    return df.join(dim, key, "left").withColumn(label, F.coalesce(out, F.lit(unknown)))
 
 
 def lookup_join(df: DataFrame, dim: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(sized(dim), list(keys), "left")
+    return df.join(dim, list(keys), "left")
 
 
 def require_unique(df: DataFrame, keys: Sequence[str]) -> None:
@@ -142,7 +135,7 @@ def checked_mapping(mapping: DataFrame, price: DataFrame, calorie: DataFrame) ->
         lost = mapping.join(table, key, "left_anti").limit(1).collect()
         if lost:
             raise KeyError(f"no {key} for {lost[0].asDict()}")
-    return mapping.join(sized(price), "price_item").join(sized(calorie), "calorie_item")
+    return mapping.join(price, "price_item").join(calorie, "calorie_item")
 
 
 def codebook_join(a: DataFrame, b: DataFrame, name: str = "crop_name", code: str = "code") -> DataFrame:

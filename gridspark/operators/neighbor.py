@@ -19,6 +19,10 @@ from gridspark.session import cut_lineage
 # --- latitude-aware boxes -------------------------------------------------------------------
 
 
+# Box sums are exact: running sums of doubles would drift and miss a threshold by one bit.
+EXACT = "decimal(38,15)"
+
+
 def _event(at: Column, sign: int) -> Column:
     return F.struct(at.cast("long").alias("at"), F.lit(sign).alias("sign"))
 
@@ -26,10 +30,10 @@ def _event(at: Column, sign: int) -> Column:
 def _sweep(events: DataFrame, lane: str, axis: str, sums: Sequence[str], n: int) -> DataFrame:
     """Turn +/- events at positions of ``axis`` into running sums along each lane."""
     merged = events.where(F.col("at").between(0, n - 1)).groupBy(lane, F.col("at").alias(axis)).agg(
-        *[F.sum(F.col(s) * F.col("sign")).alias(s) for s in sums]
+        *[F.sum(F.when(F.col("sign") > 0, F.col(s)).when(F.col("sign") < 0, -F.col(s))).alias(s) for s in sums]
     )
     w = Window.partitionBy(lane).orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
-    return merged.select(lane, axis, *[F.sum(s).over(w).alias(s) for s in sums])
+    return merged.select(lane, axis, *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(s) for s in sums])
 
 
 def box_totals(layer: DataFrame, spec: GridSpec, radius_km: float, value: str, edge: str) -> DataFrame:
@@ -38,13 +42,14 @@ def box_totals(layer: DataFrame, spec: GridSpec, radius_km: float, value: str, e
     A cell adds its value where its reach begins and takes it away where it
     ends, so a box of any width costs two events and one running sum per axis.
     A lane is one grid row or column: at most ``n_cols`` or ``n_rows`` positions.
+    Sums are decimals with 15 places, so values keep 23 digits before the point and their order does not matter.
     Longitude wraps; rows beyond the poles repeat the edge row (``edge="repeat"``)
     or count as zero (``edge="zero"``).
     """
     n_rows, n_cols = spec.n_rows, spec.n_cols
     zero = F.array(F.struct(F.col("c").alias("at"), F.lit(0).alias("sign")))
     dense = spec.cells(layer.sparkSession).select(
-        "r", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.explode(zero).alias("e")
+        "r", F.lit(0).cast(EXACT).alias("s"), F.lit(0).cast("long").alias("n"), F.explode(zero).alias("e")
     )
     x = F.col(value)
     half = spec.box_half_width(F.col("r"), radius_km)
@@ -56,7 +61,7 @@ def box_totals(layer: DataFrame, spec: GridSpec, radius_km: float, value: str, e
         _event(F.when((start < 0) | (stop > n_cols), F.lit(0)).otherwise(F.lit(-1)), 1),
     )
     sources = layer.where(is_finite(x)).select(
-        "r", x.cast("double").alias("s"), F.lit(1).cast("long").alias("n"), F.explode(events).alias("e")
+        "r", x.cast(EXACT).alias("s"), F.lit(1).cast("long").alias("n"), F.explode(events).alias("e")
     )
     along_rows = _sweep(dense.unionByName(sources).select("r", "s", "n", "e.at", "e.sign"), "r", "c", ["s", "n"], n_cols)
 
@@ -73,7 +78,7 @@ def box_totals(layer: DataFrame, spec: GridSpec, radius_km: float, value: str, e
     spread = along_rows.withColumn("width", nominal).withColumn("_at", F.explode(copies))
     ends = F.array(_event(F.greatest(F.col("_at") - tall, F.lit(0).cast("long")), 1), _event(F.col("_at") + tall + 1, -1))
     fill = spec.cells(layer.sparkSession).select(
-        "c", F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("width"),
+        "c", F.lit(0).cast(EXACT).alias("s"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("width"),
         F.col("r").alias("at"), F.lit(0).alias("sign"),
     )
     moved = spread.withColumn("e", F.explode(ends)).select("c", "s", "n", "width", "e.at", "e.sign")
@@ -84,19 +89,24 @@ def box_mean_km(layer: DataFrame, spec: GridSpec, radius_km: float, value: str =
     """Mean of the valid cells in each box, where at least ``min_valid`` of its cells are valid."""
     t = box_totals(layer, spec, radius_km, value, edge="repeat")
     enough = (F.col("n") > 0) & (F.col("n") >= F.lit(min_valid) * F.col("width"))
-    return t.select("r", "c", F.when(enough, F.col("s") / F.col("n")).alias("mean"), "n", "width")
+    return t.select("r", "c", F.when(enough, F.col("s").cast("double") / F.col("n")).alias("mean"), "n", "width")
 
 
 def box_sum_km(layer: DataFrame, spec: GridSpec, radius_km: float, value: str = "value") -> DataFrame:
-    return box_totals(layer, spec, radius_km, value, edge="zero").select("r", "c", F.col("s").alias("total"))
+    return _exact_box_sum(layer, spec, radius_km, value, "total").withColumn("total", F.col("total").cast("double"))
+
+
+def _exact_box_sum(layer: DataFrame, spec: GridSpec, radius_km: float, value: str, name: str) -> DataFrame:
+    return box_totals(layer, spec, radius_km, value, edge="zero").select("r", "c", F.col("s").alias(name))
 
 
 def neighbourhood_share(num: DataFrame, den: DataFrame, spec: GridSpec, radius_km: float, value: str = "value",
                         min_den: float = 5.0) -> DataFrame:
     """Ratio of two box sums, raw and clipped to [0,1], where the denominator is large enough."""
-    a = box_sum_km(num, spec, radius_km, value).withColumnRenamed("total", "num")
-    b = box_sum_km(den, spec, radius_km, value).withColumnRenamed("total", "den")
-    ratio = F.when(F.col("den") >= min_den, safe_divide(F.col("num"), F.col("den")))
+    a = _exact_box_sum(num, spec, radius_km, value, "num")
+    b = _exact_box_sum(den, spec, radius_km, value, "den")
+    enough = F.col("den") >= F.lit(min_den).cast(EXACT)
+    ratio = F.when(enough, safe_divide(F.col("num").cast("double"), F.col("den").cast("double")))
     return a.join(b, ["r", "c"]).select(
         "r", "c", ratio.alias("share_raw"), clip(ratio).alias("share"),
         (F.coalesce(ratio, F.lit(0.0)) > 1.0).alias("above_one"),
@@ -189,12 +199,8 @@ def distance_to_mask(mask: DataFrame, spec: GridSpec, by: Sequence[str] = (), wr
     true = mask.select(*by, "r", "c").distinct().withColumn("_hit", F.lit(True))
     dense = spec.cells(spark)
     if by:
-        groups = [tuple(row) for row in mask.select(*by).distinct().limit(1001).collect()]
-        if len(groups) > 1000:
-            raise ValueError("more than 1000 masks in one call")
-        schema = mask.select(*by).schema
-        labels = F.array(*[F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(g, schema, strict=True)]) for g in groups])
-        dense = dense.withColumn("_g", F.explode(labels)).select("_g.*", "r", "c") if groups else dense.limit(0)
+        rows, cols = (F.sequence(F.lit(0), F.lit(n - 1).cast("long")) for n in (spec.n_rows, spec.n_cols))
+        dense = mask.select(*by).distinct().withColumn("r", F.explode(rows)).withColumn("c", F.explode(cols))
     full = dense.join(true, [*by, "r", "c"], "left")
     column = Window.partitionBy(*by, "c").orderBy("r")
     hit_row = F.when(F.col("_hit"), F.col("r"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,27 +145,3 @@ def fuzzy_best_match(names: DataFrame, candidates: DataFrame, name: str = "name"
         name, F.struct((-F.col("t.s")).alias("score"), F.col("t.candidate").alias("candidate")).alias("m")
     )
     return _best_of_chunks(picked, name, threshold)
-
-
-def sequence_match(names: DataFrame, candidates: DataFrame, name: str = "name", candidate: str = "candidate",
-                   threshold: float = 0.72) -> DataFrame:
-    """Best candidate per name by matching blocks (``difflib``) and shared words."""
-
-    @F.pandas_udf("score double, candidate string")
-    def best(text: pd.Series, options: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, choices in zip(text, options, strict=True):
-            top = (-1.0, "")
-            ta = set(a.split())
-            for b in choices:
-                score = SequenceMatcher(None, a, b).ratio()
-                tb = set(b.split())
-                if ta and tb:
-                    score = 0.65 * score + 0.35 * len(ta & tb) / len(ta | tb)
-                if score > top[0]:
-                    top = (score, b)
-            rows.append(top)
-        return pd.DataFrame(rows, columns=["score", "candidate"])
-
-    chunks = _in_chunks(names, candidates, name, candidate)
-    return _best_of_chunks(chunks.select(name, best(name, "_candidates").alias("m")), name, threshold)

@@ -7,21 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.rng import key_hash, uniform
+from gridspark.functions.rng import hash_prefix, key_hash, uniform
 from gridspark.functions.scalar import is_finite
-from gridspark.operators.joins import sized
 from gridspark.operators.metrics import weighted_mean
-from gridspark.operators.scan import exact_quantiles, first_n, numbered, running_sums
+from gridspark.operators.scan import SPLIT_ROWS, exact_quantiles, first_n, numbered, running_sums
 
 HASH = "_hash"
-# 2**16 prefixes of the 31-bit hash.
-PREFIX_SHIFT = 15
-MAX_GREEDY_GROUPS = 100_000
+
+
+def prefix_bits(df: DataFrame, split_rows: int = SPLIT_ROWS) -> int:
+    """Leading bits of a hash that cut a table of this many rows into ranges of at most about ``split_rows`` rows."""
+    return max(6, (df.count() // split_rows).bit_length() + 1)
 
 
 def _hash_first(df: DataFrame, key: str, n: Column | int, seed: int, by: Sequence[str] = ()) -> DataFrame:
     hashed = df.withColumn(HASH, key_hash(F.col(key), seed))
-    return first_n(hashed, HASH, [key], n, by, "sample_rank", bucket=F.shiftright(HASH, PREFIX_SHIFT)).drop(HASH)
+    return first_n(hashed, HASH, [key], n, by, "sample_rank", bucket=hash_prefix(F.col(HASH), prefix_bits(df))).drop(HASH)
 
 
 def case_control_sample(cells: DataFrame, key: str, presence: str, n_pos: int, n_zero: int, seed: int = 42) -> DataFrame:
@@ -63,29 +64,44 @@ def weighted_draw(pool: DataFrame, key: str, weight: str, n: int, seed: int = 42
     return keyed.join(owned, "_slice").where(hit).select("draw", key)
 
 
+def lightest_fold_plan(sizes: Sequence[tuple[int, int]], k: int) -> list[tuple[int, int, int, list[int]]]:
+    """How "largest group first, to the lightest fold" deals groups: (size, first rank, last rank + 1, folds in turn).
+
+    ``sizes`` lists (size, number of groups). Folds lighter than the lightest one plus the size take turns, lightest first,
+    until they reach the next fold; so a size needs at most ``k`` + 1 turns, however many groups it has.
+    """
+    loads, out = [0] * k, []
+    for size, groups in sorted(sizes, reverse=True):
+        rank = 0
+        while rank < groups:
+            order = sorted(range(k), key=lambda i: (loads[i], i))
+            turn = [i for i in order if loads[i] < loads[order[0]] + size]
+            rest = order[len(turn):]
+            rounds = (loads[rest[0]] - loads[order[0]]) // size if rest else groups
+            n = min(groups - rank, max(1, rounds) * len(turn))
+            out.append((size, rank, rank + n, turn))
+            for j, fold in enumerate(turn):
+                loads[fold] += size * (n // len(turn) + (j < n % len(turn)))
+            rank += n
+    return out
+
+
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Fold per group: the largest group goes to the lightest fold.
+    """Fold per group: the largest group goes to the lightest fold, equal ones in the order of their keys.
 
-    Only group sizes reach the driver. Above ``MAX_GREEDY_GROUPS`` groups the
-    folds are dealt out back and forth by size rank, without the driver.
+    Only the numbers of groups of each size reach the driver, at most about the square root of twice the row count.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    found = sizes.orderBy(F.desc("n"), group).limit(MAX_GREEDY_GROUPS + 1).collect()
-    if len(found) > MAX_GREEDY_GROUPS:
-        order = numbered(sizes.withColumn("_order", -F.col("n")), "_order", [group], name="_rank")
-        turn = (F.col("_rank") - 1) % (2 * k)
-        return order.select(group, F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int").alias("fold"))
-    loads, rows = [0] * k, []
-    for row in found:
-        fold = loads.index(min(loads))
-        loads[fold] += row["n"]
-        rows.append((row[group], fold))
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(rows, f"{group} {kind}, fold int")
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    histogram = [(r["_n"], r["_groups"]) for r in sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("_groups")).collect()]
+    plan = df.sparkSession.createDataFrame(lightest_fold_plan(histogram, k), "_size long, _from long, _to long, _turn array<int>")
+    ranked = numbered(sizes, group, [], ["_n"], "_rank")
+    rank = F.col("_rank") - 1
+    dealt = ranked.join(plan, (F.col("_n") == F.col("_size")) & (rank >= F.col("_from")) & (rank < F.col("_to")))
+    return dealt.select(group, F.get("_turn", F.pmod(rank - F.col("_from"), F.size("_turn")).cast("int")).alias("fold"))
 
 
 def with_folds(df: DataFrame, folds: DataFrame, group: str) -> DataFrame:
-    return df.join(sized(folds), group)
+    return df.join(folds, group)
 
 
 def group_shuffle_split(df: DataFrame, group: str, test: float = 0.25, seed: int = 42) -> DataFrame:
@@ -107,7 +123,7 @@ def area_weight(sample: DataFrame, population: DataFrame, presence: str, area: s
     n_pop = population.groupBy(presence).agg(F.count(F.lit(1)).alias("_pop"))
     n_sam = sample.groupBy(presence).agg(F.count(F.lit(1)).alias("_sam"))
     rates = n_sam.join(n_pop, presence).select(presence, (F.col("_pop") / F.col("_sam")).alias("_rate"))
-    return sample.join(sized(rates), presence).withColumn("weight", F.col("_rate") * F.col(area)).drop("_rate")
+    return sample.join(rates, presence).withColumn("weight", F.col("_rate") * F.col(area)).drop("_rate")
 
 
 def normalize_weight(df: DataFrame, w: str) -> DataFrame:
@@ -119,7 +135,7 @@ def normalize_weight(df: DataFrame, w: str) -> DataFrame:
 def selection_reweight(sample: DataFrame, selected: Column, w: str, by: Sequence[str]) -> DataFrame:
     """Keep the selected rows and divide their weight by the share selected in their group."""
     rates = sample.groupBy(*by).agg(F.avg(selected.cast("double")).alias("_rate"))
-    return sample.where(selected).join(sized(rates), list(by)).withColumn(w, F.col(w) / F.col("_rate")).drop("_rate")
+    return sample.where(selected).join(rates, list(by)).withColumn(w, F.col(w) / F.col("_rate")).drop("_rate")
 
 
 def regime_prior(train: DataFrame, regime: str, presence: str, w: str) -> DataFrame:

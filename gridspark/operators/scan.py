@@ -14,58 +14,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.session import cut_lineage
+
 SPLIT_ROWS = 500_000
-N_RANGES = 64
-MAX_SPLIT_GROUPS = 4096
 BUCKET = "_range"
 
 
-def add_range(
-    df: DataFrame,
-    order: str,
-    by: Sequence[str] = (),
-    split_rows: int = SPLIT_ROWS,
-    n_ranges: int = N_RANGES,
-) -> DataFrame:
-    """Add an integer ``_range`` that rises with ``order`` and splits large groups.
+def add_range(df: DataFrame, order: str, by: Sequence[str] = (), split_rows: int = SPLIT_ROWS, ties: Sequence[str] = ()) -> DataFrame:
+    """Add an integer ``_range`` that rises with (order, ties) within a group and splits large groups.
 
-    The table comes back unchanged when no group is larger than ``split_rows``.
-    The cut points are read once, as numbers, so that every later use of the
-    column agrees even if tasks are run again. At most ``MAX_SPLIT_GROUPS``
-    groups are split: the largest ones.
+    The table comes back unchanged when no group is larger than ``split_rows``. Else Spark range-partitions it by group,
+    order and ties into as many parts as its rows need, so neither the number of large groups nor equal order values
+    matter. The parts are checkpointed, so that every later use of the column agrees even if tasks are run again.
     """
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    large = sizes.where(F.col("_rows") > split_rows).orderBy(F.desc("_rows")).limit(MAX_SPLIT_GROUPS).collect()
-    if not large:
+    largest, rows = sizes.agg(F.max("_rows"), F.sum("_rows")).first()
+    if (largest or 0) <= split_rows:
         return df
-    spark = df.sparkSession
-    probs = [i / n_ranges for i in range(1, n_ranges)]
-    if not by:
-        cuts = df.agg(F.percentile_approx(order, probs, 2000).alias("_cuts")).first()["_cuts"]
-        return df.withColumn(BUCKET, _position(F.col(order), [F.lit(x) for x in cuts]))
-    key_schema = sizes.select(*by).schema
-    hot = spark.createDataFrame([tuple(row[k] for k in by) for row in large], key_schema)
-    measured = (
-        _join_groups(df, hot, by, "left_semi")
-        .groupBy(*by)
-        .agg(F.percentile_approx(order, probs, 2000).alias("_cuts"))
-    )
-    table = spark.createDataFrame(measured.collect(), measured.schema)
-    position = _position(F.col(order), [F.get("_cuts", F.lit(i)) for i in range(n_ranges - 1)])
-    return _join_groups(df, table, by, "left").select(
-        *df.columns, F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(position).alias(BUCKET)
-    )
-
-
-def _join_groups(df: DataFrame, table: DataFrame, by: Sequence[str], how: str) -> DataFrame:
-    """Join a table of at most ``MAX_SPLIT_GROUPS`` rows by group; <=> also matches a NULL group."""
-    keyed = table.withColumnsRenamed({k: f"_key_{k}" for k in by})
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in by])
-    return df.join(F.broadcast(keyed), same, how)
-
-
-def _position(value: Column, cuts: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [(value > cut).cast("int") for cut in cuts])
+    ranged = df.repartitionByRange(-(-rows // split_rows) + 1, *by, order, *ties)
+    return cut_lineage(ranged.withColumn(BUCKET, F.spark_partition_id()))
 
 
 def running_sums(
@@ -86,7 +53,7 @@ def running_sums(
     saves looking for cuts.
     """
     totals = dict(totals or {})
-    ranged = add_range(df, order, by, split_rows) if bucket is None else df.withColumn(BUCKET, bucket)
+    ranged = add_range(df, order, by, split_rows, ties) if bucket is None else df.withColumn(BUCKET, bucket)
     if ranged is df:
         whole = Window.partitionBy(*by)
         upto = whole.orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, 0)
@@ -156,7 +123,7 @@ def first_n(
     ``bucket`` that rises with ``order`` (a hash prefix) saves looking for cuts.
     """
     limit = n if isinstance(n, Column) else F.lit(n)
-    ranged = add_range(df, order, by, split_rows) if bucket is None else df.withColumn(BUCKET, bucket)
+    ranged = add_range(df, order, by, split_rows, ties) if bucket is None else df.withColumn(BUCKET, bucket)
     if ranged is df:
         whole = Window.partitionBy(*by).orderBy(order, *ties)
         return df.withColumn(name, F.row_number().over(whole).cast("long")).where(F.col(name) <= limit)

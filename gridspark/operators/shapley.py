@@ -16,22 +16,27 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.rng import MODULUS, index, key_hash
-from gridspark.operators.joins import sized
-from gridspark.operators.sampling import weighted_draw
+from gridspark.functions.rng import hash_prefix, index, key_hash, portable_hash
+from gridspark.operators.sampling import prefix_bits, weighted_draw
 from gridspark.operators.scan import numbered
+from gridspark.session import cut_lineage
 
 ColumnScore = Callable[[Mapping[str, Column]], Column]
 FrameScore = Callable[[DataFrame], DataFrame]
-# 2**10 prefixes of the 31-bit hash.
-PREFIX_SHIFT = 21
+# Background rows go to every task.
+MAX_POOL = 100_000
 
 
 def background_pool(train: DataFrame, key: str, weight: str, features: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """``n`` background rows drawn in proportion to weight, numbered from 0."""
+    """``n`` background rows drawn in proportion to weight, numbered from 0.
+
+    The rows are checkpointed once; there are ``n`` of them, so every use may broadcast them.
+    """
+    if n > MAX_POOL:
+        raise ValueError(f"a background pool has at most {MAX_POOL} rows")
     drawn = weighted_draw(train, key, weight, n, seed)
     values = train.select(key, *features)
-    return drawn.join(values, key).select(F.col("draw").alias("_bg"), *[F.col(f).alias(f"b_{f}") for f in features])
+    return cut_lineage(drawn.join(values, key).select(F.col("draw").alias("_bg"), *[F.col(f).alias(f"b_{f}") for f in features]))
 
 
 def _with_background(cells: DataFrame, key: str, features: Sequence[str], pool: DataFrame, n_pool: int, draws: int, seed: int,
@@ -39,7 +44,7 @@ def _with_background(cells: DataFrame, key: str, features: Sequence[str], pool:
     """Every cell once per draw next to its own random background row."""
     spread = cells.select(key, *keep, *features).withColumn("_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     picked = spread.withColumn("_bg", index(key_hash(F.col(key), seed, F.col("_draw")), n_pool))
-    return picked.join(sized(pool), "_bg")
+    return picked.join(F.broadcast(pool), "_bg")
 
 
 def _hybrid(features: Sequence[str], from_cell: Callable[[str], Column | bool]) -> dict[str, Column]:
@@ -135,13 +140,6 @@ def interaction_summary(interactions: DataFrame, keep: Sequence[str]) -> DataFra
     return long.groupBy("pair").agg(F.avg(F.abs("value")).alias("mean_abs"), F.avg("value").alias("mean_signed"))
 
 
-def portable_hash(x: int, *salts: int) -> int:
-    """Driver-side twin of :func:`gridspark.functions.rng.key_hash` for small plans."""
-    for salt in salts:
-        x = (((x + salt * 7919) % MODULUS * 1103515245 + 12345) % MODULUS * 69069 + 1) % MODULUS
-    return x
-
-
 def paired_permutations(n_features: int, n_perm: int, seed: int = 42) -> list[list[int]]:
     """Feature orders in pairs: a random one and its reverse."""
     orders = []
@@ -205,29 +203,71 @@ def feature_shapley_frame(cells: DataFrame, key: str, features: Sequence[str], s
     return scored.groupBy(key).agg(F.avg(F.when(k == 0, s)).alias("baseline"), F.avg(F.when(k == n, s)).alias("prediction"), *credit)
 
 
+def primes_from(start: int, n: int) -> list[int]:
+    """The first ``n`` primes from ``start`` on."""
+    out = []
+    while len(out) < n:
+        if all(start % d for d in range(2, math.isqrt(start) + 1)):
+            out.append(start)
+        start += 1
+    return out
+
+
+def seat_moves(n_groups: int, reps: int, seed: int) -> list[tuple[int, int, int, int]]:
+    """(group, repetition, factor, shift): the row on seat i gives to seat (factor * i + shift) modulo the number of seats.
+
+    Seats are in hash order, so a move pairs rows at random; a prime factor makes it a permutation of the seats.
+    """
+    factors = primes_from(1 << 31, n_groups * reps)
+    return [(g, r, factors[g * reps + r], portable_hash(seed, r + 1, g + 1)) for g in range(n_groups) for r in range(reps)]
+
+
+def _dealt(df: DataFrame, key: str, groups: Mapping[str, Sequence[str]], fold: str, reps: int, keep: Sequence[str], seed: int) -> DataFrame:
+    """Each row with an array of what it is dealt: (group, repetition, the group's features of another row of its fold).
+
+    Rows are numbered once. A row sends only a group's own features, to one seat per repetition, in one shuffle.
+    """
+    at = _group_index(groups)
+    hashed = df.withColumn("_h", key_hash(F.col(key), seed))
+    seats = numbered(hashed, "_h", [key], [fold], "_seat", "_seats", bucket=hash_prefix(F.col("_h"), prefix_bits(df))).drop("_h")
+    n, seat = F.col("_seats"), (F.col("_seat") - 1).cast("decimal(19,0)")
+    own = lambda g: F.struct(*[(F.col(f) if at[f] == g else F.lit(None).cast(df.schema[f].dataType)).alias(f) for f in at])
+
+    def move(g: int, rep: int, factor: int, shift: int) -> Column:
+        # A factor that divides the number of seats would not be a permutation; the shift alone is one.
+        by = F.when(F.lit(factor) % n == 0, F.lit(1)).otherwise(F.lit(factor) % n).cast("decimal(19,0)")
+        target = ((by * seat) % n + F.lit(shift) % n) % n
+        return F.struct(F.lit(g).alias("g"), F.lit(rep).alias("rep"), target.cast("long").alias("to"), own(g).alias("v"))
+
+    sent = seats.select(fold, F.explode(F.array(*[move(*m) for m in seat_moves(len(groups), reps, seed)])).alias("m"))
+    got = sent.groupBy(F.col(fold).alias("_f"), F.col("m.to").alias("_to")).agg(F.collect_list(F.struct("m.g", "m.rep", "m.v")).alias("_dealt"))
+    takers = seats.select(key, fold, (F.col("_seat") - 1).alias("_at"), *keep, *at)
+    return takers.join(got, F.col(fold).eqNullSafe(F.col("_f")) & (F.col("_at") == F.col("_to"))).select(key, fold, *keep, *at, "_dealt")
+
+
 def permuted_rows(df: DataFrame, key: str, groups: Mapping[str, Sequence[str]], fold: str, reps: int, keep: Sequence[str] = (),
                   seed: int = 42) -> DataFrame:
     """Copies of the table, one per (group, repetition), with the group's features shuffled within each fold.
 
-    Row i of one hash order receives the features of row i of another, so a
-    fold of any size is shuffled by an equi-join; features of a group move together.
+    Features of a group move together. For scores of fitted models; column scores need no copies.
     """
-    features = [f for members in groups.values() for f in members]
-    prefix = F.shiftright("_h", PREFIX_SHIFT)
-    seats = numbered(df.withColumn("_h", key_hash(F.col(key), seed)), "_h", [key], [fold], "_seat", bucket=prefix).drop("_h")
-    runs = F.array(*[F.struct(F.lit(i).alias("_g"), F.lit(name).alias("feature_group")) for i, name in enumerate(groups)])
-    copies = lambda d: d.withColumn("_run", F.explode(runs)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).select(
-        "*", "_run._g", "_run.feature_group"
-    ).drop("_run")
-    takers = copies(seats.select(key, fold, "_seat", *keep, *features))
-    givers = copies(df.select(key, fold, *[F.col(f).alias(f"b_{f}") for f in features])).withColumn(
-        "_h", key_hash(F.col(key), seed, F.col("rep") + 1, F.col("_g") + 1)
+    at = _group_index(groups)
+    names = F.array(*[F.lit(name) for name in groups])
+    rows = _dealt(df, key, groups, fold, reps, keep, seed).withColumn("_d", F.explode("_dealt"))
+    shuffled = {f: F.when(F.col("_d.g") == at[f], F.col(f"_d.v.{f}")).otherwise(F.col(f)) for f in at}
+    return rows.select(
+        key, fold, F.col("_d.rep").alias("rep"), F.element_at(names, F.col("_d.g") + 1).alias("feature_group"), *keep, *[c.alias(f) for f, c in shuffled.items()]
     )
-    dealt = numbered(givers, "_h", [key], [fold, "_g", "rep"], "_seat", bucket=prefix).drop("_h", key, "feature_group")
-    joined = takers.join(dealt, [fold, "_g", "rep", "_seat"])
+
+
+def _scored_in_row(df: DataFrame, key: str, groups: Mapping[str, Sequence[str]], fold: str, reps: int, keep: Sequence[str], seed: int,
+                   value: Callable[[Mapping[str, Column]], Column]) -> DataFrame:
+    """(feature_group, rep, value) of every shuffled copy, computed next to the row it belongs to."""
     at = _group_index(groups)
-    shuffled = {f: F.when(F.col("_g") == at[f], F.col(f"b_{f}")).otherwise(F.col(f)) for f in features}
-    return joined.select(key, fold, "rep", "feature_group", *keep, *[c.alias(f) for f, c in shuffled.items()])
+    names = F.array(*[F.lit(name) for name in groups])
+    one = lambda d: F.struct(d["g"].alias("g"), d["rep"].alias("rep"), value({f: F.when(d["g"] == at[f], d["v"][f]).otherwise(F.col(f)) for f in at}).alias("x"))
+    rows = _dealt(df, key, groups, fold, reps, keep, seed).select(F.explode(F.transform("_dealt", one)).alias("_d"))
+    return rows.select(F.element_at(names, F.col("_d.g") + 1).alias("feature_group"), "_d.rep", "_d.x")
 
 
 def permutation_importance(df: DataFrame, key: str, groups: Mapping[str, Sequence[str]], score: ColumnScore | FrameScore, y: str, w: str,
@@ -242,7 +282,12 @@ def permutation_importance(df: DataFrame, key: str, groups: Mapping[str, Sequenc
     valid = df.where(F.col(w) > 0)
     base = with_score(valid).agg(F.sum(se).alias("sse"), F.sum(w).alias("sw")).first()
     sse, sw = F.lit(base["sse"]), F.lit(base["sw"])
-    runs = with_score(permuted_rows(valid, key, groups, fold, reps, [y, w], seed)).groupBy("feature_group", "rep").agg(F.sum(se).alias("_sse"))
+    if frame:
+        errors = with_score(permuted_rows(valid, key, groups, fold, reps, [y, w], seed)).select("feature_group", "rep", se.alias("x"))
+    else:
+        error = lambda x: F.col(w) * (F.col(y) - score(x)) * (F.col(y) - score(x))
+        errors = _scored_in_row(valid, key, groups, fold, reps, [y, w], seed, error)
+    runs = errors.groupBy("feature_group", "rep").agg(F.sum("x").alias("_sse"))
     delta = (F.col("_sse") - sse) / sw
     return runs.withColumn("_d", delta).groupBy("feature_group").agg(
         F.avg("_d").alias("delta_mse"), F.stddev_samp("_d").alias("delta_mse_sd")

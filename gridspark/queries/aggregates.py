@@ -249,10 +249,10 @@ LONG = ", l AS (SELECT id, block, cls, lat, lon, y, w, 'base' AS model, p_base A
 MODELS = {"base": "p_base", "cand": "p_cand"}
 
 
-@query("metrics_by_group", duck("v_oof") + LONG + f"SELECT model, {big('block')}, {metric_sql()} FROM l GROUP BY model, block HAVING sum(y * y) - sum(y) * sum(y) / count(*) > 1e-12 * sum(y * y)")
+@query("metrics_by_group", duck("v_oof") + LONG + f"SELECT model, {big('block')}, {metric_sql()} FROM l GROUP BY model, block")
 def _(v):
     long = M.models_long(v.oof, MODELS, ["block", "y"])
-    return M.regression_metrics(long, "y", "p", by=["model", "block"]).where("r2 IS NOT NULL")
+    return M.regression_metrics(long, "y", "p", by=["model", "block"])
 
 
 @query("metric_deltas", duck("v_oof", "v_regions") + LONG + f""", m AS (SELECT model, region, sqrt(avg((p - y) * (p - y))) AS rmse, avg(abs(p - y)) AS mae,

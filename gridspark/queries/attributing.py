@@ -127,7 +127,7 @@ def score_sql(x1, x2, x3, x4):
 
 FEATURES = ["x1", "x2", "x3", "x4"]
 GROUPS = {"a": ["x1", "x2"], "b": ["x3"], "c": ["x4"]}
-N_POOL, DRAWS = 64, 2
+N_POOL, DRAWS = 64, 32
 POOL = f""", pp AS (SELECT *, sum(w) OVER (ORDER BY id) AS e, sum(w) OVER () AS t FROM v_score),
     pd AS (SELECT i AS bg, {uniform_sql(hash_sql('i', 42))} AS u FROM range({N_POOL}) z(i)),
     pool AS (SELECT bg, x1 AS b1, x2 AS b2, x3 AS b3, x4 AS b4 FROM pd JOIN pp ON (e - w) / t <= u AND u < e / t)"""
@@ -166,7 +166,7 @@ def _(v):
     return H.interaction_summary(H.shapley_interaction(values, list(GROUPS), ["id"]), ["id"])
 
 
-N_PERM = 4
+N_PERM = 32
 ORDERS = H.paired_permutations(4, N_PERM)
 
 
@@ -211,15 +211,16 @@ def _(v):
 
 
 def permutation_sql(groups: dict, reps: int) -> str:
-    """Seat i of one hash order takes the features of seat i of another."""
+    """The row on seat i gives a group's features to seat (factor * i + shift) of its fold."""
     branches = []
     for g, (name, members) in enumerate(groups.items()):
         args = [f"giver.{f}" if f in members else f"taker.{f}" for f in FEATURES]
-        branches.append(f"""SELECT '{name}' AS feature_group, rep, sum(taker.w * pow(taker.y - {score_sql(*args)}, 2)) AS s FROM seats taker JOIN
-          (SELECT *, row_number() OVER (PARTITION BY fold, rep ORDER BY {hash_sql('id', 42, 'rep + 1', g + 1)}, id) AS k FROM sc, range({reps}) z(rep)) giver
-          ON taker.fold = giver.fold AND taker.seat = giver.k GROUP BY rep""")
+        moves = ", ".join(f"({r}, {factor}, {shift})" for at, r, factor, shift in H.seat_moves(len(groups), reps, 42) if at == g)
+        branches.append(f"""SELECT '{name}' AS feature_group, rep, sum(taker.w * pow(taker.y - {score_sql(*args)}, 2)) AS s FROM (VALUES {moves}) m(rep, factor, shift)
+          CROSS JOIN seats giver JOIN seats taker ON taker.fold = giver.fold
+            AND taker.seat = (CAST(CASE WHEN factor % giver.n = 0 THEN 1 ELSE factor % giver.n END AS HUGEINT) * giver.seat + shift % giver.n) % giver.n GROUP BY rep""")
     return f""", sc AS (SELECT *, 0.3 * x1 + 0.2 * x4 AS y FROM v_score),
-    seats AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {hash_sql('id', 42)}, id) AS seat FROM sc),
+    seats AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {hash_sql('id', 42)}, id) - 1 AS seat, count(*) OVER (PARTITION BY fold) AS n FROM sc),
     b AS (SELECT sum(w * pow(y - {score_sql(*FEATURES)}, 2)) AS sse, sum(w) AS sw FROM sc),
     r AS ({' UNION ALL '.join(branches)}), d AS (SELECT feature_group, (s - sse) / sw AS d, sse / sw AS m FROM r, b)
     SELECT feature_group, {r6('avg(d)', 'delta_mse')}, {r6('stddev_samp(d)', 'delta_mse_sd')}, {r6('avg(d) / any_value(m) * 100', 'increase_pct')} FROM d GROUP BY feature_group"""
@@ -232,11 +233,11 @@ def observed(v):
 SINGLE = {f: [f] for f in FEATURES}
 
 
-@query("permutation_importance", duck("v_score") + permutation_sql(SINGLE, 3))
+@query("permutation_importance", duck("v_score") + permutation_sql(SINGLE, 10))
 def _(v):
-    return H.permutation_importance(observed(v), "id", SINGLE, score, "y", "w", "fold", reps=3)
+    return H.permutation_importance(observed(v), "id", SINGLE, score, "y", "w", "fold", reps=10)
 
 
-@query("group_permutation_importance", duck("v_score") + permutation_sql(GROUPS, 3))
+@query("group_permutation_importance", duck("v_score") + permutation_sql(GROUPS, 10))
 def _(v):
-    return H.permutation_importance(observed(v), "id", GROUPS, score, "y", "w", "fold", reps=3)
+    return H.permutation_importance(observed(v), "id", GROUPS, score, "y", "w", "fold", reps=10)

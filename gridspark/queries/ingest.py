@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,11 +16,13 @@ from gridspark.sources import tables
 
 
 def scratch(v, label: str) -> str:
-    """A fresh folder below the shared checkpoint folder, or a local one in tests."""
+    """A fresh folder below the shared checkpoint folder; only local masters may go without one."""
     shared = v.spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix=f"gridspark-{label}-")
-    return f"{shared}/gridspark-{label}-{v.spark.sparkContext.applicationId}"
+    if shared is not None:
+        return f"{shared}/gridspark-{label}-{uuid.uuid4().hex}"
+    if not v.spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix=f"gridspark-{label}-")
 
 
 @query("scan_layer", "SELECT l_partkey, l_suppkey, round(l_discount, 6) AS l_discount FROM lineitem")
@@ -37,8 +40,9 @@ def _(v):
 def _(v):
     path = scratch(v, "cache") + "/cells"
     build = lambda: v.cells.select("r", "c", "frac")
-    tables.load_or_build(v.spark, path, CELLS, build)
-    return tables.load_or_build(v.spark, path, CELLS, build)
+    sources = [f"{v.sf_dir}/lineitem.parquet"]
+    tables.load_or_build(v.spark, path, CELLS, build, sources=sources)
+    return tables.load_or_build(v.spark, path, CELLS, build, sources=sources)
 
 
 @query("null_sentinels", duck("v_fine") + f"""SELECT {bigs('fr', 'fc')},

@@ -100,12 +100,6 @@ def _(v):
     return P.fuzzy_best_match(part.select(F.col("p_name").alias("name")), part.select(F.col("p_type").alias("candidate")))
 
 
-@query("fuzzy_best_match_sequence")
-def _(v):
-    part = v.table("part")
-    return P.sequence_match(part.select(F.col("p_name").alias("name")), part.select(F.col("p_type").alias("candidate")))
-
-
 def _mapping_values() -> str:
     return ", ".join(f"('{code}', '{price}', '{calorie}')" for code, (price, calorie) in CHECKED_MAPPING.items())
 

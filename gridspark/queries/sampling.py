@@ -18,16 +18,12 @@ RC = bigs("r", "c")
 
 def hash_sql(key: str, *salts) -> str:
     """The portable hash as SQL text."""
-    mod = "2147483648"
-    out = f"(CAST({key} AS BIGINT) % {mod})"
-    for salt in salts:
-        x = f"(({out} + ({salt}) * 7919) % {mod})"
-        out = f"((({x} * 1103515245 + 12345) % {mod}) * 69069 + 1) % {mod}"
-    return f"({out})"
+    parts = ", ".join(f"CAST(CAST({x} AS BIGINT) AS VARCHAR)" for x in (key, *salts))
+    return f"CAST('0x' || substr(md5(concat_ws('|', {parts})), 1, 15) AS BIGINT)"
 
 
 def uniform_sql(h: str) -> str:
-    return f"(({h} + 0.5) / CAST(2147483648.0 AS DOUBLE))"
+    return f"(({h} // 256 + 0.5) / CAST(4503599627370496.0 AS DOUBLE))"
 
 
 CELL_ID = ", x AS (SELECT *, r * 72 + c AS id, CASE WHEN frac > 0.5 THEN 1 ELSE 0 END AS presence FROM v_cells)"
@@ -158,17 +154,17 @@ def bootstrap_sql(by: str, source: str, reps: int) -> str:
 CONTRAST = {"cand_vs_base": ("p_cand", "p_base")}
 
 
-@query("block_bootstrap", duck("v_oof") + bootstrap_sql("", "v_oof", 200))
+@query("block_bootstrap", duck("v_oof") + bootstrap_sql("", "v_oof", 2000))
 def _(v):
-    return B.block_bootstrap(v.oof, "y", CONTRAST, "block", reps=200)
+    return B.block_bootstrap(v.oof, "y", CONTRAST, "block", reps=2000)
 
 
 IN_REGION = ", inr AS (SELECT region, block, y, p_cand, p_base FROM v_oof JOIN v_regions ON lat BETWEEN s_lat AND n_lat AND lon BETWEEN w_lon AND e_lon)"
 
 
-@query("block_bootstrap_regional", duck("v_oof", "v_regions") + IN_REGION + bootstrap_sql("region", "inr", 100))
+@query("block_bootstrap_regional", duck("v_oof", "v_regions") + IN_REGION + bootstrap_sql("region", "inr", 2000))
 def _(v):
-    return B.block_bootstrap(region_join(v.oof, v.regions), "y", CONTRAST, "block", reps=100, by=["region"])
+    return B.block_bootstrap(region_join(v.oof, v.regions), "y", CONTRAST, "block", reps=2000, by=["region"])
 
 
 CLASSES = """, k AS (SELECT block, avg(abs(p_cand - y)) AS a, avg(abs(p_base - y)) AS b, avg(presence) AS p FROM v_oof GROUP BY block)"""

@@ -22,7 +22,7 @@ def boxes(source: str, edge: str) -> str:
     row = "least(greatest(g.r + d, 0), 35)" if edge == "repeat" else "g.r + d"
     return GEOMETRY + f""", w AS (SELECT g.r, g.c, {row} AS rr FROM g, range(-2, 3) o(d)),
     n AS (SELECT w.r, w.c, sum(2 * half + 1) AS width FROM w JOIN h ON h.r = rr GROUP BY ALL),
-    b AS (SELECT w.r, w.c, sum(s.x) AS s, count(s.x) AS n FROM w JOIN h ON h.r = rr
+    b AS (SELECT w.r, w.c, CAST(sum(CAST(s.x AS DECIMAL(38, 15))) AS DOUBLE) AS s, count(s.x) AS n FROM w JOIN h ON h.r = rr
       JOIN {source} s ON s.r = rr AND least((s.c - w.c + 72) % 72, (w.c - s.c + 72) % 72) <= half GROUP BY w.r, w.c)"""
 
 
@@ -45,9 +45,9 @@ def _(v):
 
 @query("neighbourhood_share", duck("v_cells") + ", src AS (SELECT r, c, frac AS x, CAST(n_src AS DOUBLE) / 20 AS y FROM v_cells)"
        + boxes("(SELECT r, c, x FROM src)", "zero")
-       + f""", b2 AS (SELECT w.r, w.c, sum(s.y) AS s2 FROM w JOIN h ON h.r = rr
+       + f""", b2 AS (SELECT w.r, w.c, sum(CAST(s.y AS DECIMAL(38, 15))) AS s2 FROM w JOIN h ON h.r = rr
       JOIN src s ON s.r = rr AND least((s.c - w.c + 72) % 72, (w.c - s.c + 72) % 72) <= half GROUP BY w.r, w.c),
-    q AS (SELECT r, c, CASE WHEN s2 >= 5 THEN s / s2 END AS ratio FROM g LEFT JOIN b USING (r, c) LEFT JOIN b2 USING (r, c))
+    q AS (SELECT r, c, CASE WHEN s2 >= 5 THEN s / CAST(s2 AS DOUBLE) END AS ratio FROM g LEFT JOIN b USING (r, c) LEFT JOIN b2 USING (r, c))
     SELECT {RC}, {r6('ratio', 'share_raw')}, {r6('CASE WHEN ratio IS NOT NULL THEN least(greatest(ratio, 0), 1) END', 'share')},
     coalesce(ratio, 0) > 1 AS above_one FROM q""")
 def _(v):

@@ -50,13 +50,24 @@ def latest_manifest(spark: SparkSession, path: str, keys: Sequence[str], order:
     return rows.groupBy(*keys).agg(newest.alias("m")).select(*keys, *[F.col(f"m.{c}") for c in others])
 
 
+def fingerprint(spark: SparkSession, paths: Sequence[str]) -> str:
+    """A hash of the paths, sizes and times of all files below ``paths``; their contents are not read."""
+    if not paths:
+        return ""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    one = F.md5(F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string")))
+    # The sum of the files' hashes does not depend on their order.
+    return str(files.agg(F.sum(F.conv(F.substring(one, 1, 15), 16, 10).cast("decimal(38,0)"))).first()[0])
+
+
 def load_or_build(spark: SparkSession, path: str, spec: GridSpec, builder: Callable[[], DataFrame],
-                  label: str = "layer") -> DataFrame:
-    """Reuse the layer at ``path`` when its manifest fits ``spec``, else build and write it.
+                  label: str = "layer", sources: Sequence[str] = ()) -> DataFrame:
+    """Reuse the layer at ``path`` when its manifest fits ``spec`` and ``sources``, else build and write it.
 
-    The manifest is written after the data, so an interrupted build is built again.
+    The manifest names the source files with their sizes and times, so a layer of other or newer files is built
+    again. It is written after the data, so an interrupted build is too.
     """
-    wanted = {"label": label, "n_rows": spec.n_rows, "n_cols": spec.n_cols}
+    wanted = {"label": label, "n_rows": spec.n_rows, "n_cols": spec.n_cols, "sources": fingerprint(spark, sources)}
     manifest = f"{path}/_manifest"
     try:
         found = json.loads(spark.read.text(manifest).first()["value"])

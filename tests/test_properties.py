@@ -96,10 +96,10 @@ def test_permuted_rows_keep_each_fold_and_group_together(views):
     assert pairs(moved) == pairs(df)
 
 
-def test_sequence_match_prefers_the_same_words(spark):
+def test_fuzzy_match_prefers_the_same_words(spark):
     names = spark.createDataFrame([("maize corn",), ("qqq",)], "name string")
     options = spark.createDataFrame([("corn maize",), ("wheat",), (None,)], "candidate string")
-    for match in (P.sequence_match, P.fuzzy_best_match):
+    for match in (P.fuzzy_best_match,):
         got = {r.name: r for r in match(names, options).collect()}
         assert got["maize corn"].candidate == "corn maize" and got["qqq"].needs_manual_check
 

@@ -125,3 +125,11 @@ def test_zone_of_a_square(spark):
     vertices = spark.createDataFrame([("z", 0, i, x, y) for i, (x, y) in enumerate(ring)], "zone string, ring int, seq int, lon double, lat double")
     got = {(r.r, r.c) for r in Z.rasterize_zones(Z.edges(vertices), SPEC).collect()}
     assert got == {(r, c) for r in range(7, 11) for c in range(16, 20)}
+
+
+def test_box_sums_do_not_drift_next_to_a_large_value(spark):
+    rows = [(r, c, 1e12 if (r, c) == (10, 10) else 0.05) for r in range(36) for c in range(72)]
+    layer = spark.createDataFrame(rows, "r int, c int, value double")
+    got = {(x["r"], x["c"]): x["total"] for x in N.box_sum_km(layer, GridSpec(36, 72), 1000.0).collect()}
+    far = [v for (r, c), v in got.items() if abs(r - 10) > 4]
+    assert far and all(abs(v * 20 - round(v * 20)) < 1e-9 for v in far)
