@@ -24,40 +24,35 @@ class ShardIndex:
 
     def __init__(self, docs: list[np.ndarray], k1: float = 1.2, b: float = 0.75, common: float = 0.1):
         n = len(docs)
-        terms, counts, owner = [], [], []
-        for i, ids in enumerate(docs):
-            t, c = np.unique(ids, return_counts=True)
-            terms.append(t)
-            counts.append(c)
-            owner.append(np.full(len(t), i, dtype=np.int32))
-        term, count, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (terms, counts, owner))
-        order = np.argsort(term, kind="stable")
-        term, count, self.doc = term[order], count[order].astype(np.float64), doc[order]
+        lengths = np.array([len(d) for d in docs], dtype=np.int64)
+        both = np.concatenate(docs or [np.zeros(0, np.int64)]).astype(np.int64) * n + np.repeat(np.arange(n), lengths)
+        both.sort()
+        start = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        count = np.diff(np.append(start, len(both))).astype(np.float64)
+        term, self.doc = np.divmod(both[start], max(n, 1))
         self.terms, first, df = np.unique(term, return_index=True, return_counts=True)
         self.first, self.last = first, first + df
         self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         self.idf[df > max(2, common * n)] = 0
-        size = np.array([len(d) for d in docs], dtype=np.float64)
-        norm = k1 * (1 - b + b * size / max(1.0, size.mean() if n else 1.0))
+        norm = k1 * (1 - b + b * lengths / max(1.0, lengths.mean() if n else 1.0))
         self.weight = np.repeat(self.idf, df) * count * (k1 + 1) / (count + norm[self.doc])
         self.n = n
 
     def neighbours(self, ids: np.ndarray, unused: np.ndarray, top_terms: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """The best unused documents for the rarest terms of ``ids`` and their scores, best first, ties to the earlier one."""
-        at = np.searchsorted(self.terms, np.unique(ids))
-        at = at[self.last[at] - self.first[at] > 1]
+        own = np.sort(ids)
+        own = own[np.append(True, own[1:] != own[:-1])]
+        at = np.searchsorted(self.terms, own)
+        at = at[(self.idf[at] > 0) & (self.last[at] - self.first[at] > 1)]
         at = at[np.argsort(-self.idf[at], kind="stable")[:top_terms]]
-        at = at[self.idf[at] > 0]
         if not len(at):
             return np.zeros(0, np.int64), np.zeros(0)
         spans = [slice(self.first[i], self.last[i]) for i in at]
-        docs = np.concatenate([self.doc[s] for s in spans])
-        found, where = np.unique(docs, return_inverse=True)
-        scores = np.bincount(where, weights=np.concatenate([self.weight[s] for s in spans]))
-        free = unused[found]
-        found, scores = found[free], scores[free]
-        best = np.lexsort((found, -scores))[:wanted]
-        return found[best], scores[best]
+        scores = np.bincount(np.concatenate([self.doc[s] for s in spans]), weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.n)
+        scores[~unused] = 0
+        found = np.flatnonzero(scores)
+        best = found[np.lexsort((found, -scores[found]))[:wanted]]
+        return best, scores[best]
 
 
 def pack_shard(docs: list[np.ndarray], window: int, top_terms: int = 24, wanted: int = 8) -> list[tuple[int, int, int, int, int, bool, float]]:

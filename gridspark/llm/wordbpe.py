@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import os
+import sys
+from array import array
 
 import numpy as np
 import regex
@@ -48,6 +50,8 @@ class TextEncoder:
     def __init__(self, path: str, cache_words: int = 700_000):
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are written in the machine's byte order, which must be little-endian")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
@@ -61,19 +65,19 @@ class TextEncoder:
 
     def _word(self, word: str) -> bytes:
         tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-        return np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        return array("I", [t.id for t in tokens]).tobytes()
 
     def _cut(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
     def _lower_run(self, run: str) -> bytes:
-        if not run.isascii():
-            run = self.tokenizer.normalizer.normalize_str(run)
-        run = run.lower() if run.isascii() else run
-        pieces = self.pattern.findall(run)
-        if len(pieces) == 1:
-            return self._word(pieces[0])
-        return b"".join([self.runs[p] if p.isascii() and p.isalpha() else self.words[p] for p in pieces])
+        if run.isascii() or max(run) < "\u0250":
+            low = run.lower()  # Latin letters below 0250 are composed already and have one lower case each
+        else:
+            low = self.tokenizer.normalizer.normalize_str(run)
+        if low.isalpha():
+            return self._word(low) if low == run else self.runs[low]
+        return b"".join([self.runs[p] if p.isascii() and p.isalpha() else self.words[p] for p in self.pattern.findall(low)])
 
     def _spaced_run(self, run: str) -> bytes:
         """The ids of a space and a run that neither starts nor ends with white space."""
