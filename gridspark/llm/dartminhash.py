@@ -122,7 +122,7 @@ def _sortable(rank: np.ndarray) -> np.ndarray:
 def _describe(k: int, bands: int, weighted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = k // bands
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):  # bounded memory
             found: list[tuple | None] = []
             own: list[tuple[np.ndarray, np.ndarray]] = []
             for text in batch.column(1):
@@ -134,13 +134,14 @@ def _describe(k: int, bands: int, weighted: bool):
                 both = np.concatenate([e, n.astype(U)]) if weighted else e
                 a = mix(both + U(0xA5A5A5A5)).sum(dtype=U)
                 b = np.bitwise_xor.reduce(mix(both ^ U(0x0F0F0F0F0F0F0F0F)))
-                found.append((int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big"), len(own), float(w.sum())))
+                found.append((int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big"), len(own)))
                 own.append((e, w))
-            sig = np.zeros((0, k), dtype=U)
-            for at in range(0, len(own), 64):  # bounded memory: so many texts at a time
+            parts = [np.zeros((0, k), dtype=U)]
+            for at in range(0, len(own), 64):
                 part = own[at : at + 64]
                 sizes = [len(e) for e, _ in part]
-                sig = np.concatenate([sig, signatures(np.concatenate([e for e, _ in part]), np.concatenate([w for _, w in part]), np.repeat(np.arange(len(part)), sizes), len(part), k)])
+                parts.append(signatures(np.concatenate([e for e, _ in part]), np.concatenate([w for _, w in part]), np.repeat(np.arange(len(part)), sizes), len(part), k))
+            sig = np.concatenate(parts)
             keys = np.zeros((len(own), bands), dtype=U)
             for i in range(bands):
                 value = np.full(len(own), i + 1, dtype=U)
@@ -152,18 +153,17 @@ def _describe(k: int, bands: int, weighted: bool):
             yield pa.RecordBatch.from_arrays([
                 batch.column(0),
                 pa.array([f[0] if f else None for f in found], pa.binary()),
-                pa.array([f[2] if f else None for f in found], pa.float64()),
                 pa.array([None if p is None else short[p].tobytes() for p in pick], pa.binary()),
                 pa.array([None if p is None else keys[p].view(np.int64) for p in pick], pa.list_(pa.int64())),
-            ], names=["doc_id", "set_key", "weight", "sketch", "bands"])
+            ], names=["doc_id", "set_key", "sketch", "bands"])
 
     return run
 
 
 #: Members of a bucket that one task compares.
 BUCKET = 512
-#: Sketch agreement from which a pair is a candidate: 0.8 less more than five standard deviations of the estimate.
-CANDIDATE = 0.6
+#: Sketch agreement from which a pair is a candidate: 0.8 less five standard deviations of the estimate.
+CANDIDATE = 0.62
 #: Sketch agreement from which a pair is taken for similar when links are thinned.
 SURE = 0.9
 
@@ -251,28 +251,19 @@ def _across(members: DataFrame) -> DataFrame:
     return held.select("band", "_x", F.lit(1).alias("blocks"), "members").mapInArrow(_compare, "band long, blocks int, a long, b long, node long, sketch binary").select("a", "b")
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        held = [np.unique(shingles(t.as_py()), return_counts=True) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([e.view(np.int64) for e, _ in held], pa.list_(pa.int64())), pa.array([n for _, n in held], pa.list_(pa.int64())),
-        ], names=["node", "elements", "counts"])
-
-
-def _verify(threshold: float, weighted: bool):
+def _sets(weighted: bool):
+    """The elements of a text. With ``weighted`` the n-th occurrence of a shingle is an element of its own, so that the
+    Jaccard similarity of these sets is that of the weighted ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for ea, ca, eb, cb in zip(*batch.columns[2:], strict=True):
-                x, y = ea.values.to_numpy(), eb.values.to_numpy()
-                _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
+            held = []
+            for text in batch.column(1):
+                e, n = np.unique(shingles(text.as_py()), return_counts=True)
                 if weighted:
-                    p, q = ca.values.to_numpy(), cb.values.to_numpy()
-                    same = np.minimum(p[i], q[j]).sum()
-                    keep.append(bool(same >= threshold * (p.sum() + q.sum() - same)))
-                else:
-                    keep.append(bool(len(i) >= threshold * (len(x) + len(y) - len(i)) - 1e-9))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+                    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    e = mix(np.repeat(e, n) + mix(number.astype(U)))
+                held.append(e.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int64()))], names=["node", "elements"])
 
     return run
 
@@ -288,7 +279,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 125, bands
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = source.select(F.struct("doc_id", F.xxhash64("text").alias("text_key")).alias("doc_id"), "text")
     described = materialize(
-        keyed.mapInArrow(_describe(k, bands, weighted), "doc_id struct<doc_id:long,text_key:long>, set_key binary, weight double, sketch binary, bands array<long>"), "signatures",
+        keyed.mapInArrow(_describe(k, bands, weighted), "doc_id struct<doc_id:long,text_key:long>, set_key binary, sketch binary, bands array<long>"), "signatures",
     )
     nodes = described.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -300,9 +291,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 125, bands
     texts = source.withColumn("text_key", F.xxhash64("text")).join(
         wanted.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
     ).dropDuplicates(["node"]).select("node", "text")
-    sets = materialize(texts.mapInArrow(_sets, "node long, elements array<long>, counts array<long>"), "shingle-sets")
-    one, two = sets.toDF("a", "ea", "ca"), sets.toDF("b", "eb", "cb")
-    links = pairs.join(one, "a").join(two, "b").select("a", "b", "ea", "ca", "eb", "cb").mapInArrow(_verify(threshold, weighted), "a long, b long")
+    sets = materialize(texts.mapInArrow(_sets(weighted), "node long, elements array<long>"), "shingle-sets")
+    same = F.size(F.array_intersect("ea", "eb"))
+    links = pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b").filter(same >= threshold * (F.size("ea") + F.size("eb") - same) - 1e-9).select("a", "b")
     labels = components(links)
     firsts = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("_class"))
     marked = described.select("doc_id", "set_key").join(firsts, "set_key", "left")
