@@ -164,38 +164,56 @@ def _describe(k: int, bands: int, weighted: bool):
 BUCKET = 512
 #: Sketch agreement from which a pair is a candidate: 0.8 less five standard deviations of the estimate.
 CANDIDATE = 0.62
-#: Sketch agreement from which a pair is taken for similar when links are thinned.
+#: Sketch agreement from which one member stands for both in the next round of a large bucket.
 SURE = 0.9
+#: Candidates kept across every cut of a bucket.
+FORESTS = 4
 
 
 def bucket_links(sketches: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
     """Pairs of a bucket's members to verify, and one member for each group of surely similar ones.
 
-    All pairs are compared by their sketches. Members joined by sure pairs form a group, whose tree of sure pairs is enough
-    to connect it. Other candidates are kept only between different groups."""
+    All pairs are compared by their sketches. Only classes are wanted, not links, so of the candidates a number of maximum
+    spanning forests is kept, each of the candidates that the ones before left: for every way to part the members in two,
+    the ``FORESTS`` most similar candidates between the parts are in them (all, if fewer). A class that hangs together by
+    any of those stays whole, and a bucket has no more than ``FORESTS`` pairs per member, however large it is."""
     m = len(sketches)
-    parent = list(range(m))
-
-    def root(i: int) -> int:
+    if m == 2:
+        share = float((sketches[0] == sketches[1]).mean())
+        return ([(0, 1)] if share >= CANDIDATE else []), ([0] if share >= SURE else [0, 1])
+    left, right, shares = [], [], []
+    for i in range(m - 1):
+        share = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
+        near = np.flatnonzero(share >= CANDIDATE)
+        left.append(np.full(len(near), i))
+        right.append(near + i + 1)
+        shares.append(share[near])
+    left, right, shares = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, shares))
+    order = np.lexsort((right, left, -shares))
+    forests = [list(range(m)) for _ in range(FORESTS)]
+    joins = [m - 1] * FORESTS
+
+    def root(parent: list[int], i: int) -> int:
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    out, rest = [], []
-    for i in range(m - 1):
-        share = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
-        for j in np.nonzero(share >= CANDIDATE)[0]:
-            other = i + 1 + int(j)
-            if share[j] < SURE:
-                rest.append((i, other))
-                continue
-            a, b = root(i), root(other)
+    out, sure = [], list(range(m))
+    for i, j, share in zip(left[order].tolist(), right[order].tolist(), shares[order].tolist(), strict=True):
+        for n, parent in enumerate(forests):
+            a, b = root(parent, i), root(parent, j)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out.append((i, other))
-    out += [(i, j) for i, j in rest if root(i) != root(j)]
-    return out, sorted({root(i) for i in range(m)})
+                joins[n] -= 1
+                out.append((i, j))
+                if n == 0 and share >= SURE:
+                    a, b = root(sure, i), root(sure, j)
+                    sure[max(a, b)] = min(a, b)
+                break
+        if not any(joins):
+            break
+    return out, sorted({root(sure, i) for i in range(m)})
 
 
 def _candidates(members: DataFrame) -> DataFrame:
