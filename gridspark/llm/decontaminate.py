@@ -174,19 +174,19 @@ def search_text(index: ItemIndex, text: str | None, threshold: float, least_ques
     padded = np.append(numbers, [base] * (GRAM - 1))
     spans = [padded[i : i + len(ws)] for i in range(GRAM)]
     known = np.nonzero((spans[0] >= 0) & (spans[1] >= 0) & (spans[2] >= 0))[0]
-    hits = [_lookup(index, spans, known, base)]
+    hits = [_lookup(index, spans, known, base, GRAM)]
     if index.short:
         for filled in (1, 2):  # items of one or two words are terms by themselves
             own = [spans[i] if i < filled else np.full(len(ws), base) for i in range(GRAM)]
             at = np.nonzero(np.all([own[i] >= 0 for i in range(filled)], axis=0))[0]
-            hits.append(_lookup(index, own, at, base))
-    place, term = (np.concatenate(x) for x in zip(*hits, strict=True))
+            hits.append(_lookup(index, own, at, base, filled))
+    place, end, term = (np.concatenate(x) for x in zip(*hits, strict=True))
     if not len(place):
         return []
     size = max(256, 2 * index.longest)
     best: dict[int, tuple[float, int, int, int]] = {}
     for a, z in passages(len(ws), size):
-        found = np.unique(term[(place >= a) & (place < z)])
+        found = np.unique(term[(place >= a) & (end <= z)])
         if len(found) and index.tops[found].sum() >= threshold - 1e-9:
             for item, score in index.search(found, threshold):
                 if item not in best or score > best[item][0] + 1e-12:
@@ -199,13 +199,14 @@ def search_text(index: ItemIndex, text: str | None, threshold: float, least_ques
     return out
 
 
-def _lookup(index: ItemIndex, spans: list[np.ndarray], at: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+def _lookup(index: ItemIndex, spans: list[np.ndarray], at: np.ndarray, base: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last + 1 places and terms of the runs at ``at`` that the index holds."""
     codes = np.zeros(len(at), dtype=np.int64)
     for s in spans:
         codes = codes * (base + 1) + s[at]
     found = np.minimum(np.searchsorted(index.codes, codes), len(index.codes) - 1)
     hit = index.codes[found] == codes
-    return at[hit], found[hit]
+    return at[hit], at[hit] + length, found[hit]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, least_question: float = 0.7, least_answer: float = 0.6, shard_items: int = 20_000) -> DataFrame:
