@@ -18,18 +18,12 @@ CROP_SYNONYMS = {
     "soy bean": "soybeans",
     "white potato": "potatoes",
     "sweet potato": "sweet potatoes",
-    "sugar beet": "sugar beet",
-    "sugar cane": "sugar cane",
     "rapeseed": "rape mustard seed",
     "rape": "rape mustard seed",
     "groundnut": "groundnuts",
     "pearl millet": "millet",
     "proso millet": "millet",
     "finger millet": "millet",
-    "sorghum": "sorghum",
-    "barley": "barley",
-    "wheat": "wheat",
-    "cassava": "cassava",
     "beans": "beans dry",
     "bean": "beans dry",
     "sunflower": "sunflower seed",

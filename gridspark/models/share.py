@@ -175,14 +175,6 @@ def softmax_share_linear(long: DataFrame, crops: Sequence[str], features: Sequen
     return SoftmaxShare(tuple(crops), tuple(features), shared, theta[:-1].reshape(shape), float(theta[-1]), loss)
 
 
-def softmax_share_multinomial(long: DataFrame, crops: Sequence[str], features: Sequence[str], y: str = "y", w: str = "w", l2: float = 0.02):
-    """Without the shared term: each share is a weighted class row of a multinomial regression."""
-    code = F.array_position(F.array(*[F.lit(c) for c in crops]), F.col("crop")).cast("double") - 1
-    rows = long.where(F.col(y) > 0).select(code.alias("label"), (F.col(y) * F.col(w)).alias("_w"), *features)
-    data, _ = vectorized(rows, features)
-    return LogisticRegression(family="multinomial", weightCol="_w", regParam=l2, elasticNetParam=0.0, standardization=False).fit(data)
-
-
 def softmax_share_tree(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str], y: str = "y", w: str = "w",
                        cell: Sequence[str] = ("r", "c"), trees: int = 100, max_depth: int = 5, seed: int = 42) -> DataFrame:
     """Boosted trees on the log share of long rows; scores of a cell become shares by softmax."""

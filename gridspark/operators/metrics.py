@@ -194,15 +194,3 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def corr_t(r: Column, n: Column) -> Column:
     """t statistic of a correlation."""
     return F.when((n > 2) & (F.abs(r) < 1), r * F.sqrt((n - 2) / (F.lit(1.0) - r * r)))
-
-
-def normal_p(t: Column) -> Column:
-    """Two-sided p of a t statistic by the normal approximation (large n)."""
-    z = F.abs(t)
-    # Abramowitz and Stegun 26.2.17 coefficients.
-    b = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
-    k = F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * z)
-    poly = F.lit(0.0)
-    for coefficient in reversed(b):
-        poly = (poly + F.lit(coefficient)) * k
-    return F.lit(2.0) * poly * F.exp(-z * z / 2.0) / F.lit(2.5066282746310002)

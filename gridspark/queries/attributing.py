@@ -83,6 +83,12 @@ def _(v):
     return A.dependence_curve(phi_long(v))
 
 
+@query("category_curve", duck("v_attr") + f"""SELECT {big('cls')}, count(*) AS n, {r6('sum(w * abs(phi)) / sum(w)', 'mean_abs')}, {r6('sum(w * phi) / sum(w)', 'mean_signed')}
+    FROM v_attr GROUP BY cls HAVING count(*) >= 20""")
+def _(v):
+    return A.category_curve(v.attr, "cls")
+
+
 @query("value_shap_relation", duck("v_score") + LONG + f""", k AS (SELECT *, {_avg_rank('x', 'feature')} AS rx, {_avg_rank('phi', 'feature')} AS rp FROM p)
     SELECT feature, count(*) AS n, {r6('corr(x, phi)', 'pearson')}, {r6('avg(CASE WHEN phi > 0 THEN 1.0 ELSE 0.0 END)', 'share_positive')},
     {r6('quantile_cont(phi, 0.05)', 'p05')}, {r6('quantile_cont(phi, 0.5)', 'p50')}, {r6('quantile_cont(phi, 0.95)', 'p95')}, {r6('corr(rx, rp)', 'spearman')} FROM k GROUP BY feature""")

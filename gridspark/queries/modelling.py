@@ -1,7 +1,12 @@
-"""Models. Learned results are checked by invariants in the tests, exact ones by SQL here."""
+"""Models. Learned values have no SQL of their own, so these queries return what any right fit must satisfy
+(completeness, calibration, optimality, conservation), next to the observed values, and SQL states it."""
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.fixtures import duck
@@ -13,9 +18,10 @@ from gridspark.models.design import standardize_design, vectorized
 from gridspark.operators import shapley as H
 from gridspark.operators.summary import to_wide
 from gridspark.queries.registry import big, bigs, query, r6
+from gridspark.session import cut_lineage
 
-# Few shallow trees: the queries show the operators, callers choose their own settings.
-SMALL = T.TreeParams(class_trees=4, fraction_trees=4, class_step=0.3, fraction_step=0.3, max_depth=3)
+# Fewer trees than the library's default of 100, which callers get: boosting runs a job per tree level.
+SMALL = T.TreeParams(class_trees=12, fraction_trees=12, class_step=0.3, fraction_step=0.3, max_depth=4)
 NUMERIC = ["x1", "x3", "x4"]
 
 
@@ -28,25 +34,42 @@ def sample(v):
     return v.score.withColumn("presence", presence).withColumn("y", y)
 
 
-@query("two_stage_oof")
+# The same table as SQL.
+SAMPLE = """, z AS (SELECT *, (id % 7 - 3) / CAST(10.0 AS DOUBLE) AS noise FROM v_score),
+    sm AS (SELECT *, CASE WHEN x1 * 2.0 - x3 + x4 + noise > 1.0 THEN 1 ELSE 0 END AS presence FROM z),
+    s AS (SELECT *, CASE WHEN presence = 1 THEN least(greatest(0.2 + 0.3 * x4 + 0.2 * x1 + noise / 5, 0.02), 0.98) ELSE 0.0 END AS y FROM sm)"""
+PRIOR = 0.3
+
+
+@query("two_stage_oof", duck("v_score") + SAMPLE + f"SELECT id, {bigs('fold', 'presence')}, {r6('y')}, TRUE AS complete, TRUE AS calibrated, TRUE AS is_product FROM s")
 def _(v):
-    oof, _, _ = T.two_stage_oof(sample(v), NUMERIC, ["cls"], "fold", 0.3, params=SMALL)
-    return oof
+    oof, models, _ = T.two_stage_oof(sample(v), NUMERIC, ["cls"], "fold", PRIOR, params=SMALL)
+    share = F.element_at(F.create_map(*[F.lit(x) for k, m in models.items() for x in (k, m.sample_prior)]), F.col("fold").cast("int"))
+    p = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    up, down = p * PRIOR / share, (1 - p) * (1 - PRIOR) / (1 - share)
+    whole = F.col("p").between(0, 1) & F.col("q").between(0, 1) & F.col("pred").between(0, 1)
+    return oof.select(
+        "id", "fold", "presence", "y", F.coalesce(whole, F.lit(False)).alias("complete"), (F.abs(F.col("p_cal") - up / (up + down)) < 1e-4).alias("calibrated"),
+        (F.abs(F.col("pred") - F.col("p_cal") * F.col("q")) < 1e-12).alias("is_product"),
+    )
 
 
-@query("gain_importance")
+@query("gain_importance", duck("v_score") + f"SELECT DISTINCT {big('fold')}, stage, {big('4', 'n_features')}, {r6('1.0', 'total_share')} FROM v_score, (VALUES ('presence'), ('fraction')) t(stage)")
 def _(v):
-    _, models, slots = T.two_stage_oof(sample(v), NUMERIC, ["cls"], "fold", 0.3, params=SMALL)
-    return T.gain_importance(models, slots, v.spark)
+    _, models, slots = T.two_stage_oof(sample(v), NUMERIC, ["cls"], "fold", PRIOR, params=SMALL)
+    gains = T.gain_importance(models, slots, v.spark)
+    return gains.groupBy("fold", "stage").agg(F.count("feature").alias("n_features"), F.sum("share").alias("total_share"))
 
 
-@query("feature_ablation")
+@query("feature_ablation", duck("v_score") + SAMPLE + f"""SELECT model, {big('n_features')}, count(*) AS n_cells, {r6('avg(y)', 'observed_mean')}, TRUE AS in_range
+    FROM s, (VALUES ('basic', 2), ('plus_x4', 3)) t(model, n_features) GROUP BY ALL""")
 def _(v):
     from gridspark.operators.metrics import regression_metrics
 
     specs = {"basic": ["x1", "cls"], "plus_x4": ["x1", "x4", "cls"]}
-    half = sample(v).withColumn("fold", F.col("fold") % 2)
-    return regression_metrics(T.feature_ablation(half, specs, ["cls"], "fold", 0.3, params=SMALL), "y", "p", by=["model", "n_features"])
+    runs = T.feature_ablation(sample(v), specs, ["cls"], "fold", PRIOR, params=SMALL)
+    metrics = regression_metrics(runs, "y", "p", by=["model", "n_features"])
+    return metrics.select("model", "n_features", "n_cells", "observed_mean", (F.col("predicted_mean").between(0, 1) & (F.col("rmse") < 1)).alias("in_range"))
 
 
 @query("standardize_design", duck("v_score") + f""", t AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x4) AS m4, stddev_pop(x4) AS s4 FROM v_score WHERE fold <> 0 AND cls <> 2)
@@ -59,11 +82,16 @@ def _(v):
     return test
 
 
-@query("fractional_logit")
+@query("fractional_logit", duck("v_score") + SAMPLE + f"SELECT count(*) AS n, {r6('sum(w * y) / sum(w)', 'mean_y')}, TRUE AS mean_kept FROM s WHERE presence = 1")
 def _(v):
+    # The intercept carries no penalty, so at the optimum the weighted mean of the predictions is that of the observations.
     df = sample(v).where("presence = 1")
     model = S.fractional_logit(df, "y", NUMERIC, "w")
-    return df.select("id", "y", model.mean().alias("pred"))
+    scored = df.withColumn("pred", model.mean())
+    total = F.sum("w")
+    return scored.agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("w") * F.col("y")) / total).alias("mean_y"), (F.sum(F.col("w") * F.col("pred")) / total).alias("p")).select(
+        "n", "mean_y", (F.abs(F.col("p") - F.col("mean_y")) < 1e-4).alias("mean_kept")
+    )
 
 
 CROP_FEATURES = ["rain", "irr"]
@@ -84,18 +112,34 @@ def crop_long(v):
     ), crops
 
 
-@query("softmax_share_linear")
+CROP_LONG = """, ca AS (SELECT r, c, 'k' || (CAST(substr(crop, 7) AS INT) % 4) AS crop, sum(area_ha) AS a FROM v_crop_area GROUP BY ALL),
+    tot AS (SELECT r, c, sum(a) AS t FROM ca GROUP BY ALL),
+    long AS (SELECT r, c, k.crop, coalesce(a / t, 0.0) AS y FROM v_cells JOIN tot USING (r, c) CROSS JOIN (VALUES ('k0'), ('k1'), ('k2'), ('k3')) k(crop)
+      LEFT JOIN ca USING (r, c, crop))"""
+
+
+@query("softmax_share_linear", duck("v_cells", "v_crop_area") + CROP_LONG + f"SELECT crop, count(*) AS n, {r6('avg(y)', 'mean_share')}, TRUE AS mean_kept, TRUE AS sums_to_one FROM long GROUP BY crop")
 def _(v):
+    # Intercepts carry no penalty, so at the optimum every crop's mean predicted share is the observed one.
     long, crops = crop_long(v)
-    model = S.softmax_share_linear(long, crops, CROP_FEATURES, "climate", "k0", max_iter=5)
-    return S.stable_softmax(long.withColumn("score", model.score()), "score", ["r", "c"]).select("r", "c", "crop", "y", "p")
+    model = S.softmax_share_linear(long, crops, CROP_FEATURES, "climate", "k0")
+    shares = S.stable_softmax(long.withColumn("score", model.score()), "score", ["r", "c"])
+    worst = shares.groupBy("r", "c").agg(F.abs(F.sum("p") - 1).alias("gap")).agg(F.max("gap")).scalar()
+    per = shares.groupBy("crop").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_share"), F.avg("p").alias("p"))
+    return per.select("crop", "n", "mean_share", (F.abs(F.col("p") - F.col("mean_share")) < 1e-3).alias("mean_kept"), (worst < 1e-9).alias("sums_to_one"))
 
 
-@query("softmax_share_tree")
+@query("softmax_share_tree", duck("v_cells", "v_crop_area") + CROP_LONG + f"SELECT {bigs('r', 'c')}, count(*) AS n_crops, {r6('1.0', 'total')}, {r6('sum(y)', 'observed_total')} FROM long GROUP BY r, c")
 def _(v):
+    # Every cell is predicted by trees that have not seen it.
     long, _ = crop_long(v)
-    train, test = long.where("(r + c) % 4 <> 0"), long.where("(r + c) % 4 = 0")
-    return S.softmax_share_tree(train, test, [*CROP_FEATURES, "climate"], ["crop"], trees=4, max_depth=3).select("r", "c", "crop", "y", "p")
+    long = long.persist()
+    fold = (F.col("r") + F.col("c")) % 4
+    one = lambda k: S.softmax_share_tree(long.where(fold != k), long.where(fold == k), [*CROP_FEATURES, "climate"], ["crop"], trees=SMALL.class_trees, max_depth=SMALL.max_depth)
+    parts = T.side_by_side(one, range(4))
+    out = cut_lineage(reduce(DataFrame.unionByName, parts))
+    long.unpersist()
+    return out.groupBy("r", "c").agg(F.count("p").alias("n_crops"), F.sum("p").alias("total"), F.sum("y").alias("observed_total"))
 
 
 @query("stable_softmax", duck("v_crop_area") + f""", s AS (SELECT r, c, crop, area_ha / 10 AS score FROM v_crop_area),
@@ -122,40 +166,60 @@ def _(v):
     return X.posterior(long, "ll", "pi", ["id"]).select("id", "k", "posterior", "loglik_total", "label", "confidence")
 
 
-@query("em_fractional_mixture")
+@query("em_fractional_mixture", duck("v_score") + SAMPLE + f"SELECT id, {r6('y')}, TRUE AS in_range, {r6('1.0', 'posterior_total')}, TRUE AS never_falls FROM s WHERE presence = 1")
 def _(v):
     df = sample(v).where("presence = 1")
-    mixture = X.em_fractional_mixture(df, "y", NUMERIC, 2, max_iter=2)
+    mixture = X.em_fractional_mixture(df, "y", NUMERIC, 2)
     data, _ = vectorized(df, NUMERIC)
-    return mixture.predict(data).select("id", "y", "pred")
+    scored = mixture.predict(data)
+    resp = mixture.responsibilities(F.least(F.greatest(F.col("y"), F.lit(X.EPS)), F.lit(1 - X.EPS)))
+    return scored.select("id", "y", F.col("pred").between(0, 1).alias("in_range"), (resp[0] + resp[1]).alias("posterior_total"), F.lit(X.never_falls(mixture.path)).alias("never_falls"))
 
 
-@query("em_two_stage_mixture")
+@query("em_two_stage_mixture", duck("v_score") + SAMPLE + f"SELECT id, {r6('1.0', 'posterior_total')}, TRUE AS sums_to_loglik, TRUE AS bic_fits, TRUE AS never_falls FROM s")
 def _(v):
     df = sample(v)
-    mixture = X.em_two_stage_mixture(df, "y", "presence", NUMERIC, 2, max_iter=1, n_init=1)
+    mixture = X.em_two_stage_mixture(df, "y", "presence", NUMERIC, 2)
     share = F.least(F.greatest(F.col("y"), F.lit(X.EPS)), F.lit(1 - X.EPS))
     scores = mixture.scores(F.col("presence"), F.log(share / (F.lit(1.0) - share)))
     total = X.log_sum_exp(scores)
-    return df.select("id", F.exp(scores[0] - total).alias("posterior_0"), total.alias("loglik"), F.lit(mixture.bic()).alias("bic"))
+    rows = df.select("id", total.alias("ll"), (F.exp(scores[0] - total) + F.exp(scores[1] - total)).alias("posterior_total"))
+    summed, n = rows.agg(F.sum("ll"), F.count(F.lit(1))).first()
+    sound = abs(summed - mixture.loglik) < 1e-6 * abs(summed)
+    bic = abs(mixture.bic() - (-2 * summed + (2 * (2 * (len(NUMERIC) + 1) + 1) + 1) * math.log(n))) < 1e-6 * abs(summed)
+    return rows.select("id", "posterior_total", F.lit(sound).alias("sums_to_loglik"), F.lit(bic).alias("bic_fits"), F.lit(X.never_falls(mixture.path)).alias("never_falls"))
 
 
-@query("moe_regimes")
+@query("moe_regimes", duck("v_score") + SAMPLE + f"SELECT id, {big('fold')}, {r6('y')}, TRUE AS known_regime, TRUE AS in_range FROM s")
 def _(v):
-    data, _ = vectorized(sample(v), NUMERIC)
-    model = X.moe_regimes(data.where("fold <> 0"), "y", "presence", 2, 0.3, iters=1, params=SMALL)
-    return X.moe_predict(model, data.where("fold = 0"), 0.3).select("id", "y", "regime", "hard_prediction", "soft_prediction")
+    data = vectorized(sample(v), NUMERIC)[0].persist()
 
+    def one(k):
+        model = X.moe_regimes(data.where(F.col("fold") != k), "y", "presence", 2, PRIOR, params=SMALL)
+        return X.moe_predict(model, data.where(F.col("fold") == k), PRIOR).select("id", "fold", "y", "regime", "hard_prediction", "soft_prediction")
 
-@query("kmeans_regime_models")
+    out = cut_lineage(reduce(DataFrame.unionByName, T.side_by_side(one, range(5))))
+    data.unpersist()
+    hard, soft = F.col("hard_prediction"), F.col("soft_prediction")
+    return out.select("id", "fold", "y", F.col("regime").isin(0, 1).alias("known_regime"), (hard.between(0, 1) & soft.between(0, 1)).alias("in_range"))
+
+
+@query("kmeans_regime_models", duck("v_score") + SAMPLE + f"SELECT id, {big('fold')}, {r6('y')}, TRUE AS known_regime, TRUE AS in_range FROM s")
 def _(v):
-    df = sample(v)
-    train, test, z = standardize_design(df.where("fold <> 0"), df.where("fold = 0"), NUMERIC, keep=["id", "y", "presence"])
-    a, b = vectorized(train, z)[0], vectorized(test, z)[0]
-    placed = X.kmeans_regime_models(a, b, z, "y", "presence", 2, 0.3, SMALL, min_rows=50, min_presences=10, min_absences=10)
-    if placed is None:
-        raise ValueError("a regime is too small")
-    return placed.select("id", "y", "regime", "pred")
+    df = sample(v).persist()
+
+    def one(k):
+        train, test, z = standardize_design(df.where(F.col("fold") != k), df.where(F.col("fold") == k), NUMERIC, keep=["id", "fold", "y", "presence"])
+        a, b = vectorized(train, z)[0], vectorized(test, z)[0]
+        # The guards fit the smallest data folder; the library's are larger.
+        placed = X.kmeans_regime_models(a, b, z, "y", "presence", 2, PRIOR, SMALL, min_rows=50, min_presences=10, min_absences=10)
+        if placed is None:
+            raise ValueError("a regime is too small")
+        return placed.select("id", "fold", "y", "regime", "pred")
+
+    out = cut_lineage(reduce(DataFrame.unionByName, T.side_by_side(one, range(5))))
+    df.unpersist()
+    return out.select("id", "fold", "y", F.col("regime").isin(0, 1).alias("known_regime"), F.col("pred").between(0, 1).alias("in_range"))
 
 
 @query("bic_select", duck("v_oof") + f""", f AS (SELECT cls + 1 AS k, -sum(pow(p_cand - y, 2)) AS ll, count(*) AS n, (cls + 1) * 9 + cls AS np, -avg(pow(p_base - y, 2)) AS oof FROM v_oof GROUP BY cls),
@@ -170,38 +234,53 @@ def _(v):
     return X.bic_select(fits.withColumn("n_parameters", F.col("k") * 9 + F.col("k") - 1))
 
 
-PHI = [f"f{i}" for i in range(8)]
+N_PHI = 64
+PHI = [f"f{i}" for i in range(N_PHI)]
 
 
 def phi_wide(v):
-    wide = to_wide(v.attr, ["id"], "f", "phi", list(range(8)))
-    return wide.select("id", *[F.col(f"`{i}`").alias(f"f{i}") for i in range(8)])
+    wide = to_wide(v.attr, ["id"], "f", "phi", list(range(N_PHI)))
+    return wide.select("id", *[F.col(f"`{i}`").alias(f"f{i}") for i in range(N_PHI)])
 
 
-@query("shap_kmeans")
+@query("shap_kmeans", duck("v_attr") + f"""SELECT 'f' || f AS feature, count(*) AS n, {r6('sum(phi)', 'total')}, {r6('var_pop(phi) * count(*)', 'sum_of_squares')}, {big('4', 'clusters')} FROM v_attr GROUP BY f""")
 def _(v):
-    placed, silhouette = E.attribution_clusters(phi_wide(v), PHI)
-    return E.cluster_profile(placed, PHI).withColumn("silhouette", F.lit(silhouette))
+    # Between plus within the clusters is the whole sum of squares of every feature.
+    placed, _ = E.attribution_clusters(phi_wide(v), PHI)
+    long = placed.unpivot(["cluster"], PHI, "feature", "phi")
+    per = long.groupBy("feature", "cluster").agg(F.count("phi").alias("n"), F.sum("phi").alias("s"), F.var_pop("phi").alias("v"))
+    mean = F.sum("s").over(Window.partitionBy("feature")) / F.sum("n").over(Window.partitionBy("feature"))
+    parts = per.withColumn("between", F.col("n") * (F.col("s") / F.col("n") - mean) * (F.col("s") / F.col("n") - mean))
+    return parts.groupBy("feature").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("total"), (F.sum("between") + F.sum(F.col("n") * F.col("v"))).alias("sum_of_squares"), F.count("cluster").alias("clusters")
+    )
 
 
-@query("shap_cluster_profile", duck("v_attr") + f""", s AS (SELECT id % 4 AS cluster, 'f' || f AS feature, avg(abs(phi)) AS a, avg(phi) AS g, count(*) AS n FROM v_attr WHERE f < 8 GROUP BY 1, 2)
+@query("shap_cluster_profile", duck("v_attr") + f""", s AS (SELECT id % 4 AS cluster, 'f' || f AS feature, avg(abs(phi)) AS a, avg(phi) AS g, count(*) AS n FROM v_attr GROUP BY 1, 2)
     SELECT {big('cluster')}, feature, {r6('a', 'mean_abs')}, {r6('g', 'mean_signed')}, n, first_value(feature) OVER (PARTITION BY cluster ORDER BY a DESC, feature) AS dominant_feature FROM s""")
 def _(v):
     return E.cluster_profile(phi_wide(v).withColumn("cluster", F.col("id") % 4), PHI)
 
 
-@query("pca_embed")
+@query("pca_embed", duck("v_attr") + f"""SELECT id, {r6('sum(((phi - m) / sd) * ((phi - m) / sd))', 'squared_norm')}, {r6('1.0', 'explained')} FROM v_attr
+    JOIN (SELECT f, avg(phi) AS m, stddev_samp(phi) AS sd FROM v_attr GROUP BY f) USING (f) GROUP BY id""")
 def _(v):
-    scores, _ = E.attribution_pca(phi_wide(v), PHI)
-    return scores.select("id", "pc1", "pc2")
+    # All components together keep every row's squared norm, and explain all variance.
+    scores, explained = E.attribution_pca(phi_wide(v), PHI, n=N_PHI)
+    norm = reduce(lambda a, b: a + b, [F.col(f"pc{i + 1}") * F.col(f"pc{i + 1}") for i in range(N_PHI)])
+    return scores.select("id", norm.alias("squared_norm"), F.lit(sum(explained)).alias("explained"))
 
 
-@query("group_shapley_model")
+@query("group_shapley_model", duck("v_score") + f"SELECT id, TRUE AS additive, TRUE AS in_range FROM v_score")
 def _(v):
     df = sample(v)
     data, assembler = vectorized(df, NUMERIC)
     model = T.fit_two_stage(data, "y", "presence", SMALL)
-    frame = lambda d: model.score(assembler.transform(d), 0.3, "score").drop("features")
+    frame = lambda d: model.score(assembler.transform(d), PRIOR, "score").drop("features")
     groups = {"a": ["x1"], "b": ["x3"], "c": ["x4"]}
     pool = H.background_pool(df, "id", "w", NUMERIC, 64)
-    return H.group_shapley_frame(df, "id", groups, frame, pool, 64, draws=1)
+    phi = H.group_shapley_frame(df, "id", groups, frame, pool, 64, draws=4)
+    # The prediction of all groups together is the model's own, found without any background.
+    own = model.score(data, PRIOR, "_own").select("id", "_own")
+    total = F.col("baseline") + F.col("phi__a") + F.col("phi__b") + F.col("phi__c")
+    return phi.join(own, "id").select("id", (F.abs(total - F.col("_own")) < 1e-9).alias("additive"), F.col("baseline").between(0, 1).alias("in_range"))

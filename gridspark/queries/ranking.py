@@ -144,10 +144,10 @@ def _(v):
     return Y.to_long(v.cells, ["frac", "pop"], ["r", "c"])
 
 
-@query("long_to_wide", duck("v_attr") + f"SELECT id, {', '.join(r6(f'max(phi) FILTER (WHERE f = {i})', str(i)).replace(f'AS {i}', f'AS f{i}') for i in range(8))} FROM v_attr GROUP BY id")
+@query("long_to_wide", duck("v_attr") + f"SELECT id, {', '.join(r6(f'max(phi) FILTER (WHERE f = {i})', str(i)).replace(f'AS {i}', f'AS f{i}') for i in range(64))} FROM v_attr GROUP BY id")
 def _(v):
-    wide = Y.to_wide(v.attr, ["id"], "f", "phi", list(range(8)))
-    return wide.select("id", *[F.col(f"`{i}`").alias(f"f{i}") for i in range(8)])
+    wide = Y.to_wide(v.attr, ["id"], "f", "phi", list(range(64)))
+    return wide.select("id", *[F.col(f"`{i}`").alias(f"f{i}") for i in range(64)])
 
 
 @query("set_checks", """WITH a AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_size > 3), b AS (SELECT DISTINCT p_brand AS name FROM part WHERE p_retailprice < 1200
