@@ -181,39 +181,62 @@ def bucket_links(sketches: np.ndarray) -> tuple[list[tuple[int, int]], list[int]
     if m == 2:
         share = float((sketches[0] == sketches[1]).mean())
         return ([(0, 1)] if share >= CANDIDATE else []), ([0] if share >= SURE else [0, 1])
-    left, right, shares = [], [], []
+    left, right, shares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for i in range(m - 1):
         share = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
         near = np.flatnonzero(share >= CANDIDATE)
         left.append(np.full(len(near), i))
         right.append(near + i + 1)
         shares.append(share[near])
-    left, right, shares = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, shares))
+    left, right, shares = (np.concatenate(x) for x in (left, right, shares))
     order = np.lexsort((right, left, -shares))
-    forests = [list(range(m)) for _ in range(FORESTS)]
-    joins = [m - 1] * FORESTS
-
-    def root(parent: list[int], i: int) -> int:
+    left, right, shares = left[order], right[order], shares[order]
+    out: list[tuple[int, int]] = []
+    sure = np.arange(m)
+    for n in range(FORESTS):
+        own = spanning_forest(left, right, m)
+        out += zip(left[own].tolist(), right[own].tolist(), strict=True)
+        if n == 0:
+            near = own[shares[own] >= SURE]
+            sure = merged(sure, left[near], right[near])
+        rest = np.ones(len(left), dtype=bool)
+        rest[own] = False
+        left, right, shares = left[rest], right[rest], shares[rest]
+    return out, np.unique(sure).tolist()
+
+
+def spanning_forest(left: np.ndarray, right: np.ndarray, m: int) -> np.ndarray:
+    """Numbers of the edges of the first spanning forest of a graph whose edges are in order of preference.
+
+    Every part takes the first edge that leads out of it, and the parts that these edges join become one, until none does."""
+    label, taken, edges = np.arange(m), [np.zeros(0, np.int64)], np.arange(len(left))
+    while True:
+        out = label[left[edges]] != label[right[edges]]
+        edges = edges[out]
+        if not len(edges):
+            return np.concatenate(taken)
+        first = np.full(m, len(left))
+        np.minimum.at(first, label[left[edges]], edges)
+        np.minimum.at(first, label[right[edges]], edges)
+        own = np.unique(first[first < len(left)])
+        taken.append(own)
+        label = merged(label, left[own], right[own])
+
+
+def merged(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels after the edges join their ends' parts; a part is named by its least member."""
+    parent = list(range(len(label)))
+
+    def root(i: int) -> int:
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    out, sure = [], list(range(m))
-    for i, j, share in zip(left[order].tolist(), right[order].tolist(), shares[order].tolist(), strict=True):
-        for n, parent in enumerate(forests):
-            a, b = root(parent, i), root(parent, j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                joins[n] -= 1
-                out.append((i, j))
-                if n == 0 and share >= SURE:
-                    a, b = root(sure, i), root(sure, j)
-                    sure[max(a, b)] = min(a, b)
-                break
-        if not any(joins):
-            break
-    return out, sorted({root(sure, i) for i in range(m)})
+    for i, j in zip(label[left].tolist(), label[right].tolist(), strict=True):
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(len(label))])[label]
 
 
 def _candidates(members: DataFrame) -> DataFrame:
