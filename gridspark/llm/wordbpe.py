@@ -2,7 +2,7 @@
 
 These tokenizers cut a text into words by a pattern and encode each word by itself, so the ids of a text are those of its
 words in a row. A task keeps the ids of the words it has met, and of the runs between two spaces; the library's model encodes
-what is new. The caches are emptied when full, which costs time but changes no id. Texts that hold a special string go to
+what is new. A cache has a limit; what it forgets is encoded again, so the limit changes no id. Texts that hold a special string go to
 the library whole, since it finds those strings before it cuts."""
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import regex
 
 #: The pattern by which byte-level tokenizers cut where their file only says ``use_regex``: a fixed value.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Signs that are a word of their own after letters.
+SIGNS = frozenset(".,;:!?")
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
@@ -25,13 +27,18 @@ class _Odd(Exception):
 
 
 class _Cache(dict):
+    """What ``make`` gave for a key. A full cache becomes the old one, which still answers until the next is full."""
+
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key: str) -> bytes:
-        ids = self.make(key)
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
         self[key] = ids
         return ids
@@ -47,7 +54,7 @@ def _byte_letters() -> dict[int, str]:
 class TextEncoder:
     """``encode(text)`` gives the same ids as ``Tokenizer.encode(text, add_special_tokens=False)``, as '<u4' bytes."""
 
-    def __init__(self, path: str, cache_words: int = 700_000):
+    def __init__(self, path: str, cache_words: int = 500_000):
         from tokenizers import Tokenizer
 
         if sys.byteorder != "little":
@@ -61,6 +68,7 @@ class TextEncoder:
         self.pattern = regex.compile(pattern)
         self.letters = _byte_letters()
         self.words = _Cache(self._word, cache_words)
+        self.firsts = _Cache(self._first_run, cache_words // 4)
         self.runs = _Cache(self._lower_run if self.lower else self._spaced_run, cache_words)
 
     def _word(self, word: str) -> bytes:
@@ -77,6 +85,8 @@ class TextEncoder:
             low = self.tokenizer.normalizer.normalize_str(run)
         if low.isalpha():
             return self._word(low) if low == run else self.runs[low]
+        if low[-1:] in SIGNS and low[:-1].isalpha():
+            return self.runs[low[:-1]] + self.words[low[-1]]
         return b"".join([self.runs[p] if p.isascii() and p.isalpha() else self.words[p] for p in self.pattern.findall(low)])
 
     def _spaced_run(self, run: str) -> bytes:
@@ -85,9 +95,17 @@ class TextEncoder:
             return self._word(" " + run)
         if not run or run[0].isspace() or run[-1].isspace():
             raise _Odd
+        if run[-1] in SIGNS and run[:-1].isalpha():
+            return self.runs[run[:-1]] + self.words[run[-1]]
         first, *rest = self.pattern.findall(" " + run)
         return (self.runs[first[1:]] if rest else self._word(first)) + b"".join([self.words[p] for p in rest])
 
+    def _first_run(self, run: str) -> bytes:
+        """The ids of a run at the beginning of a line."""
+        if not run or run[0].isspace() or run[-1].isspace():
+            raise _Odd
+        return self._word(run) if run.isalpha() else self._cut(run)
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -96,11 +114,14 @@ class TextEncoder:
                 return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if self.lower:
             return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
-        first, *rest = text.split(" ")
+        out: list[bytes] = []
         try:
-            if rest and (not first or first[-1].isspace()):
-                raise _Odd
-            return self._cut(first) + b"".join(map(self.runs.__getitem__, rest))
+            for line in text.split("\n"):
+                first, *rest = line.split(" ")
+                out.append(self.firsts[first])
+                out += map(self.runs.__getitem__, rest)
+                out.append(self.words["\n"])
+            return b"".join(out[:-1])
         except _Odd:
             return self._cut(text)
 
