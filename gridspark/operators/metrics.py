@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -194,3 +195,61 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def corr_t(r: Column, n: Column) -> Column:
     """t statistic of a correlation."""
     return F.when((n > 2) & (F.abs(r) < 1), r * F.sqrt((n - 2) / (F.lit(1.0) - r * r)))
+
+
+def _log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series eight steps further up."""
+    y = x + F.lit(8.0)
+    steps = F.lit(0.0)
+    for i in range(8):
+        steps = steps + F.log(x + F.lit(float(i)))
+    # The first terms of Stirling's series.
+    series = F.lit(1.0) / (12 * y) - F.lit(1.0) / (360 * F.pow(y, 3)) + F.lit(1.0) / (1260 * F.pow(y, 5)) - F.lit(1.0) / (1680 * F.pow(y, 7))
+    return (y - F.lit(0.5)) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series - steps
+
+
+def _beta_fraction(a: Column, b: Column, x: Column, steps: int = 200) -> Column:
+    """The continued fraction of the incomplete beta function, by its even and odd convergents' ratios."""
+    tiny = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+    first = F.lit(1.0) / tiny(F.lit(1.0) - (a + b) * x / (a + 1))
+
+    def advance(s: Column, m: Column) -> Column:
+        def half(c: Column, d: Column, h: Column, factor: Column) -> tuple[Column, Column, Column]:
+            d = F.lit(1.0) / tiny(F.lit(1.0) + factor * d)
+            c = tiny(F.lit(1.0) + factor / c)
+            return c, d, h * d * c
+
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        c, d, h = half(s["c"], s["d"], s["h"], even)
+        c, d, h = half(c, d, h, odd)
+        return F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, advance)["h"]
+
+
+# Degrees of freedom from which the corrected normal limit is used; its error is below 1e-7 there.
+NORMAL_FROM = 10_000
+
+
+def correlation_p(t: Column, n: Column) -> Column:
+    """Two-sided p-value of a correlation's t statistic with n - 2 degrees of freedom."""
+    df = (n - 2).cast("double")
+    x = df / (df + t * t)
+    a, b = df / 2, F.lit(0.5)
+    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - F.lit(0.5 * math.log(math.pi)) + a * F.log(x) + b * F.log(F.lit(1.0) - x))
+    direct = front * _beta_fraction(a, b, x) / a
+    mirrored = F.lit(1.0) - front * _beta_fraction(b, a, F.lit(1.0) - x) / b
+    exact = F.when(t == 0, 1.0).when(x < (a + 1) / (a + b + 2), direct).otherwise(mirrored)
+    z = F.abs(t) * (F.lit(1.0) - 1 / (4 * df)) / F.sqrt(F.lit(1.0) + t * t / (2 * df))
+    return F.when(df < NORMAL_FROM, exact).otherwise(_normal_tails(z))
+
+
+def _normal_tails(z: Column) -> Column:
+    # Abramowitz and Stegun 26.2.17.
+    k = F.lit(1.0) / (F.lit(1.0) + F.lit(0.2316419) * z)
+    poly = F.lit(0.0)
+    for coefficient in (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530):
+        poly = (poly + F.lit(coefficient)) * k
+    return F.lit(2.0 / math.sqrt(2 * math.pi)) * poly * F.exp(-z * z / 2)

@@ -112,11 +112,19 @@ def _(v):
     return M.spearman_matrix(v.cells, ["frac", "pot_rain", "pop"])
 
 
-@query("corr_pvalue", duck("v_cells") + f""", k AS (SELECT soil % 4 AS grp, count(*) AS n, corr(frac, pot_rain) AS r FROM v_cells GROUP BY 1)
-    SELECT {big('grp')}, n, {r6('r')}, {r6('CASE WHEN n > 2 AND abs(r) < 1 THEN r * sqrt((n - 2) / (1 - r * r)) END', 't')} FROM k""")
+# The p-value by its finite series in the angle atan(t / sqrt(df)), one way for even and one for odd degrees of freedom.
+P_SERIES = """, q AS (SELECT *, n - 2 AS df, atan(abs(t) / sqrt(n - 2)) AS th FROM tt),
+    i AS (SELECT grp, j, df, th, CASE WHEN df % 2 = 0 THEN (2 * j - 1) / (2.0 * j) ELSE 2.0 * j / (2 * j + 1) END AS f FROM q, range(1, 20000) z(j) WHERE j <= (df - 2) // 2 AND j < 20000),
+    c AS (SELECT grp, j, df, th, exp(sum(ln(f)) OVER (PARTITION BY grp ORDER BY j)) AS c FROM i),
+    sums AS (SELECT grp, sum(CASE WHEN df % 2 = 0 THEN c * pow(cos(th), 2 * j) WHEN j <= (df - 3) // 2 THEN c * pow(cos(th), 2 * j + 1) ELSE 0 END) AS s FROM c GROUP BY grp),
+    pv AS (SELECT q.*, 1 - CASE WHEN df % 2 = 0 THEN sin(th) * (1 + coalesce(s, 0)) ELSE 2 / pi() * (th + CASE WHEN df > 1 THEN sin(th) * (cos(th) + coalesce(s, 0)) ELSE 0 END) END AS p FROM q LEFT JOIN sums USING (grp))"""
+
+
+@query("corr_pvalue", duck("v_cells") + f""", k AS (SELECT soil % 4 AS grp, count(*) AS n, corr(frac, pot_rain) AS r FROM v_cells GROUP BY 1),
+    tt AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM k)""" + P_SERIES + f" SELECT {big('grp')}, n, {r6('r')}, {r6('t')}, {r6('p')} FROM pv")
 def _(v):
     k = v.cells.groupBy((F.col("soil") % 4).alias("grp")).agg(rows().alias("n"), F.corr("frac", "pot_rain").alias("r"))
-    return k.withColumn("t", M.corr_t(F.col("r"), F.col("n")))
+    return k.withColumn("t", M.corr_t(F.col("r"), F.col("n"))).withColumn("p", M.correlation_p(F.col("t"), F.col("n")))
 
 
 @query("crop_share", duck("v_crop_area", "v_cells") + f"""SELECT {RC}, crop, {r6('area_ha / sum(area_ha) OVER (PARTITION BY r, c)', 'share')},

@@ -1,5 +1,6 @@
 """Invariants of sampling, crops, attribution and learned models."""
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,21 @@ def test_fractional_mixture_predicts_fractions(views):
     data, _ = vectorized(df, NUMERIC)
     row = mixture.predict(data).agg(F.min("pred").alias("lo"), F.max("pred").alias("hi")).first()
     assert 0 < row.lo <= row.hi < 1
+
+
+def test_correlation_p_values(spark):
+    """Against Student's distribution by fine numerical integration."""
+    import math
+
+    from gridspark.operators import metrics as M
+
+    def brute(t, df):
+        u = (np.arange(200_000) + 0.5) / 200_000 * math.atan(abs(t) / math.sqrt(df))
+        whole = (np.arange(200_000) + 0.5) / 200_000 * math.pi / 2
+        part = (np.cos(u) ** (df - 1)).mean() * math.atan(abs(t) / math.sqrt(df))
+        return 1 - part / ((np.cos(whole) ** (df - 1)).mean() * math.pi / 2)
+
+    cases = [(t, n) for n in (3, 4, 5, 12, 101, 2000, 9000, 20_000) for t in (0.0, 0.01, -0.7, 1.96, 5.0)]
+    df = spark.createDataFrame(cases, "t double, n long").withColumn("p", M.correlation_p(F.col("t"), F.col("n")))
+    for r in df.collect():
+        assert abs(r.p - brute(r.t, r.n - 2)) < 2e-7, (r.t, r.n)
