@@ -268,6 +268,21 @@ def test_edge_rows_of_licences(edge, nothing, model):
     assert licenses.scan(nothing, model).count() == 0
 
 
+def test_every_anchor_has_a_stem_and_every_template_an_anchor():
+    assert all(any(s in a for s in licenses.STEMS) for a in licenses.ANCHORS)
+    pairs = [" ".join(licenses._pairs(t)).split() for ts in licenses.TEMPLATES.values() for t in ts]
+    assert all(set(p) & set(licenses.ANCHORS) for p in pairs)
+
+
+def test_features_are_all_runs_with_an_anchor(spark):
+    cases = ["released under the mit license", "mit", "a mit", "no notice here at all", "", "mit mit mit bsd x y z gpl"]
+    df = spark.createDataFrame([(c,) for c in cases], "t string").select("t", licenses.features(licenses.split_words(F.col("t"))).alias("g"))
+    for r in df.collect():
+        w = r.t.split()
+        want = {" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1) if set(w[i : i + n]) & {*licenses.ANCHORS, *licenses.NAMES}}
+        assert set(r.g) == want and len(r.g) == len(want)
+
+
 def test_licence_scan_has_no_python(docs, model):
     plan = licenses.scan(docs, model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
