@@ -18,7 +18,7 @@ HEADLINE = (
     "layer_stack", "region_theta_join", "price_summary", "calorie_summary", "country_summary", "topk_mean", "dominant_crop", "crop_share",
     "regression_metrics", "metrics_by_group", "auc", "average_precision", "weighted_quantile", "quantile_bins", "spearman_corr",
     "case_control_sample", "block_bootstrap", "shap_group_summary", "group_shapley_exact", "feature_shapley_paired", "permutation_importance",
-    "regional_change_metrics", "fractional_logit",
+    "regional_change_metrics", "fractional_logit", "fuzzy_best_match", "two_stage_oof", "group_shapley_model", "em_fractional_mixture", "kmeans_regime_models",
 )
 
 

@@ -12,6 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.session import cut_lineage
+
 
 def _scaled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     stages = [VectorAssembler(inputCols=list(features), outputCol="_raw"), StandardScaler(withMean=True, inputCol="_raw", outputCol="features")]
@@ -23,7 +25,9 @@ def attribution_clusters(phi: DataFrame, features: Sequence[str], k: int = 4, se
     data = _scaled(phi, features).persist()
     placed = KMeans(k=k, seed=seed, predictionCol="cluster").fit(data).transform(data)
     silhouette = ClusteringEvaluator(predictionCol="cluster").evaluate(placed)
-    return placed.drop("features"), silhouette
+    out = cut_lineage(placed.drop("features"))
+    data.unpersist()
+    return out, silhouette
 
 
 def cluster_profile(placed: DataFrame, features: Sequence[str], cluster: str = "cluster") -> DataFrame:

@@ -109,7 +109,9 @@ def gather(sample: DataFrame, layers: Mapping[str, DataFrame], keys: Sequence[st
     long = tagged[0]
     for other in tagged[1:]:
         long = long.unionByName(other)
-    return sample.join(layer_stack(long, list(layers), keys), list(keys), "left")
+    # Cells outside the sample are dropped before anything is grouped.
+    wanted = long.join(sample.select(*keys).distinct(), list(keys), "left_semi")
+    return sample.join(layer_stack(wanted, list(layers), keys), list(keys), "left")
 
 
 def crosswalk(crops: DataFrame, maps: Sequence[tuple[str, DataFrame]], key: str = "crop") -> DataFrame:

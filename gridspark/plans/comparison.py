@@ -40,15 +40,14 @@ def regional_change(pairs: DataFrame, regions: DataFrame, w: str, y: str = "y")
     )
     rows = inside.withColumn("_k", F.explode(weightings)).select(*[c for c in inside.columns if c != w], "_k.weighting", "_k._w")
     by = ["region", "weighting"]
-    fits = []
-    for label in ("old", "new"):
-        m = regression_metrics(rows, y, f"p_{label}", "_w", by)
-        fits.append(m.select(*by, *[F.col(c).alias(f"{c}_{label}") for c in ("rmse", "mae", "r2")]))
+    # Both models in one pass; the second grouping has two rows per region and weighting.
+    fits = regression_metrics(models_long(rows, {"old": "p_old", "new": "p_new"}, [*by, y, "_w"]), y, "p", "_w", [*by, "model"])
+    wide = fits.groupBy(*by).agg(*[F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{m}") for m in ("old", "new") for c in ("rmse", "mae", "r2")])
     extra = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_cells"), improved_share(F.col("p_old"), F.col("p_new"), F.col(y), F.col("_w")).alias("improved_pct"),
         weighted_mean(F.abs(F.col("p_new") - F.col("p_old")), F.col("_w")).alias("mean_abs_change"),
     )
-    out = fits[0].join(fits[1], by).join(extra, by)
+    out = wide.join(extra, by)
     return out.withColumn("rmse_change_pct", F.when(F.col("rmse_old") > 0, (F.col("rmse_new") / F.col("rmse_old") - 1.0) * 100.0))
 
 

@@ -13,11 +13,14 @@ from gridspark.queries.registry import big, bigs, query, r6
 RC = bigs("r", "c")
 
 
-@query("layer_stack", duck("v_cells", "v_cube") + f""", b AS (SELECT r, c, max(v) FILTER (WHERE yr = 1995) AS y1995, max(v) FILTER (WHERE yr = 1996) AS y1996
-    FROM v_cube GROUP BY r, c) SELECT {RC}, {r6('frac')}, {r6('y1995')}, {r6('y1996')} FROM v_cells LEFT JOIN b USING (r, c)""")
+YEARS = range(1992, 1999)
+
+
+@query("layer_stack", duck("v_cells", "v_cube") + f""", b AS (SELECT r, c, {', '.join(f"max(v) FILTER (WHERE yr = {y}) AS y{y}" for y in YEARS)}
+    FROM v_cube GROUP BY r, c) SELECT {RC}, {r6('frac')}, {', '.join(r6(f'y{y}') for y in YEARS)} FROM v_cells LEFT JOIN b USING (r, c)""")
 def _(v):
     cube = v.cube
-    layers = {f"y{y}": cube.where(F.col("yr") == y).withColumnRenamed("v", "value") for y in (1995, 1996)}
+    layers = {f"y{y}": cube.where(F.col("yr") == y).withColumnRenamed("v", "value") for y in YEARS}
     return J.gather(v.cells.select("r", "c", "frac"), layers)
 
 

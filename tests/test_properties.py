@@ -161,3 +161,29 @@ def test_correlation_p_values(spark):
     df = spark.createDataFrame(cases, "t double, n long").withColumn("p", M.correlation_p(F.col("t"), F.col("n")))
     for r in df.collect():
         assert abs(r.p - brute(r.t, r.n - 2)) < 2e-7, (r.t, r.n)
+
+
+def test_cached_layers_follow_their_sources(spark, tmp_path):
+    from gridspark.functions.grid import GridSpec
+    from gridspark.sources import tables
+
+    spec, built = GridSpec(2, 2), []
+    for name, value in (("one", 1.0), ("two", 2.0), ("two", 2.0)):
+        source = str(tmp_path / name)
+        if name not in built:
+            spark.createDataFrame([(0, 0, value)], "r long, c long, v double").write.parquet(source)
+        build = lambda s=source, n=name: (built.append(n), spark.read.parquet(s))[1]
+        layer = tables.load_or_build(spark, str(tmp_path / "cache"), spec, build, sources=[source])
+        assert [r.v for r in layer.collect()] == [value]
+    assert built == ["one", "two"]
+
+
+def test_ranges_split_equal_values_and_any_number_of_groups(spark):
+    from gridspark.operators import scan
+
+    df = spark.range(1500).select("id", (F.col("id") % 75).cast("string").alias("g"), F.lit(1.0).alias("x"))
+    parts = scan.add_range(df, "x", ["g"], split_rows=10, ties=["id"])
+    most = parts.groupBy("g", scan.BUCKET).count().agg(F.max("count"), F.count("count")).first()
+    assert most[1] > 100 and parts.select(scan.BUCKET).distinct().count() > 100
+    rn = scan.numbered(df, "x", ["id"], ["g"], "rn", split_rows=10)
+    assert rn.where(F.col("rn") != F.floor(F.col("id") / 75) + 1).count() == 0
