@@ -34,7 +34,7 @@ class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
