@@ -131,12 +131,21 @@ def _best(k: int, hold: int = 512):
                         i, j = np.nonzero(np.ones_like(scores, dtype=bool))
                     out_q.append(q_ids[at + i])
                     out_c.append(c_ids[j])
-                    out_s.append(scores[i, j])
+                    out_s.append(pair_scores(q[at : at + hold], c, i, j))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_c, out_s)], names=["query", "vid", "score"])
 
     return run
 
 
+def pair_scores(q: np.ndarray, c: np.ndarray, i: np.ndarray, j: np.ndarray, hold: int = 8192) -> np.ndarray:
+    """Inner products of rows ``i`` of ``q`` with rows ``j`` of ``c``, each summed by itself: a pair has the same score in every
+    block, whereas the last bits of a matrix product depend on its shape."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), hold):
+        out[at : at + hold] = (q[i[at : at + hold]] * c[j[at : at + hold]]).sum(axis=1)
+    return out
+
+
 def _unpack(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
     rows = value.values
     if rows is None or not len(rows):
@@ -145,9 +154,10 @@ def _unpack(value: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` + 1 distinct vectors of each query with all that tie with the last of them."""
+    """The best ``k`` + 1 distinct vectors of each query with all that tie with the last of them; a pair counts once, whatever
+    the last bits of its scores in several orderings."""
     place = F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))
-    return scored.distinct().withColumn("_place", place).filter(F.col("_place") <= k + 1).drop("_place")
+    return scored.groupBy("query", "vid").agg(F.max("score").alias("score")).withColumn("_place", place).filter(F.col("_place") <= k + 1).drop("_place")
 
 
 def _compare(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:

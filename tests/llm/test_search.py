@@ -265,6 +265,20 @@ def test_ties_copies_and_bad_vectors(spark):
     assert sorted(x.vec_id for x in few) == [201, 202, 203, 204]
 
 
+def test_no_vector_is_named_twice(spark):
+    up = float(np.nextafter(0.5, 1))
+    scored = spark.createDataFrame([(1, 7, 0.5), (1, 7, up), (1, 8, 0.4), (1, 9, 0.3), (2, 7, up)], "query long, vid long, score double")
+    assert sorted((x.query, x.vid) for x in curvesearch._top(scored, 1).collect()) == [(1, 7), (1, 8), (2, 7)]
+    r = np.random.default_rng(11)
+    q, c = r.normal(size=(33, 64)).astype(np.float32).astype(float), r.normal(size=(500, 64)).astype(np.float32).astype(float)
+    i, j = (x.reshape(-1) for x in np.indices((33, 500)))
+    whole = curvesearch.pair_scores(q, c, i, j).reshape(33, 500)
+    assert all((curvesearch.pair_scores(q[a:], c[b:], np.array([32 - a]), np.array([499 - b])) == whole[32, 499]).all() for a, b in ((0, 0), (7, 3), (32, 499)))
+    rows = [(n, [float(x) for x in v]) for n, v in enumerate(r.normal(size=(2501, 64)).astype(np.float32))]
+    named = Counter((x.query_id, x.vec_id) for x in curvesearch.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 20).collect())
+    assert len(named) == 20 * 126 and max(named.values()) == 1
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3)])
 def test_hilbert_neighbours_touch(dims, bits):
     side = 1 << bits
