@@ -6,7 +6,8 @@ coordinate of the signature, and the earliest dart (least rank) of each coordina
 and height (rank), so a set needs about k log k darts and one hash per element, not k hashes per element.
 
 Candidates: equal parts (bands) of two signatures. Verification: exact Jaccard similarity of the shingle sets. Classes:
-connected components of the verified links.
+connected components of the verified links. Forests of candidates are verified first; then every candidate that still lies
+between different verified classes is.
 
 Words are lower-case runs of letters, digits and underscores; a shingle is five words in a row, and a text of one to four
 words is one shingle. Texts without a word are in classes of their own."""
@@ -160,23 +161,23 @@ def _describe(k: int, bands: int, weighted: bool):
     return run
 
 
-#: Members of a bucket that one task compares.
+#: Members of a block, compared with each other or with another block by one task.
 BUCKET = 512
 #: Sketch agreement from which a pair is a candidate: 0.8 less five standard deviations of the estimate.
 CANDIDATE = 0.62
-#: Sketch agreement from which one member stands for both in the next round of a large bucket.
+#: Sketch agreement from which two members of a bucket are in one group.
 SURE = 0.9
-#: Candidates kept across every cut of a bucket.
+#: Candidates across every cut of a bucket that are verified before the others.
 FORESTS = 4
 
 
 def bucket_links(sketches: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs of a bucket's members to verify, and one member for each group of surely similar ones.
+    """Pairs of a bucket's members to verify first, and one member for each group of surely similar ones.
 
     All pairs are compared by their sketches. Only classes are wanted, not links, so of the candidates a number of maximum
-    spanning forests is kept, each of the candidates that the ones before left: for every way to part the members in two,
-    the ``FORESTS`` most similar candidates between the parts are in them (all, if fewer). A class that hangs together by
-    any of those stays whole, and a bucket has no more than ``FORESTS`` pairs per member, however large it is."""
+    spanning forests comes first, each of the candidates that the ones before left: for every way to part the members in two,
+    the ``FORESTS`` most similar candidates between the parts are in them (all, if fewer). A bucket has
+    no more than ``FORESTS`` pairs per member, however large it is; what they leave apart is looked at later."""
     m = len(sketches)
     if m == 2:
         share = float((sketches[0] == sketches[1]).mean())
@@ -239,57 +240,124 @@ def merged(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
     return np.array([root(i) for i in range(len(label))])[label]
 
 
-def _candidates(members: DataFrame) -> DataFrame:
-    """a, b: pairs of nodes to verify. ``members``: band, node, sketch, with bands of at least two members.
+LINKS = "a long, b long"
 
-    Small buckets go to one task each. A larger one is dealt into blocks of about ``BUCKET`` members, each compared within;
-    one member of each surely similar group goes on to the next round, until the bucket fits a block or its groups no
-    longer merge. Then the remaining blocks are compared with each other, a task for each two, so no pair is left out."""
-    pairs: list[DataFrame] = []
-    while True:
-        sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("_m"))
-        # nodes are dealt anew in every round by another salt
-        dealt = members.join(sizes, "band").withColumn("_blocks", F.ceil(F.col("_m") / BUCKET).cast("int"))
-        dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("node", F.lit(len(pairs))), F.col("_blocks")))
-        held = dealt.groupBy("band", "_block", "_blocks").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
-        found = materialize(held.mapInArrow(_compare, "band long, blocks int, a long, b long, node long, sketch binary"), "bucket-links")
-        pairs.append(found.filter("a is not null").select("a", "b"))
-        left = found.filter("node is not null and blocks > 1").select("band", "node", "sketch")
-        before, after = dealt.filter("_blocks > 1").count(), left.count()
-        if not after:
-            break
-        if after > 0.8 * before:
-            pairs.append(_across(left))
-            break
-        members = left
-    out = pairs[0]
-    for more in pairs[1:]:
-        out = out.union(more)
-    return out.distinct()
+
+def _dealt(members: DataFrame, other: int = 0) -> DataFrame:
+    """``members`` with the size ``_m`` of their band, and ``_block`` of the ``_blocks`` that their band is dealt into. The band
+    is in the salt, so two nodes that are parted in one band meet in another."""
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("_m"))
+    dealt = members.join(sizes, "band").withColumn("_blocks", F.ceil(F.col("_m") / BUCKET).cast("int"))
+    return dealt.withColumn("_block", F.pmod(F.xxhash64("node", "band", F.lit(other)), F.col("_blocks")).cast("int"))
+
+
+def _first_candidates(members: DataFrame) -> DataFrame:
+    """a, b: the pairs to verify first. ``members``: band, node, sketch, with bands of at least two members.
+
+    Bands of over ``BUCKET`` members are dealt into blocks; each block is compared within and gives its best forests."""
+    held = _dealt(members).groupBy("band", "_block").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
+    return held.select("members").mapInArrow(_compare, LINKS).distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple] = []
-        for band, blocks, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+        out: list[tuple[int, int]] = []
+        for value in batch.column(0):
             members = sorted(value.as_py(), key=lambda x: x["node"])
             sketches = np.frombuffer(b"".join(x["sketch"] for x in members), dtype=np.uint8).reshape(len(members), -1)
-            links, groups = bucket_links(sketches)
-            out += [(band, blocks, members[i]["node"], members[j]["node"], None, None) for i, j in links]
-            if blocks > 1:
-                out += [(band, blocks, None, None, members[i]["node"], members[i]["sketch"]) for i in groups]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        columns = list(zip(*out, strict=True)) if out else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["band", "blocks", "a", "b", "node", "sketch"])
+            out += [(members[i]["node"], members[j]["node"]) for i, j in bucket_links(sketches)[0]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], pa.int64()) for n in (0, 1)], names=["a", "b"])
+
+
+def _open_members(members: DataFrame, labels: DataFrame, least: int) -> DataFrame:
+    """band, node, sketch, label, ``_home``: members of the bands of over ``least`` members that are not yet of one verified
+    class. ``_home`` tells whether the member is of the band's largest class: two of these need not meet."""
+    named = members.join(labels.select("node", "component"), "node", "left").select("band", "node", "sketch", F.coalesce("component", "node").alias("label"))
+    counts = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("_n"))
+    tops = counts.groupBy("band").agg(F.max(F.struct("_n", "label")).alias("_top"), F.sum("_n").alias("_all")).filter((F.col("_all") > least) & (F.col("_top._n") < F.col("_all")))
+    return named.join(tops.select("band", F.col("_top.label").alias("_largest")), "band").select("band", "node", "sketch", "label", (F.col("label") == F.col("_largest")).alias("_home"))
+
+
+def _crossing(members: DataFrame, forests: int | None) -> DataFrame:
+    """a, b: candidates between members of a band that are of different verified classes; the best ``forests`` spanning
+    forests of the classes in every task, or all.
+
+    One end of such a pair lies outside the band's largest class. These members, in chunks, visit every block of the band's
+    members, a task for each chunk and block, so all pairs that can matter are compared and a task's rows are bounded."""
+    away = members.filter("not _home")
+    chunks = away.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("_chunks"))
+    live = _dealt(members, 1).join(chunks, "band").withColumn("_chunk", F.pmod(F.xxhash64("node", "band", F.lit(2)), F.col("_chunks")).cast("int"))
+    row = F.struct("node", "sketch", "label", "_home")
+    asked = live.filter("not _home").select("band", "_chunk", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.lit(True).alias("_asks"), row.alias("_row"))
+    there = live.select("band", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "_block", F.lit(False).alias("_asks"), row.alias("_row"))
+    held = asked.unionByName(there).groupBy("band", "_block", "_chunk").agg(
+        F.collect_list(F.when(F.col("_asks"), F.col("_row"))).alias("asked"), F.collect_list(F.when(~F.col("_asks"), F.col("_row"))).alias("there"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, there in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = crossing_links(_columns(asked), _columns(there), forests)
+                for at in range(0, len(a), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], names=["a", "b"])
 
+    return held.select("asked", "there").mapInArrow(run, LINKS).distinct()
 
-def _across(members: DataFrame) -> DataFrame:
-    """Candidates between the blocks of large buckets: every member meets every block once, a task for each two blocks."""
-    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("_blocks"))
-    dealt = members.join(sizes, "band").withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    copies = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    held = copies.groupBy("band", F.least("_block", "_other").alias("_x"), F.greatest("_block", "_other").alias("_y")).agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
-    return held.select("band", "_x", F.lit(1).alias("blocks"), "members").mapInArrow(_compare, "band long, blocks int, a long, b long, node long, sketch binary").select("a", "b")
+
+def _columns(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes ascending, their sketches, labels, and whether they are of the largest class."""
+    own = sorted(rows.as_py(), key=lambda x: x["node"])
+    sketches = np.frombuffer(b"".join(x["sketch"] for x in own), dtype=np.uint8).reshape(len(own), -1) if own else np.zeros((0, 1), np.uint8)
+    return np.array([x["node"] for x in own], np.int64), sketches, np.array([x["label"] for x in own], np.int64), np.array([x["_home"] for x in own], bool)
+
+
+def crossing_links(asked: tuple, there: tuple, forests: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Smaller and larger nodes of the candidates between ``asked`` and ``there`` whose labels differ. Of two members that both
+    ask, the smaller node's question counts. With ``forests`` the most similar that join all classes, so many times over."""
+    left, right, shares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    nodes, sketches, labels, _ = asked
+    for i in range(len(nodes)):
+        near = np.flatnonzero((there[2] != labels[i]) & (there[3] | (there[0] > nodes[i])))
+        share = (there[1][near] == sketches[i]).mean(axis=1) if len(near) else np.zeros(0)
+        good = share >= CANDIDATE
+        left.append(np.full(int(good.sum()), i))
+        right.append(near[good])
+        shares.append(share[good])
+    left, right, shares = (np.concatenate(x) for x in (left, right, shares))
+    taken = np.arange(len(left))
+    if forests is not None and len(left):
+        names = np.unique(np.concatenate([labels, there[2]]))
+        x, y = np.searchsorted(names, labels[left]), np.searchsorted(names, there[2][right])
+        rest, kept = np.lexsort((there[0][right], nodes[left], -shares)), []
+        for _ in range(forests):
+            own = spanning_forest(x[rest], y[rest], len(names))
+            kept.append(rest[own])
+            rest = np.delete(rest, own)
+        taken = np.concatenate(kept)
+    a, b = nodes[left[taken]], there[0][right[taken]]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def verified_classes(members: DataFrame, verify) -> DataFrame:
+    """node, component of all classes of verified links between candidates. ``verify`` gives the links among pairs (a, b).
+
+    First the most similar candidates across every cut of a bucket, or of a block of a large one. Then, where large buckets
+    hold members of several verified classes, the most similar candidates between these. Last, all candidates between
+    different verified classes that were not yet looked at; so every candidate is verified or lies within a class."""
+    seen = materialize(_first_candidates(members), "candidates")
+    links = materialize(verify(seen), "verified")
+    labels = components(links)
+    for least, forests in ((BUCKET, FORESTS), (FORESTS + 1, None)):  # up to FORESTS + 1 members, the forests are all pairs
+        left = materialize(_open_members(members, labels, least), "open-members")
+        if left.isEmpty():
+            continue
+        more = materialize(_crossing(left, forests).join(seen, ["a", "b"], "left_anti"), "candidates")
+        new = materialize(verify(more), "verified")
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = components(links)
+        seen = seen.union(more)
+    return labels
 
 
 def _sets(weighted: bool):
@@ -327,15 +395,19 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 125, bands
     rows = nodes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("band")
     members = materialize(rows.join(shared, "band", "left_semi").join(nodes.select("node", "sketch"), "node").select("band", "node", "sketch"), "buckets")
-    pairs = materialize(_candidates(members), "candidates")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "first"), "node")
-    texts = source.withColumn("text_key", F.xxhash64("text")).join(
-        wanted.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
-    ).dropDuplicates(["node"]).select("node", "text")
-    sets = materialize(texts.mapInArrow(_sets(weighted), "node long, elements array<long>"), "shingle-sets")
-    same = F.size(F.array_intersect("ea", "eb"))
-    links = pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b").filter(same >= threshold * (F.size("ea") + F.size("eb") - same) - 1e-9).select("a", "b")
-    labels = components(links)
+    first = nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(first, "node")
+        texts = source.withColumn("text_key", F.xxhash64("text")).join(
+            wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
+        ).dropDuplicates(["node"]).select("node", "text")
+        sets = materialize(texts.mapInArrow(_sets(weighted), "node long, elements array<long>"), "shingle-sets")
+        same = F.size(F.array_intersect("ea", "eb"))
+        both = pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b")
+        return both.filter(same >= threshold * (F.size("ea") + F.size("eb") - same) - 1e-9).select("a", "b")
+
+    labels = verified_classes(members, verify)
     firsts = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("_class"))
     marked = described.select("doc_id", "set_key").join(firsts, "set_key", "left")
     heads = marked.filter("_class is not null").groupBy("_class").agg(F.min(F.struct(F.col("doc_id.doc_id").isNull(), "doc_id")).alias("_head"), F.count(F.lit(1)).alias("_size"))

@@ -69,6 +69,32 @@ def test_large_groups_are_dealt_into_blocks(spark, monkeypatch):
     assert same_partition(brute_classes(rows), [got[i] for i in range(len(rows))])
 
 
+def edited(base, places, tag):
+    """``base`` with other words at ``places``; equal tags put equal words in equal places."""
+    own = list(base)
+    for at in places:
+        own[at] = f"{tag}x{at}"
+    return own
+
+
+def agrees_with_brute_force(spark, texts):
+    rows = list(enumerate(" ".join(t) for t in texts))
+    got = {r.doc_id: r.class_id for r in dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    want = brute_classes(rows)
+    assert 1 < len(set(want)) < len(rows)
+    return same_partition(want, [got[i] for i in range(len(rows))])
+
+
+def test_links_hidden_among_pairs_just_below_the_threshold(spark):
+    r = np.random.default_rng(9)
+    base = [f"w{x}" for x in range(1000)]
+    texts = [edited(base, 6 * r.choice(160, 13, replace=False) + 5, f"s{n}") for n in range(120)]
+    for n in range(15):  # pairs that share five of their fourteen edits
+        shared = edited(base, 6 * r.choice(80, 5, replace=False) + 5, f"p{n}")
+        texts += [edited(shared, 6 * (80 + r.choice(80, 9, replace=False)) + 5, f"q{n}{x}") for x in "ab"]
+    assert agrees_with_brute_force(spark, texts)
+
+
 def test_bucket_links_connect_what_all_pairs_connect():
     r = np.random.default_rng(5)
     base = r.integers(0, 256, (6, 125), dtype=np.uint8)
