@@ -165,7 +165,9 @@ def passages(n: int, size: int) -> list[tuple[int, int]]:
 
 
 def search_text(index: ItemIndex, text: str | None, threshold: float, least_question: float, least_answer: float) -> list[tuple]:
-    """(item_id, passage, score, question overlap, answer overlap, contaminated): an item's best passage of one text."""
+    """(item_id, passage, score, question overlap, answer overlap, contaminated): an item's best passage of one text.
+
+    Every passage that reaches the threshold is verified; the best one that passes is named, or the best if none does."""
     ws = words(text)
     if not ws:
         return []
@@ -184,19 +186,21 @@ def search_text(index: ItemIndex, text: str | None, threshold: float, least_ques
     if not len(place):
         return []
     size = max(256, 2 * index.longest)
-    best: dict[int, tuple[float, int, int, int]] = {}
+    best: dict[int, tuple] = {}
     for a, z in passages(len(ws), size):
         found = np.unique(term[(place >= a) & (end <= z)])
         if len(found) and index.tops[found].sum() >= threshold - 1e-9:
             for item, score in index.search(found, threshold):
-                if item not in best or score > best[item][0] + 1e-12:
-                    best[item] = (score, a, a, z)
-    out = []
-    for item, (score, at, a, z) in sorted(best.items()):
-        own = ws[a:z]
-        q, r = covered(index.questions[item], own), covered(index.answers[item], own)
-        out.append((index.items[item], at, score, q, r, q >= least_question and r >= least_answer))
-    return out
+                held = best.get(item)
+                better = held is None or score > held[1] + 1e-12
+                if held is not None and held[4] and not better:
+                    continue  # a verified one with at least this score is held
+                own = ws[a:z]
+                q, r = covered(index.questions[item], own), covered(index.answers[item], own)
+                passes = q >= least_question and r >= least_answer
+                if held is None or passes > held[4] or (passes == held[4] and better):
+                    best[item] = (a, score, q, r, passes)
+    return [(index.items[item], *hit) for item, hit in sorted(best.items())]
 
 
 def _lookup(index: ItemIndex, spans: list[np.ndarray], at: np.ndarray, base: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -211,7 +215,8 @@ def _lookup(index: ItemIndex, spans: list[np.ndarray], at: np.ndarray, base: int
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, least_question: float = 0.7, least_answer: float = 0.6, shard_items: int = 20_000) -> DataFrame:
     """doc_id, item_id, passage, score, question_overlap, answer_overlap, contaminated: a row per document and item whose
-    score reaches ``threshold`` in some passage (the best one; ``passage`` is its first word's place).
+    score reaches ``threshold`` in some passage (the best verified one, or the best if none is; ``passage`` is its first
+    word's place).
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored. Null and wordless texts match
     nothing, repeated items and documents are answered one by one. Statistics (frequencies of terms, mean length) cover all

@@ -230,6 +230,21 @@ def test_leaks_are_those_that_hold_an_item(spark, sf, docs):
     assert left == {r.doc_id for r in docs.collect()} - {i for i, _ in want}
 
 
+def test_a_better_passage_without_the_answer_hides_none(spark):
+    question = [f"q{i}" for i in range(40)]
+    items = [(1, f"{' '.join(question)} Answer: " + " ".join(f"a{i}" for i in range(10)))]
+    index = decontaminate._index(spark, items, None, 1)
+    edited = [w if i % 10 != 9 else "x" for i, w in enumerate(question)]
+    gap = " ".join(f"f{i}" for i in range(600))
+    leak = f"{' '.join(edited)} answer {' '.join(f'a{i}' for i in range(10))}"
+    alone = decontaminate.search_text(index, f"{gap} {leak}", 0.5, 0.7, 0.6)
+    decoy = decontaminate.search_text(index, " ".join(question), 0.5, 0.7, 0.6)
+    assert alone[0][5] and not decoy[0][5] and decoy[0][2] > alone[0][2]
+    for text in (f"{' '.join(question)} {gap} {leak}", f"{leak} {gap} {' '.join(question)}"):
+        hit = decontaminate.search_text(index, text, 0.5, 0.7, 0.6)
+        assert len(hit) == 1 and hit[0][5] and abs(hit[0][2] - alone[0][2]) < 1e-9
+
+
 def test_answers_and_coverage():
     assert decontaminate.question_answer("What is it? It is a red fox.") == (["what", "is", "it"], ["it", "is", "a", "red", "fox"])
     assert decontaminate.question_answer("Q Answer: b c") == (["q"], ["b", "c"])
