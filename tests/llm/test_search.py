@@ -95,6 +95,21 @@ def test_links_hidden_among_pairs_just_below_the_threshold(spark):
     assert agrees_with_brute_force(spark, texts)
 
 
+def test_a_member_is_asked_though_a_surer_one_stands_in_its_block():
+    def sketch(*same):
+        return np.where(np.arange(125) < same[0], 1, same[1]).astype(np.uint8)
+
+    stand_in, z, y = sketch(125, 1), sketch(117, 2), np.concatenate([sketch(75, 3)[:75], np.full(42, 3), np.full(8, 2)]).astype(np.uint8)
+    share = lambda a, b: (a == b).mean()
+    assert share(stand_in, z) >= dartminhash.SURE and share(z, y) >= dartminhash.CANDIDATE > share(stand_in, y)
+    assert dartminhash.bucket_links(np.array([stand_in, z]))[1] == [0]
+    there = (np.array([1, 2]), np.array([stand_in, z]), np.array([1, 1]), np.array([True, True]))
+    asked = (np.array([3]), y[None], np.array([3]), np.array([False]))
+    for forests in (dartminhash.FORESTS, None):
+        a, b = dartminhash.crossing_links(asked, there, forests)
+        assert list(zip(a.tolist(), b.tolist())) == [(2, 3)]
+
+
 def test_bucket_links_connect_what_all_pairs_connect():
     r = np.random.default_rng(5)
     base = r.integers(0, 256, (6, 125), dtype=np.uint8)
