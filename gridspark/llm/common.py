@@ -93,6 +93,17 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, spr
     )
 
 
+def spread_lookup(rows: DataFrame, key: str, facts: DataFrame, rows_a_part: int = 4096) -> DataFrame:
+    """``rows`` joined with ``facts``, which has a row for every ``key``, when a key may hold most of the rows.
+
+    A key's rows are dealt into parts, as many as the table's size asks for; the facts meet each (key, part) that there is
+    once, and the rows meet those, so no task gets all rows of a key. Rows whose key has no fact are left out."""
+    parts = max(1, rows.count() // rows_a_part)
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c != key]), F.lit(parts)))
+    there = dealt.groupBy(key, "_part").agg(F.lit(True).alias("_there")).join(facts, key).drop("_there")
+    return dealt.join(there, [key, "_part"]).drop("_part")
+
+
 def words(text: str | None) -> list[str]:
     """Lower-case runs of letters, digits and underscores."""
     return WORD.findall(text.lower()) if text else []
