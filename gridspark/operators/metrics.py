@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalar import clip, is_finite
-from gridspark.operators.scan import average_ranks, exact_quantiles, running_sums
+from gridspark.operators.scan import BIN, average_ranks, exact_quantiles, running_sums, with_bins
 
 # Share of the raw sum of squares below which a spread is only rounding.
 NO_SPREAD = 1e-12
@@ -88,9 +88,8 @@ def _score_table(df: DataFrame, y: str, score: str, w: str | None, by: Sequence[
 
 def roc_auc(df: DataFrame, y: str, score: str, w: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Exact weighted ROC AUC; pairs of equal score count one half."""
-    table = running_sums(
-        _score_table(df, y, score, w, by), score, {"_cum": "_neg"}, by, totals={"_p": "_pos", "_n": "_neg"}
-    )
+    binned = with_bins(_score_table(df, y, score, w, by), score, by)
+    table = running_sums(binned, score, {"_cum": "_neg"}, by, totals={"_p": "_pos", "_n": "_neg"}, bucket=F.col(BIN))
     below = F.col("_cum") - F.col("_neg") / 2.0
     won = F.sum(F.col("_pos") * below)
     return table.groupBy(*by).agg(F.when(F.max(F.col("_p") * F.col("_n")) > 0, won / F.max(F.col("_p") * F.col("_n"))).alias("auc"))
@@ -99,7 +98,7 @@ def roc_auc(df: DataFrame, y: str, score: str, w: str | None = None, by: Sequenc
 def average_precision(df: DataFrame, y: str, score: str, w: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Step-wise average precision over distinct scores, highest first."""
     table = _score_table(df, y, score, w, by).withColumn("_order", -F.col(score)).withColumn("_all", F.col("_pos") + F.col("_neg"))
-    scanned = running_sums(table, "_order", {"_tp": "_pos", "_seen": "_all"}, by, totals={"_p": "_pos"})
+    scanned = running_sums(with_bins(table, "_order", by), "_order", {"_tp": "_pos", "_seen": "_all"}, by, totals={"_p": "_pos"}, bucket=F.col(BIN))
     step = F.when(F.col("_seen") > 0, F.col("_pos") / F.col("_p") * F.col("_tp") / F.col("_seen"))
     return scanned.where(F.col("_p") > 0).groupBy(*by).agg(F.sum(step).alias("average_precision"))
 

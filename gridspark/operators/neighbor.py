@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridspark.functions.grid import EARTH_RADIUS_KM, GridSpec, haversine_km
 from gridspark.functions.scalar import clip, is_finite, safe_divide
 from gridspark.operators.scan import exact_quantiles
+from gridspark.operators.sphere_tree import knn_on_sphere
 from gridspark.session import cut_lineage
 
 
@@ -216,63 +217,14 @@ def distance_to_mask(mask: DataFrame, spec: GridSpec, by: Sequence[str] = (), wr
 # --- nearest neighbours ---------------------------------------------------------------------
 
 
-def _with_cube(df: DataFrame, side: float) -> DataFrame:
-    return df.select("*", *[F.floor(F.col(a) / side).cast("long").alias(f"_{a}") for a in "xyz"])
-
-
 def knn_haversine(points: DataFrame, k: int = 8, key: str = "id", lat: str = "lat", lon: str = "lon",
                   by: Sequence[str] = ()) -> DataFrame:
     """The ``k`` nearest other points of each point (key, neighbour, km, rank), exact on the sphere.
 
-    Points are placed in cubes of the unit sphere. A point's neighbours in the
-    27 cubes around it are final when the k-th lies nearer than one cube side;
-    the others go on to cubes twice as wide. Points at one place only offer
-    their k+1 lowest keys, since more of them can never be among the nearest.
+    Ties in km, rounded to six places, go to the lower key. Points without a key or coordinates take no part; fewer than
+    k + 1 points give what there is. See ``sphere_tree`` for the search.
     """
-    phi, lam = F.radians(F.col(lat)), F.radians(F.col(lon))
-    base = cut_lineage(
-        points.select(
-            *by, key, F.col(lat).alias("lat"), F.col(lon).alias("lon"),
-            (F.cos(phi) * F.cos(lam)).alias("x"), (F.cos(phi) * F.sin(lam)).alias("y"), F.sin(phi).alias("z"),
-        )
-    )
-    places = base.groupBy(*by, "lat", "lon").agg(F.count(F.lit(1)).alias("n"))
-    largest = places.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    place = Window.partitionBy(*by, "lat", "lon").orderBy(key)
-    offered = (
-        base.withColumn("_k", F.row_number().over(place))
-        .where(F.col("_k") <= k + 1)
-        .select(*by, F.col(key).alias("neighbour"), F.col("lat").alias("nlat"), F.col("lon").alias("nlon"), "x", "y", "z")
-    )
-    side = min(2.0, math.sqrt(4 * math.pi * k / largest))
-    pending, done = base, None
-    steps = F.array(*[F.lit(i).cast("long") for i in (-1, 0, 1)])
-    while True:
-        last = side >= 2.0
-        near = _with_cube(offered, side).drop("x", "y", "z")
-        probe = _with_cube(pending, side)
-        for a in "xyz":
-            probe = probe.withColumn("_d", F.explode(steps)).withColumn(f"_{a}", F.col(f"_{a}") + F.col("_d"))
-        pairs = probe.drop("_d").join(near, [*by, "_x", "_y", "_z"]).where(F.col(key) != F.col("neighbour"))
-        km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("nlat"), F.col("nlon")), 6)
-        order = Window.partitionBy(*by, key).orderBy("km", "neighbour")
-        top = (
-            pairs.select(*by, key, "neighbour", km.alias("km"))
-            .withColumn("rank", F.row_number().over(order))
-            .where(F.col("rank") <= k)
-        )
-        if last:
-            found = top
-            return found if done is None else done.unionByName(found)
-        # Chord ``side`` as an arc, less a margin for rounding.
-        safe_km = 2 * EARTH_RADIUS_KM * math.asin(min(1.0, side / 2)) - 1e-5
-        reach = top.where((F.col("rank") == k) & (F.col("km") < safe_km)).select(*by, key)
-        level = cut_lineage(top.join(reach, [*by, key], "left_semi"))
-        done = level if done is None else done.unionByName(level)
-        pending = cut_lineage(pending.join(level.select(*by, key).distinct(), [*by, key], "left_anti"))
-        if pending.isEmpty():
-            return done
-        side = min(2.0, side * 2)
+    return knn_on_sphere(points, k, key, lat, lon, by)
 
 
 def morans_i(points: DataFrame, value: str, k: int = 8, key: str = "id", lat: str = "lat", lon: str = "lon",

@@ -1,4 +1,4 @@
-"""Prices, calories, country summaries and crop-name matching."""
+"""Prices, calories and country summaries."""
 
 from __future__ import annotations
 
@@ -15,7 +15,6 @@ PRICE_ELEMENT = "Producer Price (USD/tonne)"
 ANNUAL = "Annual value"
 QUANTITY = "Food supply quantity (kg/capita/yr)"
 ENERGY = "Food supply (kcal/capita/day)"
-CHUNK_NAMES = 512
 
 
 def price_summary(prices: DataFrame, years: int = 5) -> DataFrame:
@@ -100,48 +99,3 @@ def potential_vs_actual(zones: DataFrame, actual: DataFrame, zone: str, potentia
         "log10_potential": F.log10(potential),
         "log10_actual": F.log10(observed),
     })
-
-
-# --- crop-name matching ---------------------------------------------------------------------
-
-
-def _in_chunks(names: DataFrame, candidates: DataFrame, name: str, candidate: str) -> DataFrame:
-    """Each distinct name once per chunk of candidates, the chunk as an array of bounded length.
-
-    A name meets every candidate inside its own row, so no table of pairs is
-    built and the candidate list may be any size.
-    """
-    distinct = candidates.select(candidate).where(F.col(candidate).isNotNull()).distinct()
-    n_chunks = max(1, -(-distinct.count() // CHUNK_NAMES))
-    chunk = F.pmod(F.xxhash64(candidate), F.lit(n_chunks)).cast("int")
-    packed = distinct.groupBy(chunk.alias("_chunk")).agg(F.sort_array(F.collect_list(candidate)).alias("_candidates"))
-    spread = F.sequence(F.lit(0), F.lit(n_chunks - 1))
-    return names.select(name).distinct().withColumn("_chunk", F.explode(spread)).join(packed, "_chunk")
-
-
-def _best_of_chunks(scored: DataFrame, name: str, threshold: float) -> DataFrame:
-    # Highest score; the alphabetically first candidate on ties.
-    best = scored.groupBy(name).agg(F.min(F.struct((-F.col("m.score")).alias("s"), F.col("m.candidate").alias("c"))).alias("b"))
-    score = F.round(-F.col("b.s"), 6)
-    return best.select(name, F.col("b.c").alias("candidate"), score.alias("score"), (score < threshold).alias("needs_manual_check"))
-
-
-def similarity(a: Column, b: Column) -> Column:
-    """0.65 edit similarity + 0.35 token overlap, computed by built-in functions."""
-    edit = F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-    ta, tb = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
-    return F.lit(0.65) * edit + F.lit(0.35) * F.size(F.array_intersect(ta, tb)) / F.size(F.array_union(ta, tb))
-
-
-def fuzzy_best_match(names: DataFrame, candidates: DataFrame, name: str = "name", candidate: str = "candidate",
-                     threshold: float = 0.72) -> DataFrame:
-    """Best candidate per name by edit distance and shared words."""
-    chunks = _in_chunks(names, candidates, name, candidate)
-    scored = F.transform(
-        "_candidates", lambda x: F.struct((-F.round(similarity(F.col(name), x), 9)).alias("s"), x.alias("candidate"))
-    )
-    top = F.array_min(scored)
-    picked = chunks.select(name, top.alias("t")).select(
-        name, F.struct((-F.col("t.s")).alias("score"), F.col("t.candidate").alias("candidate")).alias("m")
-    )
-    return _best_of_chunks(picked, name, threshold)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.grid import GridSpec
-from gridspark.operators.scan import exact_quantiles
+from gridspark.operators.scan import small_quantiles
 
 
 def block_aggregate(fine: DataFrame, factor: int, value: str, row: str = "fr", col: str = "fc",
@@ -20,7 +20,7 @@ def block_aggregate(fine: DataFrame, factor: int, value: str, row: str = "fr", c
         (F.expr(f"{row} div {factor}") + row_offset).alias("r"), F.expr(f"{col} div {factor}").alias("c"), value
     )
     base = keyed.groupBy("r", "c").agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.count(value).alias("n"))
-    return base.join(exact_quantiles(keyed, value, {"median": 0.5}, ["r", "c"]), ["r", "c"])
+    return base.join(small_quantiles(keyed, value, {"median": 0.5}, ["r", "c"]), ["r", "c"])
 
 
 def _span(index: str, n_src: int, n_dst: int) -> Column:
@@ -133,7 +133,7 @@ def coarsen(df: DataFrame, value: str, bbox: tuple[float, float, float, float],
     if categorical:
         counts = keyed.groupBy("iy", "ix", value).agg(F.count(F.lit(1)).alias("_n"))
         return counts.groupBy("iy", "ix").agg(F.max_by(value, F.struct("_n", -F.col(value))).alias(value))
-    return exact_quantiles(keyed, value, {"_median": 0.5}, ["iy", "ix"]).withColumnRenamed("_median", value)
+    return small_quantiles(keyed, value, {"_median": 0.5}, ["iy", "ix"]).withColumnRenamed("_median", value)
 
 
 def region_grid(df: DataFrame, value: str, spec: GridSpec, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:

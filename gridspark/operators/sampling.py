@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridspark.functions.rng import hash_prefix, key_hash, uniform
 from gridspark.functions.scalar import is_finite
 from gridspark.operators.metrics import weighted_mean
-from gridspark.operators.scan import SPLIT_ROWS, exact_quantiles, first_n, numbered, running_sums
+from gridspark.operators.scan import EXACT, SPLIT_ROWS, exact_quantiles, first_n, numbered, running_sums
 
 HASH = "_hash"
 
@@ -52,9 +52,10 @@ def weighted_draw(pool: DataFrame, key: str, weight: str, n: int, seed: int = 42
     most one row more per slice.
     """
     slices = max(1, min(n, 1 << 20))
-    placed = running_sums(pool.where(F.col(weight) > 0).select(key, weight), key, {"_end": weight}, totals={"_total": weight})
-    end = F.col("_end") / F.col("_total")
-    start = (F.col("_end") - F.col(weight)) / F.col("_total")
+    held = pool.where(F.col(weight) > 0).select(key, F.col(weight).cast(EXACT).alias("_weight"))
+    placed = running_sums(held, key, {"_end": "_weight"}, totals={"_total": "_weight"})
+    end = F.col("_end").cast("double") / F.col("_total").cast("double")
+    start = (F.col("_end") - F.col("_weight")).cast("double") / F.col("_total").cast("double")
     owned = placed.select(key, start.alias("_from"), end.alias("_to")).withColumn(
         "_slice", F.explode(F.sequence(F.floor(F.col("_from") * slices), F.least(F.floor(F.col("_to") * slices), F.lit(slices - 1).cast("long"))))
     )

@@ -18,6 +18,36 @@ from gridspark.session import cut_lineage
 
 SPLIT_ROWS = 500_000
 BUCKET = "_range"
+#: Distinct values from which a bin is cut finer.
+BIN_ROWS = 100_000
+BIN = "_bin"
+#: Weights are summed as decimals, so a sum does not depend on how its rows were dealt.
+EXACT = "decimal(38,18)"
+
+
+def _magnitude(x: Column) -> Column:
+    """A whole number that never falls where ``x`` rises: 512 steps to every doubling, on either side of zero."""
+    steps = F.floor((F.log2(F.abs(x)) + 1100) * 512)
+    end = F.lit(1 << 40)
+    rising = F.when(x == 0, F.lit(0)).when(x > 0, F.least(steps, end) + 1).otherwise(-F.least(steps, end) - 1)
+    return F.when(F.isnan(x), F.lit(1 << 41)).otherwise(rising).cast("long")
+
+
+def with_bins(df: DataFrame, value: str, by: Sequence[str] = (), bin_rows: int = BIN_ROWS) -> DataFrame:
+    """Add ``_bin``, which never falls where the numeric ``value`` rises, nothing being looked up while planning.
+
+    Bins first follow the magnitude. One with more than ``bin_rows`` rows is cut into a million of equal width between
+    its own least and greatest value; such a bin has room for a few million different doubles, and most hold few. The
+    rows should be distinct values.
+    """
+    x = F.col(value).cast("double")
+    coarse = df.withColumn("_c", _magnitude(x))
+    full = coarse.groupBy(*by, "_c").agg(F.count(F.lit(1)).alias("_rows"), F.min(x).alias("_low"), F.max(x).alias("_high")).where(F.col("_rows") > bin_rows)
+    keyed = full.select(*[F.col(k).alias(f"_key_{k}") for k in [*by, "_c"]], "_low", "_high")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in [*by, "_c"]])
+    fine = F.when(F.col("_high") > F.col("_low"), F.floor((x - F.col("_low")) / (F.col("_high") - F.col("_low")) * (1 << 20)))
+    marked = coarse.join(keyed, same, "left")
+    return marked.select(*df.columns, F.struct(F.col("_c").alias("c"), F.coalesce(fine, F.lit(0)).cast("long").alias("f")).alias(BIN))
 
 
 def add_range(df: DataFrame, order: str, by: Sequence[str] = (), split_rows: int = SPLIT_ROWS, ties: Sequence[str] = ()) -> DataFrame:
@@ -145,19 +175,37 @@ def first_n(
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank",
-                  split_rows: int = SPLIT_ROWS) -> DataFrame:
+                  split_rows: int = BIN_ROWS) -> DataFrame:
     """One row per distinct value with its average rank (ties share the mean rank)."""
     distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sums(distinct, value, {"_cum": "_n"}, by, split_rows=split_rows)
+    ranked = running_sums(with_bins(distinct, value, by, split_rows), value, {"_cum": "_n"}, by, bucket=F.col(BIN))
     return ranked.select(*by, value, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(name))
 
 
+def _ranks(probs: Mapping[str, float]) -> list[Column]:
+    """The ranks, from 0, that the quantiles lie at or between."""
+    return [f(F.lit(p) * (F.col("_total") - 1)) for p in probs.values() for f in (F.floor, F.ceil)]
+
+
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), split_rows: int = SPLIT_ROWS
+    df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str] = (), split_rows: int = BIN_ROWS
 ) -> DataFrame:
-    """Linearly interpolated quantiles, one column per entry of ``probs``."""
+    """Linearly interpolated quantiles, one column per entry of ``probs``.
+
+    Equal values are counted first, then bins of values; only the bins that hold a wanted rank are sorted.
+    """
     distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sums(distinct, value, {"_cum": "_n"}, by, totals={"_total": "_n"}, split_rows=split_rows)
+    binned = with_bins(distinct, value, by, split_rows)
+    group = Window.partitionBy(*by)
+    sizes = binned.groupBy(*by, BIN).agg(F.sum("_n").alias("_in")).withColumns({
+        "_upto": F.sum("_in").over(group.orderBy(BIN).rowsBetween(Window.unboundedPreceding, 0)), "_total": F.sum("_in").over(group),
+    })
+    holds = reduce(lambda a, b: a | b, [(F.col("_upto") - F.col("_in") <= r) & (r < F.col("_upto")) for r in _ranks(probs)])
+    keys = [*by, BIN]
+    wanted = sizes.where(holds).select(*[F.col(k).alias(f"_key_{k}") for k in keys], (F.col("_upto") - F.col("_in")).alias("_before"), "_total")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = binned.join(wanted, same).withColumn("_cum", F.col("_before") + F.sum("_n").over(inside))
     v, first, last = F.col(value), F.col("_cum") - F.col("_n"), F.col("_cum") - 1
 
     def at(p: float) -> Column:
@@ -170,6 +218,12 @@ def exact_quantiles(
     return ranked.groupBy(*by).agg(*[at(p).alias(name) for name, p in probs.items()])
 
 
+def small_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], by: Sequence[str]) -> DataFrame:
+    """``exact_quantiles`` of groups that are small by their meaning, such as the days of a year: one aggregate."""
+    clean = df.where(F.col(value).isNotNull())
+    return clean.groupBy(*by).agg(*[F.percentile(F.col(value).cast("double"), F.lit(p)).alias(name) for name, p in probs.items()])
+
+
 def weighted_quantiles(
     df: DataFrame,
     value: str,
@@ -177,12 +231,13 @@ def weighted_quantiles(
     probs: Mapping[str, float],
     by: Sequence[str] = (),
     variant: str = "total",
-    split_rows: int = SPLIT_ROWS,
+    split_rows: int = BIN_ROWS,
 ) -> DataFrame:
     """Quantiles of a weighted distribution by interpolating its cumulative share.
 
     ``total`` places each row at the end of its weight, ``midpoint`` at the
     middle. Rows of equal value are ordered by weight. Ends clamp to min and max.
+    Weights are summed exactly, to 18 decimal places.
     """
     if variant not in ("total", "midpoint"):
         raise ValueError(f"unknown variant: {variant}")
@@ -190,10 +245,11 @@ def weighted_quantiles(
     distinct = (
         df.where(F.col(value).isNotNull() & (w > 0))
         .groupBy(*by, value)
-        .agg(F.sum(w).alias("_w"), F.min(w).alias("_first"), F.max(w).alias("_last"))
+        .agg(F.sum(w.cast(EXACT)).alias("_w"), F.min(w).alias("_first"), F.max(w).alias("_last"))
     )
-    ranked = running_sums(distinct, value, {"_cum": "_w"}, by, totals={"_total": "_w"}, split_rows=split_rows)
-    start, v, total = F.col("_cum") - F.col("_w"), F.col(value), F.col("_total")
+    ranked = running_sums(with_bins(distinct, value, by, split_rows), value, {"_cum": "_w"}, by, totals={"_total": "_w"}, bucket=F.col(BIN))
+    ranked = ranked.withColumns({"_start": (F.col("_cum") - F.col("_w")).cast("double"), "_cum": F.col("_cum").cast("double"), "_total": F.col("_total").cast("double")})
+    start, v, total = F.col("_start"), F.col(value), F.col("_total")
     if variant == "total":
         x0, x1 = (start + F.col("_first")) / total, F.col("_cum") / total
     else:

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalar import null_sentinels
-from gridspark.operators.scan import exact_quantiles
+from gridspark.operators.scan import small_quantiles
 
 
 def annual_percentile(daily: DataFrame, value: str = "q", q: float = 0.1, keys: Sequence[str] = ("r", "c"),
                       year: str = "yr") -> DataFrame:
     """Interpolated percentile of a cell's valid daily values in each year; negatives are missing."""
     clean = daily.select(*keys, year, null_sentinels(F.col(value), negative_is_null=True).alias(value))
-    return exact_quantiles(clean, value, {"p": q}, [*keys, year])
+    return small_quantiles(clean, value, {"p": q}, [*keys, year])
 
 
 def period_mean(annual: DataFrame, value: str = "p", keys: Sequence[str] = ("r", "c")) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridspark.fixtures import duck
 from gridspark.operators import joins as J
-from gridspark.operators import reference as P
+from gridspark.operators import names as M
 from gridspark.plans.catalog import CHECKED_MAPPING
 from gridspark.queries.registry import big, bigs, query, r6
 
@@ -100,7 +100,7 @@ FUZZY = """WITH a AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT DI
 @query("fuzzy_best_match", FUZZY + f"SELECT name, candidate, {r6('score')}, round(score, 6) < 0.72 AS needs_manual_check FROM k WHERE n = 1")
 def _(v):
     part = v.table("part")
-    return P.fuzzy_best_match(part.select(F.col("p_name").alias("name")), part.select(F.col("p_type").alias("candidate")))
+    return M.fuzzy_best_match(part.select(F.col("p_name").alias("name")), part.select(F.col("p_type").alias("candidate")))
 
 
 def _mapping_values() -> str:

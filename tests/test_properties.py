@@ -12,7 +12,6 @@ from gridspark.models import two_stage as T
 from gridspark.models.design import vectorized
 from gridspark.operators import crops as C
 from gridspark.operators import joins as J
-from gridspark.operators import reference as P
 from gridspark.operators import sampling as A
 from gridspark.operators import shapley as H
 from gridspark.queries.attributing import FEATURES, GROUPS, score
@@ -97,14 +96,6 @@ def test_permuted_rows_keep_each_fold_and_group_together(views):
     assert pairs(moved) == pairs(df)
 
 
-def test_fuzzy_match_prefers_the_same_words(spark):
-    names = spark.createDataFrame([("maize corn",), ("qqq",)], "name string")
-    options = spark.createDataFrame([("corn maize",), ("wheat",), (None,)], "candidate string")
-    for match in (P.fuzzy_best_match,):
-        got = {r.name: r for r in match(names, options).collect()}
-        assert got["maize corn"].candidate == "corn maize" and got["qqq"].needs_manual_check
-
-
 def test_two_stage_oof_is_complete_and_beats_the_mean(views):
     df = sample(views)
     oof, models, slots = T.two_stage_oof(df, NUMERIC, ["cls"], "fold", 0.5, params=SMALL)

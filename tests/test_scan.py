@@ -83,3 +83,35 @@ def test_plan_has_no_single_partition_window_when_split(table):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(_range" in plan
     assert out.agg(F.max("c")).first()[0] == pytest.approx(table[0].w.sum())
+
+
+def test_quantiles_plan_without_a_job(spark, table):
+    _, df = table
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    scan.exact_quantiles(df, "x", {"q": 0.5}, ["g"])
+    scan.weighted_quantiles(df, "x", "w", {"q": 0.5}, ["g"])
+    scan.average_ranks(df, "x", ["g"])
+    assert jobs() == before
+
+
+def test_bins_rise_with_values_and_stay_small(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([
+        rng.normal(0, 1e-9, 500) + 1, rng.normal(0, 1, 500), 10.0 ** rng.uniform(-300, 300, 300), -(10.0 ** rng.uniform(-300, 300, 300)),
+        [0.0, np.inf, -np.inf, 5e-324, -5e-324, 1.7e308],
+    ])
+    df = spark.createDataFrame([(float(v),) for v in np.unique(x)], "x double")
+    rows = sorted((r.x, tuple(r._bin)) for r in scan.with_bins(df, "x", bin_rows=10).collect())
+    bins = [b for _, b in rows]
+    assert bins == sorted(bins) and len(rows) == len(np.unique(x))
+    assert max(bins.count(b) for b in set(bins)) <= 10
+
+
+@pytest.mark.parametrize("split", [5, 10**9])
+def test_weighted_quantiles_do_not_depend_on_the_split(spark, split):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"x": rng.normal(1, 1e-6, 2000), "w": rng.random(2000) ** 8})
+    got = scan.weighted_quantiles(spark.createDataFrame(pdf), "x", "w", {"a": 0.1, "b": 0.9}, split_rows=split).first()
+    want = scan.weighted_quantiles(spark.createDataFrame(pdf.sample(frac=1, random_state=1)).repartition(7), "x", "w", {"a": 0.1, "b": 0.9}, split_rows=100).first()
+    assert got == want

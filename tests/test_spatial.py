@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.grid import GridSpec
 from gridspark.operators import neighbor as N
+from gridspark.operators import sphere_tree
 from gridspark.operators import regrid as R
 from gridspark.operators import zones as Z
 
@@ -104,6 +105,44 @@ def test_knn_with_a_third_of_the_points_in_one_place(spark):
         assert list(part.sort_values("rank").neighbour) == [j for _, j in want]
 
 
+def nearest(lat, lon, k):
+    p, q = np.radians(lat), np.radians(lon)
+    a = np.sin((p[:, None] - p) / 2) ** 2 + np.cos(p[:, None]) * np.cos(p) * np.sin((q[:, None] - q) / 2) ** 2
+    km = np.round(2 * 6371.0088 * np.arcsin(np.sqrt(np.clip(a, 0, 1))), 6)
+    np.fill_diagonal(km, np.inf)
+    return [[j for _, j in sorted(zip(row, range(len(row))))[:k]] for row in km]
+
+
+@pytest.mark.parametrize("case", ["crowd", "close", "grid"])
+def test_knn_where_points_are_uneven(spark, case, monkeypatch):
+    """Most points in one degree and a few far away; all within a metre; a grid with many ties at the pole and date line."""
+    rng = np.random.default_rng(2)
+    if case == "crowd":
+        lat = np.concatenate([45 + rng.normal(0, 0.1, 700), rng.uniform(-90, 90, 40)])
+        lon = np.concatenate([10 + rng.normal(0, 0.1, 700), rng.uniform(-180, 180, 40)])
+    elif case == "close":
+        lat, lon = 45 + 1e-6 * rng.random(150), 10 + 1e-6 * rng.random(150)
+    else:
+        lat, lon = (x.ravel() for x in np.meshgrid(np.arange(60, 91, 3.0), np.arange(-180, 181, 15.0)))
+    n = len(lat)
+    largest = []
+    kept = sphere_tree._kept
+    monkeypatch.setattr(sphere_tree, "_kept", lambda pairs, wanted: largest.append(pairs.groupBy("q_id").count().agg(F.max("count")).first()[0]) or kept(pairs, wanted))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "lat": lat, "lon": lon}))
+    got = sphere_tree.knn_on_sphere(df, 4, "id", "lat", "lon", (), leaf_places=8).toPandas().sort_values(["id", "rank"])
+    assert [list(part.neighbour) for _, part in got.groupby("id")] == nearest(lat, lon, 4)
+    if case == "crowd":
+        assert max(largest) < n  # no leaf meets a candidate list of the table's size
+
+
+def test_knn_defines_small_and_null_inputs(spark):
+    rows = [(1, 0.0, 0.0, "a"), (2, 0.0, 1.0, "a"), (3, None, 1.0, "a"), (None, 0.0, 2.0, "a"), (4, 0.0, 3.0, "b"), (5, 0.0, 4.0, None), (6, 0.0, 5.0, None)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, g string")
+    got = sorted((r.g or "", r.id, r.neighbour, r["rank"]) for r in N.knn_haversine(df, 3, by=["g"]).collect())
+    assert got == [("", 5, 6, 1), ("", 6, 5, 1), ("a", 1, 2, 1), ("a", 2, 1, 1)]
+    assert N.knn_haversine(df.limit(0), 3).count() == 0
+
+
 def test_moran_of_a_constant_is_null(spark):
     pdf = pd.DataFrame({"id": np.arange(40), "lat": np.linspace(-40, 40, 40), "lon": np.linspace(0, 90, 40), "v": 1.5})
     assert N.morans_i(spark.createDataFrame(pdf), "v", k=3).first().morans_i is None
