@@ -9,30 +9,57 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.scalar import is_finite, threshold_label
 
-TILE_DEGREES = 5.0
+#: Rows of a quadtree cell from which its rows are dealt into parts, of as many rows each.
+HOT_ROWS = 200_000
+DEEPEST = 16
 
 
-def _tiles(low: Column, high: Column, origin: float, limit: int) -> Column:
-    first = F.greatest(F.floor((low - F.lit(origin)) / F.lit(TILE_DEGREES)), F.lit(0).cast("long"))
-    last = F.least(F.floor((high - F.lit(origin)) / F.lit(TILE_DEGREES)), F.lit(limit).cast("long"))
-    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+def _tree_cell(x: Column, low: float, span: float, level: Column) -> Column:
+    return F.floor((x - F.lit(low)) / F.lit(span) * F.pow(F.lit(2.0), level))
 
 
-def region_join(cells: DataFrame, regions: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def cover(regions: DataFrame) -> DataFrame:
+    """``regions`` once per quadtree cell they overlap: _level, _cy, _cx, and _whole where the cell lies inside the box.
+
+    A box takes the level at which it is about four cells wide or high, so it has few cells whatever its size.
+    """
+    size = F.greatest((F.col("n_lat") - F.col("s_lat")) / 180.0, (F.col("e_lon") - F.col("w_lon")) / 360.0, F.lit(4.0 / (1 << DEEPEST)))
+    levelled = regions.withColumn("_level", F.greatest(F.floor(F.log2(F.lit(4.0) / size)), F.lit(0)).cast("int"))
+    out = levelled
+    for name, low, span, first, last in (("_cy", -90.0, 180.0, "s_lat", "n_lat"), ("_cx", -180.0, 360.0, "w_lon", "e_lon")):
+        top = F.pow(F.lit(2.0), F.col("_level")).cast("long")
+        begin = F.greatest(_tree_cell(F.col(first), low, span, F.col("_level")), F.lit(0).cast("long"))
+        end = F.least(_tree_cell(F.col(last), low, span, F.col("_level")), top)
+        out = out.withColumn(name, F.explode(F.when(begin <= end, F.sequence(begin, end)).otherwise(F.array().cast("array<bigint>"))))
+    step = F.pow(F.lit(2.0), F.col("_level"))
+
+    def within(cell: str, low: float, span: float, first: str, last: str) -> Column:
+        edge = lambda i: F.lit(low) + F.lit(span) * (F.col(cell) + i) / step
+        return (F.col(first) <= edge(0) - 1e-9) & (edge(1) + 1e-9 <= F.col(last))
+
+    return out.withColumn("_whole", within("_cy", -90.0, 180.0, "s_lat", "n_lat") & within("_cx", -180.0, 360.0, "w_lon", "e_lon"))
+
+
+def region_join(cells: DataFrame, regions: DataFrame, lat: str = "lat", lon: str = "lon", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Each cell with every box (inclusive bounds) that holds it; boxes may overlap.
 
-    Boxes are listed per 5-degree tile, so the match is an equi-join on the tile
-    and the bounds are compared only inside it.
+    Boxes are covered by quadtree cells of the level that fits them, and rows meet them by equality on the cell, once for
+    every level in use; bounds are compared only where a cell is not wholly inside. A cell that holds many rows is dealt
+    into parts by its count, and its boxes are listed for each part.
     """
-    tiled = (
-        regions.withColumn("_ty", F.explode(_tiles(F.col("s_lat"), F.col("n_lat"), -90.0, 36)))
-        .withColumn("_tx", F.explode(_tiles(F.col("w_lon"), F.col("e_lon"), -180.0, 72)))
-    )
-    keyed = cells.withColumn("_ty", F.floor((F.col(lat) + 90.0) / TILE_DEGREES)).withColumn(
-        "_tx", F.floor((F.col(lon) + 180.0) / TILE_DEGREES)
-    )
+    covered = cover(regions)
+    levels = covered.agg(F.collect_set("_level")).scalar()
+    keyed = cells.withColumn("_level", F.explode(levels)).withColumns({
+        "_cy": _tree_cell(F.col(lat), -90.0, 180.0, F.col("_level")), "_cx": _tree_cell(F.col(lon), -180.0, 360.0, F.col("_level")),
+    })
+    key = ["_level", "_cy", "_cx"]
+    hot = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+    hot = hot.select(*key, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = keyed.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*cells.columns), parts).cast("int")).drop("_parts")
+    listed = covered.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     inside = F.col(lat).between(F.col("s_lat"), F.col("n_lat")) & F.col(lon).between(F.col("w_lon"), F.col("e_lon"))
-    return keyed.join(tiled, ["_ty", "_tx"]).where(inside).drop("_ty", "_tx", "s_lat", "n_lat", "w_lon", "e_lon")
+    return dealt.join(listed, [*key, "_part"]).where(F.col("_whole") | inside).drop(*key, "_part", "_whole", "s_lat", "n_lat", "w_lon", "e_lon")
 
 
 def threshold_mask(layer: DataFrame, value: str, thresholds: Sequence[float]) -> DataFrame:
