@@ -222,52 +222,71 @@ def seat_moves(n_groups: int, reps: int, seed: int) -> list[tuple[int, int, int,
     return [(g, r, factors[g * reps + r], portable_hash(seed, r + 1, g + 1)) for g in range(n_groups) for r in range(reps)]
 
 
+#: Seats up to which the product of two of them fits a long.
+LONG_SEATS = 3_000_000_000
+
+
+def _seat_after(seat: Column, n: Column, factor: int, shift: int) -> Column:
+    # A factor that divides the number of seats would not be a permutation; the shift alone is one.
+    by = F.when(F.lit(factor) % n == 0, F.lit(1)).otherwise(F.lit(factor) % n).cast("long")
+    wide = (by.cast("decimal(19,0)") * seat.cast("decimal(19,0)")) % n
+    return ((F.when(n < LONG_SEATS, by * seat % n).otherwise(wide.cast("long")) + F.lit(shift) % n) % n).cast("long")
+
+
+def _sent_type(df: DataFrame, features: Sequence[str]) -> str:
+    """Doubles where every feature fits one, else strings; both give back what they were given."""
+    numbers = {"double", "float", "int", "smallint", "tinyint"}
+    return "double" if {df.schema[f].dataType.simpleString() for f in features} <= numbers else "string"
+
+
 def _dealt(df: DataFrame, key: str, groups: Mapping[str, Sequence[str]], fold: str, reps: int, keep: Sequence[str], seed: int) -> DataFrame:
     """Each row with an array of what it is dealt: (group, repetition, the group's features of another row of its fold).
 
-    Rows are numbered once. A row sends only a group's own features, to one seat per repetition, in one shuffle.
+    Rows are numbered once. A row sends only a group's own features, as an array, to one seat per repetition, in one shuffle.
     """
     at = _group_index(groups)
+    kind = _sent_type(df, list(at))
     hashed = df.withColumn("_h", key_hash(F.col(key), seed))
     seats = numbered(hashed, "_h", [key], [fold], "_seat", "_seats", bucket=hash_prefix(F.col("_h"), prefix_bits(df))).drop("_h")
-    n, seat = F.col("_seats"), (F.col("_seat") - 1).cast("decimal(19,0)")
-    own = lambda g: F.struct(*[(F.col(f) if at[f] == g else F.lit(None).cast(df.schema[f].dataType)).alias(f) for f in at])
-
-    def move(g: int, rep: int, factor: int, shift: int) -> Column:
-        # A factor that divides the number of seats would not be a permutation; the shift alone is one.
-        by = F.when(F.lit(factor) % n == 0, F.lit(1)).otherwise(F.lit(factor) % n).cast("decimal(19,0)")
-        target = ((by * seat) % n + F.lit(shift) % n) % n
-        return F.struct(F.lit(g).alias("g"), F.lit(rep).alias("rep"), target.cast("long").alias("to"), own(g).alias("v"))
-
-    sent = seats.select(fold, F.explode(F.array(*[move(*m) for m in seat_moves(len(groups), reps, seed)])).alias("m"))
+    seat = F.col("_seat") - 1
+    own = [F.array(*[F.col(f).cast(kind) for f in members]) for members in groups.values()]
+    moves = [
+        F.struct(F.lit(g).alias("g"), F.lit(rep).alias("rep"), _seat_after(seat, F.col("_seats"), factor, shift).alias("to"), own[g].alias("v"))
+        for g, rep, factor, shift in seat_moves(len(groups), reps, seed)
+    ]
+    sent = seats.select(fold, F.explode(F.array(*moves)).alias("m"))
     got = sent.groupBy(F.col(fold).alias("_f"), F.col("m.to").alias("_to")).agg(F.collect_list(F.struct("m.g", "m.rep", "m.v")).alias("_dealt"))
-    takers = seats.select(key, fold, (F.col("_seat") - 1).alias("_at"), *keep, *at)
+    takers = seats.select(key, fold, seat.alias("_at"), *keep, *at)
     return takers.join(got, F.col(fold).eqNullSafe(F.col("_f")) & (F.col("_at") == F.col("_to"))).select(key, fold, *keep, *at, "_dealt")
 
 
+def _shuffled(df: DataFrame, groups: Mapping[str, Sequence[str]], dealt: Column) -> dict[str, Column]:
+    """Every feature: the dealt value where its group was dealt, else the row's own."""
+    at = _group_index(groups)
+    place = {f: list(members).index(f) for members in groups.values() for f in members}
+    return {f: F.when(dealt["g"] == at[f], dealt["v"][place[f]].cast(df.schema[f].dataType)).otherwise(F.col(f)) for f in at}
+
+
 def permuted_rows(df: DataFrame, key: str, groups: Mapping[str, Sequence[str]], fold: str, reps: int, keep: Sequence[str] = (),
                   seed: int = 42) -> DataFrame:
     """Copies of the table, one per (group, repetition), with the group's features shuffled within each fold.
 
     Features of a group move together. For scores of fitted models; column scores need no copies.
     """
-    at = _group_index(groups)
     names = F.array(*[F.lit(name) for name in groups])
     rows = _dealt(df, key, groups, fold, reps, keep, seed).withColumn("_d", F.explode("_dealt"))
-    shuffled = {f: F.when(F.col("_d.g") == at[f], F.col(f"_d.v.{f}")).otherwise(F.col(f)) for f in at}
     return rows.select(
-        key, fold, F.col("_d.rep").alias("rep"), F.element_at(names, F.col("_d.g") + 1).alias("feature_group"), *keep, *[c.alias(f) for f, c in shuffled.items()]
+        key, fold, F.col("_d.rep").alias("rep"), F.element_at(names, F.col("_d.g") + 1).alias("feature_group"), *keep,
+        *[c.alias(f) for f, c in _shuffled(df, groups, F.col("_d")).items()],
     )
 
 
 def _scored_in_row(df: DataFrame, key: str, groups: Mapping[str, Sequence[str]], fold: str, reps: int, keep: Sequence[str], seed: int,
                    value: Callable[[Mapping[str, Column]], Column]) -> DataFrame:
     """(feature_group, rep, value) of every shuffled copy, computed next to the row it belongs to."""
-    at = _group_index(groups)
     names = F.array(*[F.lit(name) for name in groups])
-    one = lambda d: F.struct(d["g"].alias("g"), d["rep"].alias("rep"), value({f: F.when(d["g"] == at[f], d["v"][f]).otherwise(F.col(f)) for f in at}).alias("x"))
-    rows = _dealt(df, key, groups, fold, reps, keep, seed).select(F.explode(F.transform("_dealt", one)).alias("_d"))
-    return rows.select(F.element_at(names, F.col("_d.g") + 1).alias("feature_group"), "_d.rep", "_d.x")
+    rows = _dealt(df, key, groups, fold, reps, keep, seed).withColumn("_d", F.explode("_dealt"))
+    return rows.select(F.element_at(names, F.col("_d.g") + 1).alias("feature_group"), "_d.rep", value(_shuffled(df, groups, F.col("_d"))).alias("x"))
 
 
 def permutation_importance(df: DataFrame, key: str, groups: Mapping[str, Sequence[str]], score: ColumnScore | FrameScore, y: str, w: str,

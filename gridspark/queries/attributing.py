@@ -218,15 +218,19 @@ def _(v):
 
 def permutation_sql(groups: dict, reps: int) -> str:
     """The row on seat i gives a group's features to seat (factor * i + shift) of its fold."""
+    moves = ", ".join(f"({g}, {r}, {factor}, {shift})" for g, r, factor, shift in H.seat_moves(len(groups), reps, 42))
     branches = []
     for g, (name, members) in enumerate(groups.items()):
         args = [f"giver.{f}" if f in members else f"taker.{f}" for f in FEATURES]
-        moves = ", ".join(f"({r}, {factor}, {shift})" for at, r, factor, shift in H.seat_moves(len(groups), reps, 42) if at == g)
-        branches.append(f"""SELECT '{name}' AS feature_group, rep, sum(taker.w * pow(taker.y - {score_sql(*args)}, 2)) AS s FROM (VALUES {moves}) m(rep, factor, shift)
-          CROSS JOIN seats giver JOIN seats taker ON taker.fold = giver.fold
-            AND taker.seat = (CAST(CASE WHEN factor % giver.n = 0 THEN 1 ELSE factor % giver.n END AS HUGEINT) * giver.seat + shift % giver.n) % giver.n GROUP BY rep""")
+        branches.append(f"""SELECT '{name}' AS feature_group, rep, sum(taker.w * pow(taker.y - {score_sql(*args)}, 2)) AS s
+          FROM sent JOIN seats giver ON giver.place = sent.place JOIN seats taker ON taker.place = sent.target WHERE g = {g} GROUP BY rep""")
     return f""", sc AS (SELECT *, 0.3 * x1 + 0.2 * x4 AS y FROM v_score),
-    seats AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {hash_sql('id', 42)}, id) - 1 AS seat, count(*) OVER (PARTITION BY fold) AS n FROM sc),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {hash_sql('id', 42)}, id) - 1 AS seat, count(*) OVER (PARTITION BY fold) AS n FROM sc),
+    seats AS MATERIALIZED (SELECT *, fold * 1000000000 + seat AS place FROM numbered),
+    folds AS (SELECT fold, any_value(n) AS n FROM seats GROUP BY fold),
+    mv AS (SELECT fold, n, g, rep, CASE WHEN factor % n = 0 THEN 1 ELSE factor % n END AS f, shift % n AS sh
+      FROM folds, (VALUES {moves}) m(g, rep, factor, shift)),
+    sent AS MATERIALIZED (SELECT place, g, rep, seats.fold * 1000000000 + (CAST(f AS BIGINT) * seats.seat + CAST(sh AS BIGINT)) % seats.n AS target FROM seats JOIN mv ON mv.fold = seats.fold),
     b AS (SELECT sum(w * pow(y - {score_sql(*FEATURES)}, 2)) AS sse, sum(w) AS sw FROM sc),
     r AS ({' UNION ALL '.join(branches)}), d AS (SELECT feature_group, (s - sse) / sw AS d, sse / sw AS m FROM r, b)
     SELECT feature_group, {r6('avg(d)', 'delta_mse')}, {r6('stddev_samp(d)', 'delta_mse_sd')}, {r6('avg(d) / any_value(m) * 100', 'increase_pct')} FROM d GROUP BY feature_group"""
