@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.fixtures import duck
+from gridspark.models import batch_em as B
 from gridspark.models import embedding as E
 from gridspark.models import mixture as X
 from gridspark.models import share as S
@@ -166,30 +167,72 @@ def _(v):
     return X.posterior(long, "ll", "pi", ["id"]).select("id", "k", "posterior", "loglik_total", "label", "confidence")
 
 
+KS, FOLDS = [1, 2, 3, 4], list(range(5))
+
+
+def _chosen(fits, table):
+    """The fit on all rows of the k with the greatest held-out likelihood."""
+    best = max(table.collect(), key=lambda r: (r["oof_loglik"], -r["k"]))["k"]
+    return next(f for f in fits if f.held is None and f.k == best)
+
+
 @query("em_fractional_mixture", duck("v_score") + SAMPLE + f"SELECT id, {r6('y')}, TRUE AS in_range, {r6('1.0', 'posterior_total')}, TRUE AS never_falls FROM s WHERE presence = 1")
 def _(v):
     df = sample(v).where("presence = 1")
-    mixture = X.em_fractional_mixture(df, "y", NUMERIC, 2)
-    data, _ = vectorized(df, NUMERIC)
-    scored = mixture.predict(data)
+    fits = B.fit_mixtures(df, "y", NUMERIC, KS, "fold", FOLDS)
+    mixture = B.as_fractional(_chosen(fits, B.holdout_table(v.spark, fits)), NUMERIC)
+    scored = mixture.predict(df)
     resp = mixture.responsibilities(F.least(F.greatest(F.col("y"), F.lit(X.EPS)), F.lit(1 - X.EPS)))
-    return scored.select("id", "y", F.col("pred").between(0, 1).alias("in_range"), (resp[0] + resp[1]).alias("posterior_total"), F.lit(X.never_falls(mixture.path)).alias("never_falls"))
+    whole = reduce(lambda a, b: a + b, resp)
+    return scored.select("id", "y", F.col("pred").between(0, 1).alias("in_range"), whole.alias("posterior_total"), F.lit(X.never_falls(mixture.path)).alias("never_falls"))
+
+
+def _selection_sql(where: str, per: str, k: str = "range(1, 5) t(k)") -> str:
+    return f"""SELECT {big('k')}, count(*) AS n, {big(per, 'n_parameters')}, count(*) AS oof_n, TRUE AS never_falls, TRUE AS held_out_is_close, TRUE AS bic_fits, {big('1', 'choices_by_bic')},
+      {big('1', 'choices_by_oof')} FROM s, {k} {where} GROUP BY k"""
+
+
+def _selection(v, fits):
+    """Fits of all sizes side by side with both choices of k; every row is held out once."""
+    table = X.bic_select(B.holdout_table(v.spark, fits)).persist()
+    rises = all(X.never_falls(f.path) for f in fits)
+    total = table.agg(F.sum(F.col("best_by_bic").cast("int")).alias("a"), F.sum(F.col("best_by_oof").cast("int")).alias("b")).first()
+    # The mean held-out likelihood may lie below that of the rows seen, but not far, with so few parameters.
+    close = F.abs(F.col("oof_loglik") / F.col("oof_n") - F.col("train_loglik") / F.col("n")) < 0.2
+    bic = F.abs(F.col("bic") - (-2 * F.col("train_loglik") + F.col("n_parameters") * F.log("n"))) < 1e-6
+    return table.select(
+        "k", "n", "n_parameters", "oof_n", F.lit(rises).alias("never_falls"), close.alias("held_out_is_close"), bic.alias("bic_fits"),
+        F.lit(total["a"]).alias("choices_by_bic"), F.lit(total["b"]).alias("choices_by_oof"),
+    )
+
+
+@query("em_fractional_selection", duck("v_score") + SAMPLE + _selection_sql("WHERE presence = 1", "k * 4 + k - 1"))
+def _(v):
+    return _selection(v, B.fit_mixtures(sample(v).where("presence = 1"), "y", NUMERIC, KS, "fold", FOLDS))
 
 
 @query("em_two_stage_mixture", duck("v_score") + SAMPLE + f"SELECT id, {r6('1.0', 'posterior_total')}, TRUE AS sums_to_loglik, TRUE AS bic_fits, TRUE AS never_falls FROM s")
 def _(v):
     df = sample(v)
-    mixture = X.em_two_stage_mixture(df, "y", "presence", NUMERIC, 2)
+    fits = B.fit_mixtures(df, "y", NUMERIC, KS, "fold", FOLDS, presence="presence", starts=2)
+    mixture = B.as_two_stage(_chosen(fits, B.holdout_table(v.spark, fits)), NUMERIC)
     share = F.least(F.greatest(F.col("y"), F.lit(X.EPS)), F.lit(1 - X.EPS))
     scores = mixture.scores(F.col("presence"), F.log(share / (F.lit(1.0) - share)))
     total = X.log_sum_exp(scores)
-    rows = df.select("id", total.alias("ll"), (F.exp(scores[0] - total) + F.exp(scores[1] - total)).alias("posterior_total"))
+    parts = reduce(lambda a, b: a + b, [F.exp(s - total) for s in scores])
+    rows = df.select("id", total.alias("ll"), parts.alias("posterior_total"))
     summed, n = rows.agg(F.sum("ll"), F.count(F.lit(1))).first()
+    k = len(scores)
     sound = abs(summed - mixture.loglik) < 1e-6 * abs(summed)
-    bic = abs(mixture.bic() - (-2 * summed + (2 * (2 * (len(NUMERIC) + 1) + 1) + 1) * math.log(n))) < 1e-6 * abs(summed)
+    bic = abs(mixture.bic() - (-2 * summed + (k * (2 * (len(NUMERIC) + 1) + 1) + k - 1) * math.log(n))) < 1e-6 * abs(summed)
     return rows.select("id", "posterior_total", F.lit(sound).alias("sums_to_loglik"), F.lit(bic).alias("bic_fits"), F.lit(X.never_falls(mixture.path)).alias("never_falls"))
 
 
+@query("em_two_stage_selection", duck("v_score") + SAMPLE + _selection_sql("", "k * 9 + k - 1"))
+def _(v):
+    return _selection(v, B.fit_mixtures(sample(v), "y", NUMERIC, KS, "fold", FOLDS, presence="presence", starts=2))
+
+
 @query("moe_regimes", duck("v_score") + SAMPLE + f"SELECT id, {big('fold')}, {r6('y')}, TRUE AS known_regime, TRUE AS in_range FROM s")
 def _(v):
     data = vectorized(sample(v), NUMERIC)[0].persist()
