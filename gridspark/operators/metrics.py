@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalar import clip, is_finite
-from gridspark.operators.scan import BIN, average_ranks, exact_quantiles, running_sums, with_bins
+from gridspark.operators.scan import BIN, SPLIT_ROWS, exact_quantiles, look_up, running_sums, value_ranks, with_bins
 
 # Share of the raw sum of squares below which a spread is only rounding.
 NO_SPREAD = 1e-12
@@ -160,12 +160,12 @@ def improved_share(old: Column, new: Column, y: Column, w: Column) -> Column:
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation with average ranks."""
-    valid = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rx = average_ranks(valid, x, by, "_rx")
-    ry = average_ranks(valid, y, by, "_ry")
     # Rows enter as distinct (x, y) pairs with a count, so copies meet the ranks once.
-    pairs = valid.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = pairs.join(rx, [*by, x]).join(ry, [*by, y])
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = pairs
+    for value, name in ((x, "_rx"), (y, "_ry")):
+        counts = pairs.groupBy(*by, value).agg(F.sum("_n").alias("_rows"))
+        ranked = look_up(ranked, value_ranks(counts, value, "_rows", by, name), [*by, value], "_rows")
     return ranked.groupBy(*by).agg(weighted_corr(F.col("_rx"), F.col("_ry"), F.col("_n")).alias("spearman"))
 
 
@@ -178,17 +178,27 @@ def weighted_corr(x: Column, y: Column, n: Column) -> Column:
     return F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
 
 
-def spearman_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rank correlation of every pair of columns; ranks of each column are computed once."""
-    ranked = df.select(*cols).dropna()
-    for c in cols:
-        ranked = ranked.join(average_ranks(ranked.select(c), c, name=f"_r_{c}"), c)
-    pairs = [(a, b) for a in cols for b in cols]
-    corr = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    entries = F.array(*[
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("spearman")) for i, (a, b) in enumerate(pairs)
+def spearman_matrix(df: DataFrame, cols: Sequence[str], hot_rows: int = SPLIT_ROWS) -> DataFrame:
+    """a, b, spearman: rank correlation of every pair of columns over the rows that have all of them.
+
+    Equal rows are counted first. All columns are ranked together as (column, value) counts, ranks go back to the row by its
+    hash, and one aggregate holds the products of all pairs.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)]).dropna()
+    values = [f"_{i}" for i in range(len(cols))]
+    counted = rows.groupBy(*values).agg(F.count(F.lit(1)).alias("_n"))
+    row = F.struct(F.xxhash64(*values), F.xxhash64(F.lit(1), *reversed(values)))
+    entries = F.array(*[F.struct(F.lit(i).alias("_column"), F.col(v).alias("_value")) for i, v in enumerate(values)])
+    long = counted.select(row.alias("_row"), "_n", F.explode(entries).alias("_e")).select("_row", "_n", "_e.*")
+    ranks = value_ranks(long.groupBy("_column", "_value").agg(F.sum("_n").alias("_rows")), "_value", "_rows", ["_column"], "_rank")
+    found = look_up(long, ranks, ["_column", "_value"], "_rows", hot_rows)
+    wide = found.groupBy("_row").agg(F.first("_n").alias("_n"), *[F.max(F.when(F.col("_column") == i, F.col("_rank"))).alias(v) for i, v in enumerate(values)])
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    gram = wide.agg(*[weighted_corr(F.col(f"_{i}"), F.col(f"_{j}"), F.col("_n")).alias(f"{i}_{j}") for i, j in pairs])
+    cells = F.array(*[
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{min(i, j)}_{max(i, j)}").alias("spearman")) for i, a in enumerate(cols) for j, b in enumerate(cols)
     ])
-    return corr.select(F.explode(entries).alias("e")).select("e.*")
+    return gram.select(F.explode(cells).alias("e")).select("e.*")
 
 
 def corr_t(r: Column, n: Column) -> Column:

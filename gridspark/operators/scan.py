@@ -178,8 +178,31 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str =
                   split_rows: int = BIN_ROWS) -> DataFrame:
     """One row per distinct value with its average rank (ties share the mean rank)."""
     distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sums(with_bins(distinct, value, by, split_rows), value, {"_cum": "_n"}, by, bucket=F.col(BIN))
-    return ranked.select(*by, value, (F.col("_cum") - (F.col("_n") - 1) / 2.0).alias(name))
+    return value_ranks(distinct, value, "_n", by, name, split_rows).select(*by, value, name)
+
+
+def value_ranks(distinct: DataFrame, value: str, count: str, by: Sequence[str] = (), name: str = "rank", split_rows: int = BIN_ROWS) -> DataFrame:
+    """by, value, count and the average rank of the ``count`` rows of each value."""
+    ranked = running_sums(with_bins(distinct, value, by, split_rows), value, {"_cum": count}, by, bucket=F.col(BIN))
+    return ranked.select(*by, value, count, (F.col("_cum") - (F.col(count) - 1) / 2.0).alias(name))
+
+
+def look_up(rows: DataFrame, facts: DataFrame, keys: Sequence[str], count: str, hot_rows: int = SPLIT_ROWS) -> DataFrame:
+    """``rows`` with the facts of their keys, where ``count`` of a fact tells how many rows may ask for it.
+
+    Facts that many ask for are listed in as many parts as their count needs, and the rows of such a key are dealt among
+    the parts, so that one value that fills most of a column doesn't make one task. Nulls match nulls.
+    """
+    def same(a: str, b: str, names: Sequence[str]) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names])
+
+    hot = facts.where(F.col(count) > hot_rows).select(*keys, F.ceil(F.col(count) / hot_rows).cast("int").alias("_parts"))
+    deal = F.pmod(F.xxhash64(*[F.col(f"r.{c}") for c in rows.columns]), F.coalesce("h._parts", F.lit(1))).cast("int")
+    dealt = rows.alias("r").join(hot.alias("h"), same("r", "h", keys), "left").select("r.*", deal.alias("_part"))
+    n_parts = F.greatest(F.ceil(F.col(count) / hot_rows).cast("int"), F.lit(1))
+    listed = facts.withColumn("_part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
+    extra = [F.col(f"f.{c}") for c in facts.columns if c not in {*keys, count}]
+    return dealt.alias("d").join(listed.alias("f"), same("d", "f", [*keys, "_part"])).select(*[F.col(f"d.{c}") for c in rows.columns], *extra)
 
 
 def _ranks(probs: Mapping[str, float]) -> list[Column]:

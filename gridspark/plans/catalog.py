@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridspark.operators.metrics import spearman_matrix
 from gridspark.operators.ranking import set_checks
 from gridspark.operators.summary import variable_summary
 
@@ -59,3 +60,20 @@ def catalog_audit(catalog: DataFrame, sample: DataFrame, features: Sequence[str]
     return status.join(variable_summary(sample, features), "feature", "left").join(
         catalog.select("feature", F.col("kind")), "feature", "left"
     )
+
+
+def catalog_order(catalog: DataFrame, features: Sequence[str], position: str = "position") -> DataFrame:
+    """position, expected, actual, in_order: the catalogue's features beside those of the source model, place by place.
+
+    Places are counted from 0 in the catalogue's order; a side that is shorter has nulls, which are out of order.
+    """
+    spark = catalog.sparkSession
+    wanted = catalog.select((F.row_number().over(Window.orderBy(position, "feature")) - 1).alias("position"), F.col("feature").alias("expected"))
+    actual = spark.createDataFrame(list(enumerate(features)), "position int, actual string")
+    return wanted.join(actual, "position", "full").withColumn("in_order", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
+
+
+def catalog_correlation(catalog: DataFrame, sample: DataFrame, kind: str = "kind") -> DataFrame:
+    """a, b, spearman of the catalogue's features that the sample has, but for categorical ones."""
+    wanted = [r["feature"] for r in catalog.where(F.col(kind) != "categorical").select("feature").distinct().orderBy("feature").collect()]
+    return spearman_matrix(sample, [f for f in wanted if f in sample.columns])

@@ -72,3 +72,30 @@ def _(v):
 def _(v):
     wanted = v.spark.createDataFrame([("frac", "target"), ("pop", "predictor"), ("gdp", "predictor")], "feature string, kind string")
     return C.catalog_audit(wanted, v.cells, ["frac", "pop", "soil"])
+
+
+CATALOG = [("frac", "target", 1), ("pop", "predictor", 3), ("pot_rain", "predictor", 2), ("gdp", "predictor", 5), ("soil", "categorical", 4)]
+CATALOG_SQL = ", ".join(f"('{f}', '{k}', {p})" for f, k, p in CATALOG)
+
+
+def _catalog(v):
+    return v.spark.createDataFrame(CATALOG, "feature string, kind string, position int")
+
+
+@query("catalog_order", duck("v_cells") + f""", c AS (SELECT feature, row_number() OVER (ORDER BY position) - 1 AS position FROM (VALUES {CATALOG_SQL}) t(feature, kind, position)),
+    names AS (SELECT feature, row_number() OVER (ORDER BY first) - 1 AS position FROM (SELECT 'frac' AS feature, 1 AS first, count(frac) AS n FROM v_cells UNION ALL SELECT 'pop', 2, count(pop) FROM v_cells
+      UNION ALL SELECT 'pot_rain', 3, count(pot_rain) FROM v_cells) WHERE n > 0)
+    SELECT {big('coalesce(c.position, names.position)', 'position')}, c.feature AS expected, names.feature AS actual, coalesce(c.feature = names.feature, FALSE) AS in_order
+    FROM c FULL JOIN names ON c.position = names.position""")
+def _(v):
+    # The sample's features are those with any value, in its own order.
+    names = ["frac", "pop", "pot_rain"]
+    counts = v.cells.agg(*[F.count(n).alias(n) for n in names]).first()
+    return C.catalog_order(_catalog(v), [n for n in names if counts[n]])
+
+
+@query("catalog_correlation", duck("v_cells") + f""", f AS (SELECT frac, pop, pot_rain FROM v_cells WHERE frac IS NOT NULL AND pop IS NOT NULL AND pot_rain IS NOT NULL),
+    k AS (SELECT {', '.join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ('frac', 'pop', 'pot_rain'))} FROM f)
+    SELECT * FROM ({' UNION ALL '.join(f"SELECT '{a}' AS a, '{b}' AS b, {r6(f'corr({a}, {b})', 'spearman')} FROM k" for a in ('frac', 'pop', 'pot_rain') for b in ('frac', 'pop', 'pot_rain'))})""")
+def _(v):
+    return C.catalog_correlation(_catalog(v), v.cells)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridspark.operators import scan
+from gridspark.operators import metrics, scan
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +115,25 @@ def test_weighted_quantiles_do_not_depend_on_the_split(spark, split):
     got = scan.weighted_quantiles(spark.createDataFrame(pdf), "x", "w", {"a": 0.1, "b": 0.9}, split_rows=split).first()
     want = scan.weighted_quantiles(spark.createDataFrame(pdf.sample(frac=1, random_state=1)).repartition(7), "x", "w", {"a": 0.1, "b": 0.9}, split_rows=100).first()
     assert got == want
+
+
+def test_rank_correlation_of_a_column_of_zeros(spark):
+    """One column is zero in 99 of 100 rows, and its rows are dealt into parts."""
+    rng = np.random.default_rng(6)
+    n = 3000
+    pdf = pd.DataFrame({"x": np.where(rng.random(n) < 0.99, 0.0, rng.random(n)), "y": rng.normal(size=n).round(1), "z": rng.random(n)})
+    pdf["y"] += pdf.x * 3
+    pdf.loc[::50, "z"] = np.nan
+    df = spark.createDataFrame(pdf).select("x", "y", F.when(~F.isnan("z"), F.col("z")).alias("z"))
+    want = pdf.dropna().rank().corr()
+    got = {(r.a, r.b): r.spearman for r in metrics.spearman_matrix(df, ["x", "y", "z"], hot_rows=100).collect()}
+    assert all(abs(got[a, b] - want.loc[a, b]) < 1e-9 for a in "xyz" for b in "xyz")
+    both = metrics.spearman(df, "x", "y").first()[0]
+    assert abs(both - pdf[["x", "y"]].rank().corr().iloc[0, 1]) < 1e-9
+
+
+def test_look_up_deals_hot_keys(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(400)] + [(2, 1), (None, 5), (9, 9)], "k long, x long")
+    facts = spark.createDataFrame([(1, 400, "a"), (2, 1, "b"), (None, 1, "c")], "k long, n long, v string")
+    got = sorted(((r.k or 0, r.x, r.v) for r in scan.look_up(rows, facts, ["k"], "n", hot_rows=50).collect()))
+    assert got == sorted([(1, i, "a") for i in range(400)] + [(2, 1, "b"), (0, 5, "c")])
