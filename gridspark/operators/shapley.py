@@ -13,11 +13,12 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.rng import hash_prefix, index, key_hash, portable_hash
 from gridspark.operators.sampling import prefix_bits, weighted_draw
+from gridspark.operators.ranking import quantile_bins
 from gridspark.operators.scan import numbered
 from gridspark.session import cut_lineage
 
@@ -140,6 +141,52 @@ def interaction_summary(interactions: DataFrame, keep: Sequence[str]) -> DataFra
     return long.groupBy("pair").agg(F.avg(F.abs("value")).alias("mean_abs"), F.avg("value").alias("mean_signed"))
 
 
+def stage_interactions(cells: DataFrame, key: str, groups: Mapping[str, Sequence[str]], stages: Mapping[str, ColumnScore], pool: DataFrame, n_pool: int,
+                       draws: int = 32, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
+    """key, keep, stage, first, second, interaction: the Shapley interaction of every pair of groups under each stage's score.
+
+    A cell's coalitions of all pairs come from one average over its draws per stage."""
+    names = list(groups)
+    pairs = list(combinations(range(len(names)), 2))
+    parts = []
+    for stage, score in stages.items():
+        values = coalition_values(cells, key, groups, score, pool, n_pool, draws, seed, keep)
+        wide = shapley_interaction(values, names, [key, *keep])
+        entries = F.array(*[
+            F.struct(F.lit(names[i]).alias("first"), F.lit(names[j]).alias("second"), F.col(f"`{names[i]}__{names[j]}`").alias("interaction")) for i, j in pairs
+        ])
+        parts.append(wide.select(key, *keep, F.lit(stage).alias("stage"), F.explode(entries).alias("_e")).select(key, *keep, "stage", "_e.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def top_interactions(long: DataFrame, n: int, fold: str | None = None) -> DataFrame:
+    """stage, first, second, mean_abs, mean_signed, n, rank: the ``n`` strongest pairs of every stage.
+
+    Strengths are means over rows, or the mean of the folds' means. Ties in nine decimals go to the first names."""
+    pair = ["stage", "first", "second"]
+    mean = [F.avg(F.abs("interaction")).alias("mean_abs"), F.avg("interaction").alias("mean_signed"), F.count("interaction").alias("n")]
+    table = long.groupBy(*pair, *([fold] if fold else [])).agg(*mean)
+    if fold:
+        table = table.groupBy(*pair).agg(F.avg("mean_abs").alias("mean_abs"), F.avg("mean_signed").alias("mean_signed"), F.sum("n").alias("n"))
+    order = Window.partitionBy("stage").orderBy(F.desc(F.round("mean_abs", 9)), "first", "second")
+    return table.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def pair_values(long: DataFrame, top: DataFrame, cells: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """key, stage, first, second, x, color, interaction: a top pair's interaction beside the values of its two features."""
+    wanted = long.join(top.select("stage", "first", "second", "rank"), ["stage", "first", "second"])
+    own = cells.select(key, F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))]).alias("_own"))
+    joined = wanted.join(own, key)
+    return joined.select(key, "stage", "rank", "first", "second", F.col("_own")[F.col("first")].alias("x"), F.col("_own")[F.col("second")].alias("color"), "interaction")
+
+
+def pair_dependence(values: DataFrame, n_bins: int = 10) -> DataFrame:
+    """stage, first, second, bin, color_bin, n, x, interaction: means over quantile bins of the first value and halves of the second."""
+    pair = ["stage", "first", "second"]
+    binned = quantile_bins(quantile_bins(values, "x", n_bins, pair), "color", 2, pair, "color_bin")
+    return binned.groupBy(*pair, "bin", "color_bin").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("interaction").alias("interaction"))
+
+
 def paired_permutations(n_features: int, n_perm: int, seed: int = 42) -> list[list[int]]:
     """Feature orders in pairs: a random one and its reverse."""
     orders = []

@@ -11,6 +11,7 @@ from gridspark.queries.aggregates import _avg_rank
 from gridspark.queries.ranking import edges_sql
 from gridspark.queries.registry import big, bigs, query, r6, r6s
 from gridspark.queries.sampling import hash_sql, uniform_sql
+from gridspark.session import cut_lineage
 
 
 def group(column="f"):
@@ -172,6 +173,67 @@ def _(v):
     return H.interaction_summary(H.shapley_interaction(values, list(GROUPS), ["id"]), ["id"])
 
 
+def log_odds(x):
+    return 2.0 * x["x1"] - x["x2"] + 0.5 * x["x1"] * x["x3"]
+
+
+def fraction(x):
+    return F.least(F.greatest(0.2 + 0.6 * x["x4"] + 0.3 * x["x1"] * x["x3"], F.lit(0.0)), F.lit(1.0))
+
+
+def stage_sql(x1, x2, x3, x4):
+    return f"(2 * {x1} - {x2} + 0.5 * {x1} * {x3})"
+
+
+def fraction_sql(x1, x2, x3, x4):
+    return f"least(greatest(0.2 + 0.6 * {x4} + 0.3 * {x1} * {x3}, 0), 1)"
+
+
+STAGES = {"presence": (log_odds, stage_sql), "fraction": (fraction, fraction_sql)}
+
+
+def _pairs_sql() -> str:
+    """Interactions of all pairs of features under both stages by their sums over coalitions."""
+    parts = []
+    for stage, (_, sql) in STAGES.items():
+        cols = [f"avg({sql(*[f if mask >> i & 1 else f'b{f[1]}' for i, f in enumerate(FEATURES)])}) AS v{mask}" for mask in range(16)]
+        for i in range(4):
+            for j in range(i + 1, 4):
+                both = 1 << i | 1 << j
+                weight = {0: 1 / 3, 1: 1 / 6, 2: 1 / 3}
+                terms = [f"{weight[m.bit_count()]!r} * (v{m | both} - v{m | 1 << i} - v{m | 1 << j} + v{m})" for m in range(16) if not m & both]
+                parts.append(f"SELECT id, '{stage}' AS stage, '{FEATURES[i]}' AS first, '{FEATURES[j]}' AS second, {' + '.join(terms)} AS interaction FROM c_{stage}")
+        yield f"c_{stage} AS MATERIALIZED (SELECT id, {', '.join(cols)} FROM pr GROUP BY id)"
+    yield f"inter AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+
+
+#: Background rows a cell meets in the queries of pairs, which score sixteen coalitions under two stages.
+PAIR_DRAWS = 8
+PAIRS = POOL + PAIRED.replace("pr AS (", "pr AS MATERIALIZED (").replace(f"range({DRAWS})", f"range({PAIR_DRAWS})") + ", " + ", ".join(_pairs_sql()) + """, byf AS (SELECT stage, first, second, fold, avg(abs(interaction)) AS a, avg(interaction) AS g, count(*) AS n FROM inter JOIN v_score USING (id) GROUP BY ALL),
+    tab AS (SELECT stage, first, second, avg(a) AS a, avg(g) AS g, sum(n) AS n FROM byf GROUP BY ALL),
+    top AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY round(a, 9) DESC, first, second) AS rank FROM tab QUALIFY rank <= 3)"""
+
+
+def _interactions(v):
+    return H.stage_interactions(v.score, "id", {f: [f] for f in FEATURES}, {k: f for k, (f, _) in STAGES.items()}, pool(v), N_POOL, PAIR_DRAWS, keep=("fold",))
+
+
+@query("top_interactions", duck("v_score") + PAIRS + f"SELECT stage, first, second, {r6('a', 'mean_abs')}, {r6('g', 'mean_signed')}, {bigs('n', 'rank')} FROM top")
+def _(v):
+    return H.top_interactions(_interactions(v), 3, "fold")
+
+
+@query("pair_dependence", duck("v_score") + PAIRS + f""", pv AS (SELECT stage, first, second, interaction, CASE first WHEN 'x1' THEN x1 WHEN 'x2' THEN x2 WHEN 'x3' THEN x3 ELSE x4 END AS x,
+      CASE second WHEN 'x1' THEN x1 WHEN 'x2' THEN x2 WHEN 'x3' THEN x3 ELSE x4 END AS color FROM inter JOIN top USING (stage, first, second) JOIN v_score USING (id)),
+    e AS (SELECT stage, first, second, {edges_sql(5, 'x')} AS ex, {edges_sql(2, 'color')} AS ec FROM pv GROUP BY ALL),
+    k AS (SELECT *, greatest(len(list_filter(ex, lambda q: q < x)) - 1, 0) AS bin, greatest(len(list_filter(ec, lambda q: q < color)) - 1, 0) AS color_bin FROM pv JOIN e USING (stage, first, second))
+    SELECT stage, first, second, {bigs('bin', 'color_bin')}, count(*) AS n, {r6('avg(x)', 'x')}, {r6('avg(interaction)', 'interaction')} FROM k GROUP BY stage, first, second, bin, color_bin""")
+def _(v):
+    long = cut_lineage(_interactions(v))
+    values = H.pair_values(long, H.top_interactions(long, 3, "fold"), v.score, "id", FEATURES)
+    return H.pair_dependence(values, 5)
+
+
 N_PERM = 32
 ORDERS = H.paired_permutations(4, N_PERM)
 
@@ -198,16 +260,16 @@ def _(v):
     return H.feature_shapley(v.score, "id", FEATURES, score, pool(v), N_POOL, N_PERM)
 
 
-def stage_sql(x1, x2, x3, x4):
-    return f"(2 * {x1} - {x2} + 0.5 * {x1} * {x3})"
-
-
 @query("stage_shapley", duck("v_score") + POOL + STEP_PAIRED + _stepwise_sql(stage_sql))
 def _(v):
-    log_odds = lambda x: 2.0 * x["x1"] - x["x2"] + 0.5 * x["x1"] * x["x3"]
     return H.feature_shapley(v.score, "id", FEATURES, log_odds, pool(v), N_POOL, N_PERM)
 
 
+@query("stage_shapley_fraction", duck("v_score") + POOL + STEP_PAIRED + _stepwise_sql(fraction_sql))
+def _(v):
+    return H.feature_shapley(v.score, "id", FEATURES, fraction, pool(v), N_POOL, N_PERM)
+
+
 @query("additivity_check", duck("v_score") + f"SELECT count(*) AS n_cells, {r6('0.0', 'max_error')}, TRUE AS additive FROM v_score")
 def _(v):
     phi = H.group_shapley(v.score, "id", GROUPS, score, pool(v), N_POOL, DRAWS)
