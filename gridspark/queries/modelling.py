@@ -6,6 +6,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from gridspark.models import embedding as E
 from gridspark.models import mixture as X
 from gridspark.models import share as S
 from gridspark.models import two_stage as T
-from gridspark.models.design import standardize_design, vectorized
+from gridspark.models.design import design_vector, standardize_design, vectorized
 from gridspark.operators import shapley as H
 from gridspark.operators.summary import to_wide
 from gridspark.queries.registry import big, bigs, query, r6
@@ -73,14 +74,28 @@ def _(v):
     return metrics.select("model", "n_features", "n_cells", "observed_mean", (F.col("predicted_mean").between(0, 1) & (F.col("rmse") < 1)).alias("in_range"))
 
 
-@query("standardize_design", duck("v_score") + f""", t AS (SELECT avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x4) AS m4, stddev_pop(x4) AS s4 FROM v_score WHERE fold <> 0 AND cls <> 2)
-    SELECT id, {r6('(x1 - m1) / s1', 'z__x1')}, {r6('(x4 - m4) / s4', 'z__x4')}, {r6('CASE WHEN cls = 0 THEN 1.0 ELSE 0.0 END', 'cls__0')},
-    {r6('CASE WHEN cls = 1 THEN 1.0 ELSE 0.0 END', 'cls__1')} FROM v_score, t WHERE fold = 0""")
+# Class 2 never occurs in training, so its rows hold zeros.
+DESIGN = """, t AS (SELECT k.fold, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x4) AS m4, stddev_pop(x4) AS s4 FROM (SELECT DISTINCT fold FROM v_score) k
+    JOIN v_score s ON s.fold <> k.fold AND cls <> 2 GROUP BY k.fold)"""
+
+
+def _designs(v, make):
+    """The rows of every fold in the design that the other folds teach."""
+    parts = [make(v.score.where((F.col("fold") != k) & (F.col("cls") != 2)), v.score.where(F.col("fold") == k))[1] for k in range(5)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("standardize_design", duck("v_score") + DESIGN + f""" SELECT id, {r6('(x1 - m1) / s1', 'z__x1')}, {r6('(x4 - m4) / s4', 'z__x4')}, {r6('CASE WHEN cls = 0 THEN 1.0 ELSE 0.0 END', 'cls__0')},
+    {r6('CASE WHEN cls = 1 THEN 1.0 ELSE 0.0 END', 'cls__1')} FROM v_score JOIN t USING (fold)""")
+def _(v):
+    return _designs(v, lambda a, b: standardize_design(a, b, ["x1", "x4"], ["cls"], keep=["id"]))
+
+
+@query("design_vector", duck("v_score") + DESIGN + f""" SELECT id, {r6('(x1 - m1) / s1', 'z__x1')}, {r6('CASE WHEN cls < 2 THEN 1.0 ELSE 0.0 END', 'known_class')}, {big('3', 'n_slots')} FROM v_score JOIN t USING (fold)""")
 def _(v):
-    # Class 2 never occurs in training, so its rows hold zeros.
-    score = v.score
-    _, test, _ = standardize_design(score.where("fold <> 0 AND cls <> 2"), score.where("fold = 0"), ["x1", "x4"], ["cls"], keep=["id"])
-    return test
+    values = vector_to_array("features")
+    out = _designs(v, lambda a, b: design_vector(a, b, ["x1"], ["cls"], keep=["id"]))
+    return out.select("id", values[0].alias("z__x1"), (values[1] + values[2]).alias("known_class"), F.size(values).cast("long").alias("n_slots"))
 
 
 @query("fractional_logit", duck("v_score") + SAMPLE + f"SELECT count(*) AS n, {r6('sum(w * y) / sum(w)', 'mean_y')}, TRUE AS mean_kept FROM s WHERE presence = 1")
