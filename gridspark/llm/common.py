@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,12 +94,13 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str, spr
     )
 
 
-def spread_lookup(rows: DataFrame, key: str, facts: DataFrame, rows_a_part: int = 4096) -> DataFrame:
+def spread_lookup(rows: DataFrame, key: str, facts: DataFrame, size: int | None = None, rows_a_part: int = 4096) -> DataFrame:
     """``rows`` joined with ``facts``, which has a row for every ``key``, when a key may hold most of the rows.
 
-    A key's rows are dealt into parts, as many as the table's size asks for; the facts meet each (key, part) that there is
-    once, and the rows meet those, so no task gets all rows of a key. Rows whose key has no fact are left out."""
-    parts = max(1, rows.count() // rows_a_part)
+    A key's rows are dealt into parts, as many as the table's ``size`` in rows (counted, if not given) asks for; the facts
+    meet each (key, part) that there is once, and the rows meet those, so no task gets all rows of a key. Rows whose key has
+    no fact are left out."""
+    parts = max(1, (rows.count() if size is None else size) // rows_a_part)
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns if c != key]), F.lit(parts)))
     there = dealt.groupBy(key, "_part").agg(F.lit(True).alias("_there")).join(facts, key).drop("_there")
     return dealt.join(there, [key, "_part"]).drop("_part")
@@ -116,19 +118,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Links that one task joins by itself.
+LOCAL_LINKS = 500_000
+
+
+def least_reached(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the links once, and the least node it is connected with by them."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    left, right, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        # a label takes what its own links reach, then all labels are followed to their end
+        np.minimum.at(new, label[left], low)
+        np.minimum.at(new, label[right], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _joined(batches):
+    """The links of a task as links of every node with the least it reaches."""
+    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if held and sum(len(a) for a, _ in held):
+        nodes, least = least_reached(np.concatenate([a for a, _ in held]), np.concatenate([b for _, b in held]))
+        for at in range(0, len(nodes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)], pa.int64()) for x in (nodes, least)], names=["node", "component"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", local_links: int = LOCAL_LINKS) -> DataFrame:
     """``node, component``: the smallest node each node is connected with.
 
-    Every round gives a node the least label of its neighbours and follows that label's own label, so paths halve; the
-    tables of a round are written to the shared folder. Nodes without edges do not appear."""
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    links = materialize(pairs.union(pairs.select("b", "a")).filter("a <> b").distinct(), "links")
+    The links are dealt evenly into parts of at most ``local_links``, and a task joins those of its part; with a single part
+    that is all. Else every round gives a node the least label of its neighbours and follows that label's own label, so paths
+    halve; the tables of a round are written to the shared folder. Nodes without edges do not appear, nor do nulls."""
+    pairs = materialize(edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b"), "pairs")
+    parts = -(-pairs.count() // local_links)
+    joined = materialize(pairs.repartition(max(1, parts)).mapInArrow(_joined, "node long, component long"), "joined")
+    if parts <= 1:
+        return joined
+    found = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b")
+    links = materialize(found.union(found.select("b", "a")).distinct(), "links")
     labels = materialize(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    size = labels.count()
     while True:
         heard = links.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("_heard"))
         near = labels.join(heard, "node").select("node", F.col("component").alias("_old"), F.least("component", "_heard").alias("_near"))
         jump = labels.select(F.col("node").alias("_near"), F.col("component").alias("_far"))
-        new = materialize(near.join(jump, "_near").select("node", "_old", F.least("_near", "_far").alias("component")), "labels")
+        # most nodes may have one label, so its own label is looked up part by part
+        new = materialize(spread_lookup(near, "_near", jump, size).select("node", "_old", F.least("_near", "_far").alias("component")), "labels")
         changed = new.filter("component <> _old").limit(1).count()
         labels = new.drop("_old")
         if not changed:

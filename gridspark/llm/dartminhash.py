@@ -6,8 +6,10 @@ coordinate of the signature, and the earliest dart (least rank) of each coordina
 and height (rank), so a set needs about k log k darts and one hash per element, not k hashes per element.
 
 Candidates: equal parts (bands) of two signatures. Verification: exact Jaccard similarity of the shingle sets. Classes:
-connected components of the verified links. Forests of candidates are verified first; then every candidate that still lies
-between different verified classes is.
+connected components of the verified links. Forests of candidates are verified first, by which nearly all members of a family
+come into one class. What still lies between different verified classes of a band is settled without all its pairs: two sets
+of similarity t share an element among the rarest 1 - t of either, and near enough to the start of both (prefix and position
+filters), and only pairs that do are verified.
 
 Words are lower-case runs of letters, digits and underscores; a shingle is five words in a row, and a text of one to four
 words is one shingle. Texts without a word are in classes of their own."""
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import MASK, components, materialize, mix, words
+from gridspark.llm.common import MASK, components, materialize, mix, spread_lookup, words
 
 SHINGLE = 5
 #: Rank height of the lowest cell row, for a weight of 1.
@@ -35,7 +37,7 @@ class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -120,43 +122,56 @@ def _sortable(rank: np.ndarray) -> np.ndarray:
     return rank.astype(np.float32).view(np.uint32).astype(U)
 
 
+#: Elements whose signatures are made at once; a longer text goes alone.
+ELEMENTS = 1 << 16
+
+
 def _describe(k: int, bands: int, weighted: bool):
+    rows = k // bands
+
+    def described(ids: list[pa.Array], found: list[tuple[np.ndarray, np.ndarray] | None]) -> pa.RecordBatch:
+        own = [f for f in found if f is not None]
+        keys = np.zeros((len(own), bands), dtype=U)
+        sig = np.zeros((0, k), dtype=U)
+        if own:
+            sizes = [len(e) for e, _ in own]
+            w = np.concatenate([n.astype(np.float64) if weighted else np.ones(len(n)) for _, n in own])
+            sig = signatures(np.concatenate([e for e, _ in own]), w, np.repeat(np.arange(len(own)), sizes), len(own), k)
+        for i in range(bands):
+            value = np.full(len(own), i + 1, dtype=U)
+            for j in range(rows):
+                value = mix(value * U(0x9E3779B97F4A7C15) + sig[:, i * rows + j])
+            keys[:, i] = value
+        short = (mix(sig) & U(0xFF)).astype(np.uint8)
+        columns: tuple[list, list, list] = ([], [], [])
+        at = 0
+        for f in found:
+            if f is None:
+                for c in columns:
+                    c.append(None)
+                continue
+            both = np.concatenate([f[0], f[1].astype(U)]) if weighted else f[0]
+            a, b = mix(both + U(0xA5A5A5A5)).sum(dtype=U), np.bitwise_xor.reduce(mix(both ^ U(0x0F0F0F0F0F0F0F0F)))
+            columns[0].append(int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big"))
+            columns[1].append(short[at].tobytes())
+            columns[2].append(keys[at].view(np.int64))
+            at += 1
+        return pa.RecordBatch.from_arrays([
+            pa.concat_arrays(ids), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.list_(pa.int64())),
+        ], names=["doc_id", "set_key", "sketch", "bands"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = k // bands
-        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):  # bounded memory
-            found: list[tuple | None] = []
-            own: list[tuple[np.ndarray, np.ndarray]] = []
-            for text in batch.column(1):
+        for batch in batches:
+            first, held, size = 0, [], 0
+            for at, text in enumerate(batch.column(1)):
                 e, n = np.unique(shingles(text.as_py()), return_counts=True)
-                if not len(e):
-                    found.append(None)
-                    continue
-                w = n.astype(np.float64) if weighted else np.ones(len(e))
-                both = np.concatenate([e, n.astype(U)]) if weighted else e
-                a = mix(both + U(0xA5A5A5A5)).sum(dtype=U)
-                b = np.bitwise_xor.reduce(mix(both ^ U(0x0F0F0F0F0F0F0F0F)))
-                found.append((int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big"), len(own)))
-                own.append((e, w))
-            parts = [np.zeros((0, k), dtype=U)]
-            for at in range(0, len(own), 64):
-                part = own[at : at + 64]
-                sizes = [len(e) for e, _ in part]
-                parts.append(signatures(np.concatenate([e for e, _ in part]), np.concatenate([w for _, w in part]), np.repeat(np.arange(len(part)), sizes), len(part), k))
-            sig = np.concatenate(parts)
-            keys = np.zeros((len(own), bands), dtype=U)
-            for i in range(bands):
-                value = np.full(len(own), i + 1, dtype=U)
-                for j in range(rows):
-                    value = mix(value * U(0x9E3779B97F4A7C15) + sig[:, i * rows + j])
-                keys[:, i] = value
-            short = (mix(sig) & U(0xFF)).astype(np.uint8)
-            pick = [f[1] if f else None for f in found]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0),
-                pa.array([f[0] if f else None for f in found], pa.binary()),
-                pa.array([None if p is None else short[p].tobytes() for p in pick], pa.binary()),
-                pa.array([None if p is None else keys[p].view(np.int64) for p in pick], pa.list_(pa.int64())),
-            ], names=["doc_id", "set_key", "sketch", "bands"])
+                if held and (size + len(e) > ELEMENTS or len(held) == 512):
+                    yield described([batch.column(0).slice(first, len(held))], held)
+                    first, held, size = at, [], 0
+                held.append((e, n) if len(e) else None)
+                size += len(e)
+            if held:
+                yield described([batch.column(0).slice(first, len(held))], held)
 
     return run
 
@@ -165,23 +180,18 @@ def _describe(k: int, bands: int, weighted: bool):
 BUCKET = 512
 #: Sketch agreement from which a pair is a candidate: 0.8 less five standard deviations of the estimate.
 CANDIDATE = 0.62
-#: Sketch agreement from which two members of a bucket are in one group.
-SURE = 0.9
 #: Candidates across every cut of a bucket that are verified before the others.
 FORESTS = 4
 
 
-def bucket_links(sketches: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs of a bucket's members to verify first, and one member for each group of surely similar ones.
+def bucket_links(sketches: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a bucket's members to verify first.
 
     All pairs are compared by their sketches. Only classes are wanted, not links, so of the candidates a number of maximum
     spanning forests comes first, each of the candidates that the ones before left: for every way to part the members in two,
     the ``FORESTS`` most similar candidates between the parts are in them (all, if fewer). A bucket has
     no more than ``FORESTS`` pairs per member, however large it is; what they leave apart is looked at later."""
     m = len(sketches)
-    if m == 2:
-        share = float((sketches[0] == sketches[1]).mean())
-        return ([(0, 1)] if share >= CANDIDATE else []), ([0] if share >= SURE else [0, 1])
     left, right, shares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     for i in range(m - 1):
         share = (sketches[i + 1 :] == sketches[i]).mean(axis=1)
@@ -191,19 +201,15 @@ def bucket_links(sketches: np.ndarray) -> tuple[list[tuple[int, int]], list[int]
         shares.append(share[near])
     left, right, shares = (np.concatenate(x) for x in (left, right, shares))
     order = np.lexsort((right, left, -shares))
-    left, right, shares = left[order], right[order], shares[order]
+    left, right = left[order], right[order]
     out: list[tuple[int, int]] = []
-    sure = np.arange(m)
-    for n in range(FORESTS):
+    for _ in range(FORESTS):
         own = spanning_forest(left, right, m)
         out += zip(left[own].tolist(), right[own].tolist(), strict=True)
-        if n == 0:
-            near = own[shares[own] >= SURE]
-            sure = merged(sure, left[near], right[near])
         rest = np.ones(len(left), dtype=bool)
         rest[own] = False
-        left, right, shares = left[rest], right[rest], shares[rest]
-    return out, np.unique(sure).tolist()
+        left, right = left[rest], right[rest]
+    return out
 
 
 def spanning_forest(left: np.ndarray, right: np.ndarray, m: int) -> np.ndarray:
@@ -243,121 +249,115 @@ def merged(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
 LINKS = "a long, b long"
 
 
-def _dealt(members: DataFrame, other: int = 0) -> DataFrame:
-    """``members`` with the size ``_m`` of their band, and ``_block`` of the ``_blocks`` that their band is dealt into. The band
-    is in the salt, so two nodes that are parted in one band meet in another."""
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("_m"))
-    dealt = members.join(sizes, "band").withColumn("_blocks", F.ceil(F.col("_m") / BUCKET).cast("int"))
-    return dealt.withColumn("_block", F.pmod(F.xxhash64("node", "band", F.lit(other)), F.col("_blocks")).cast("int"))
-
-
 def _first_candidates(members: DataFrame) -> DataFrame:
     """a, b: the pairs to verify first. ``members``: band, node, sketch, with bands of at least two members.
 
-    Bands of over ``BUCKET`` members are dealt into blocks; each block is compared within and gives its best forests."""
-    held = _dealt(members).groupBy("band", "_block").agg(F.collect_list(F.struct("node", "sketch")).alias("members"))
-    return held.select("members").mapInArrow(_compare, LINKS).distinct()
+    Bands of over ``BUCKET`` members are dealt into blocks, with the band in the salt, so two nodes that are parted in one
+    band meet in another. Each block is compared within and gives its best forests."""
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("_m"))
+    dealt = members.join(sizes, "band").withColumn("_block", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("_m") / BUCKET)).cast("int"))
+    held = dealt.select("band", "_block", "node", "sketch").repartition("band", "_block").sortWithinPartitions("band", "_block", "node")
+    return held.mapInArrow(_compare, LINKS).distinct()
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks follow each other in the rows; one that a batch cuts waits for the next batch."""
+    rest: pa.Table | None = None
     for batch in batches:
-        out: list[tuple[int, int]] = []
-        for value in batch.column(0):
-            members = sorted(value.as_py(), key=lambda x: x["node"])
-            sketches = np.frombuffer(b"".join(x["sketch"] for x in members), dtype=np.uint8).reshape(len(members), -1)
-            out += [(members[i]["node"], members[j]["node"]) for i, j in bucket_links(sketches)[0]]
-        yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in out], pa.int64()) for n in (0, 1)], names=["a", "b"])
-
-
-def _open_members(members: DataFrame, labels: DataFrame, least: int) -> DataFrame:
-    """band, node, sketch, label, ``_home``: members of the bands of over ``least`` members that are not yet of one verified
-    class. ``_home`` tells whether the member is of the band's largest class: two of these need not meet."""
-    named = members.join(labels.select("node", "component"), "node", "left").select("band", "node", "sketch", F.coalesce("component", "node").alias("label"))
+        rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        starts = _starts(rows)
+        yield _block_links(rows.slice(0, int(starts[-1])), starts[:-1])
+        rest = rows.slice(int(starts[-1]))
+    if rest is not None:
+        yield _block_links(rest, np.zeros(1, np.int64))
+
+
+def _starts(rows: pa.Table) -> np.ndarray:
+    band, block = rows["band"].to_numpy(), rows["_block"].to_numpy()
+    return np.concatenate([[0], np.flatnonzero((band[1:] != band[:-1]) | (block[1:] != block[:-1])) + 1])
+
+
+def _block_links(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if rows.num_rows:
+        nodes = rows["node"].to_numpy()
+        sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint8).reshape(len(nodes), -1)
+        sizes = np.diff(np.append(starts, len(nodes)))
+        twos = starts[sizes == 2]
+        near = twos[(sketches[twos] == sketches[twos + 1]).mean(axis=1) >= CANDIDATE]
+        left.append(nodes[near])
+        right.append(nodes[near + 1])
+        for at, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            pairs = np.array(bucket_links(sketches[at : at + size]), dtype=np.int64).reshape(-1, 2)
+            left.append(nodes[at + pairs[:, 0]])
+            right.append(nodes[at + pairs[:, 1]])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (left, right)], names=["a", "b"])
+
+
+def _open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, label, away: members of the bands whose members are of several verified classes, but for bands so small that
+    the forests held all their candidates. ``away``: in some band the node is not of the largest class. Of any two members
+    of a band that are of different classes, one is away."""
+    named = members.select("band", "node").join(labels.select("node", "component"), "node", "left").select("band", "node", F.coalesce("component", "node").alias("label"))
     counts = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("_n"))
-    tops = counts.groupBy("band").agg(F.max(F.struct("_n", "label")).alias("_top"), F.sum("_n").alias("_all")).filter((F.col("_all") > least) & (F.col("_top._n") < F.col("_all")))
-    return named.join(tops.select("band", F.col("_top.label").alias("_largest")), "band").select("band", "node", "sketch", "label", (F.col("label") == F.col("_largest")).alias("_home"))
-
-
-def _crossing(members: DataFrame, forests: int | None) -> DataFrame:
-    """a, b: candidates between members of a band that are of different verified classes; the best ``forests`` spanning
-    forests of the classes in every task, or all.
-
-    One end of such a pair lies outside the band's largest class. These members, in chunks, visit every block of the band's
-    members, a task for each chunk and block, so all pairs that can matter are compared and a task's rows are bounded."""
-    away = members.filter("not _home")
-    chunks = away.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("_chunks"))
-    live = _dealt(members, 1).join(chunks, "band").withColumn("_chunk", F.pmod(F.xxhash64("node", "band", F.lit(2)), F.col("_chunks")).cast("int"))
-    row = F.struct("node", "sketch", "label", "_home")
-    asked = live.filter("not _home").select("band", "_chunk", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), F.lit(True).alias("_asks"), row.alias("_row"))
-    there = live.select("band", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "_block", F.lit(False).alias("_asks"), row.alias("_row"))
-    held = asked.unionByName(there).groupBy("band", "_block", "_chunk").agg(
-        F.collect_list(F.when(F.col("_asks"), F.col("_row"))).alias("asked"), F.collect_list(F.when(~F.col("_asks"), F.col("_row"))).alias("there"),
+    tops = counts.groupBy("band").agg(F.max(F.struct("_n", "label")).alias("_top"), F.sum("_n").alias("_all")).filter((F.col("_all") > FORESTS + 1) & (F.col("_top._n") < F.col("_all")))
+    there = named.join(tops.select("band", F.col("_top.label").alias("_largest")), "band")
+    return there.groupBy("node", "label").agg(F.max(F.col("label") != F.col("_largest")).alias("away"))
+
+
+def prefix_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b: the pairs of different labels, one of them away, whose sets may have a Jaccard similarity of ``threshold``.
+
+    ``sets``: node, label, away, elements (distinct). Elements are ordered by how many sets hold them, rarest first. Of two
+    similar sets the larger has a common element in its first 1 - t of them, the smaller in its first 1 - 2t / (1 + t), and
+    what follows that element in both must be enough for the overlap that t asks for. Common elements lie behind the
+    prefixes, so sets that are alike in what all have, and no further, don't meet."""
+    every = materialize(sets.select("node", F.explode("elements").alias("token")), "elements")
+    often = every.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = spread_lookup(every, "token", often)
+    ordered = ranked.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("_n", "token"))).alias("_own"))
+    n = F.size("_own")
+    least = lambda share: F.ceil(share * n - 1e-9)
+    prefix = sets.select("node", "label", "away").join(ordered, "node").select(
+        "node", "label", "away", n.alias("n"), (n - least(2 * threshold / (1 + threshold)) + 1).alias("_index"),
+        F.posexplode(F.slice("_own", 1, (n - least(threshold) + 1).cast("int"))).alias("at", "_token"),
     )
+    held = materialize(prefix.select("node", "label", "away", "n", "at", (F.col("at") < F.col("_index")).alias("indexed"), F.col("_token.token").alias("token")), "prefixes")
+    x, y = held.filter("away").alias("x"), held.alias("y")
+    larger = F.struct("x.n", "x.node") > F.struct("y.n", "y.node")
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    overlap = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    meets = (
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & F.when(larger, F.col("y.indexed")).otherwise(F.col("x.indexed"))
+        & (small >= threshold * large - 1e-9) & (overlap >= threshold / (1 + threshold) * (small + large) - 1e-9)
+    )
+    return x.join(y, meets).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for asked, there in zip(batch.column(0), batch.column(1), strict=True):
-                a, b = crossing_links(_columns(asked), _columns(there), forests)
-                for at in range(0, len(a), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], names=["a", "b"])
-
-    return held.select("asked", "there").mapInArrow(run, LINKS).distinct()
-
-
-def _columns(rows: pa.Scalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes ascending, their sketches, labels, and whether they are of the largest class."""
-    own = sorted(rows.as_py(), key=lambda x: x["node"])
-    sketches = np.frombuffer(b"".join(x["sketch"] for x in own), dtype=np.uint8).reshape(len(own), -1) if own else np.zeros((0, 1), np.uint8)
-    return np.array([x["node"] for x in own], np.int64), sketches, np.array([x["label"] for x in own], np.int64), np.array([x["_home"] for x in own], bool)
 
+def verified_classes(members: DataFrame, sets_of, threshold: float) -> DataFrame:
+    """node, component of all classes of links between nodes that share a band. ``sets_of`` gives node and elements of a
+    table of nodes.
 
-def crossing_links(asked: tuple, there: tuple, forests: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Smaller and larger nodes of the candidates between ``asked`` and ``there`` whose labels differ. Of two members that both
-    ask, the smaller node's question counts. With ``forests`` the most similar that join all classes, so many times over."""
-    left, right, shares = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    nodes, sketches, labels, _ = asked
-    for i in range(len(nodes)):
-        near = np.flatnonzero((there[2] != labels[i]) & (there[3] | (there[0] > nodes[i])))
-        share = (there[1][near] == sketches[i]).mean(axis=1) if len(near) else np.zeros(0)
-        good = share >= CANDIDATE
-        left.append(np.full(int(good.sum()), i))
-        right.append(near[good])
-        shares.append(share[good])
-    left, right, shares = (np.concatenate(x) for x in (left, right, shares))
-    taken = np.arange(len(left))
-    if forests is not None and len(left):
-        names = np.unique(np.concatenate([labels, there[2]]))
-        x, y = np.searchsorted(names, labels[left]), np.searchsorted(names, there[2][right])
-        rest, kept = np.lexsort((there[0][right], nodes[left], -shares)), []
-        for _ in range(forests):
-            own = spanning_forest(x[rest], y[rest], len(names))
-            kept.append(rest[own])
-            rest = np.delete(rest, own)
-        taken = np.concatenate(kept)
-    a, b = nodes[left[taken]], there[0][right[taken]]
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def verified_classes(members: DataFrame, verify) -> DataFrame:
-    """node, component of all classes of verified links between candidates. ``verify`` gives the links among pairs (a, b).
-
-    First the most similar candidates across every cut of a bucket, or of a block of a large one. Then, where large buckets
-    hold members of several verified classes, the most similar candidates between these. Last, all candidates between
-    different verified classes that were not yet looked at; so every candidate is verified or lies within a class."""
+    First the most similar candidates across every cut of a bucket, or of a block of a large one, are verified. Then the
+    bands that hold several verified classes are settled by ``prefix_pairs``; so every pair that shares a band is verified,
+    lies within a class, or is too unlike for its sizes and elements."""
     seen = materialize(_first_candidates(members), "candidates")
-    links = materialize(verify(seen), "verified")
+    sets = materialize(sets_of(seen.select(F.col("a").alias("node")).union(seen.select("b")).distinct()), "shingle-sets")
+    links = materialize(verified(seen, sets, threshold), "verified")
     labels = components(links)
-    for least, forests in ((BUCKET, FORESTS), (FORESTS + 1, None)):  # up to FORESTS + 1 members, the forests are all pairs
-        left = materialize(_open_members(members, labels, least), "open-members")
-        if left.isEmpty():
-            continue
-        more = materialize(_crossing(left, forests).join(seen, ["a", "b"], "left_anti"), "candidates")
-        new = materialize(verify(more), "verified")
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
-        seen = seen.union(more)
-    return labels
+    left = materialize(_open_nodes(members, labels), "open-nodes")
+    if left.isEmpty():
+        return labels
+    sets = materialize(left.join(sets_of(left.select("node")), "node"), "open-sets")
+    new = materialize(verified(prefix_pairs(sets, threshold), sets.select("node", "elements"), threshold), "verified")
+    return labels if new.isEmpty() else components(links.union(new))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets (node, elements) have a Jaccard similarity of at least ``threshold``."""
+    same = F.size(F.array_intersect("ea", "eb"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("ea")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("eb")), "b")
+    return both.filter(same >= threshold * (F.size("ea") + F.size("eb") - same) - 1e-9).select("a", "b")
 
 
 def _sets(weighted: bool):
@@ -390,32 +390,31 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 125, bands
     described = materialize(
         keyed.mapInArrow(_describe(k, bands, weighted), "doc_id struct<doc_id:long,text_key:long>, set_key binary, sketch binary, bands array<long>"), "signatures",
     )
-    nodes = described.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    rank = F.struct(F.col("doc_id.doc_id").isNull().alias("none"), F.col("doc_id").alias("own"))
+    nodes = described.filter("set_key is not null").groupBy("set_key").agg(
+        F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"),
+    )
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("band")
     members = materialize(rows.join(shared, "band", "left_semi").join(nodes.select("node", "sketch"), "node").select("band", "node", "sketch"), "buckets")
-    first = nodes.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    first = nodes.select("node", F.col("first.own.doc_id").alias("_id"), F.col("first.own.text_key").alias("_key"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(first, "node")
+    def sets_of(wanted: DataFrame) -> DataFrame:
         texts = source.withColumn("text_key", F.xxhash64("text")).join(
-            wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
+            first.join(wanted, "node", "left_semi"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")),
         ).dropDuplicates(["node"]).select("node", "text")
-        sets = materialize(texts.mapInArrow(_sets(weighted), "node long, elements array<long>"), "shingle-sets")
-        same = F.size(F.array_intersect("ea", "eb"))
-        both = pairs.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b")
-        return both.filter(same >= threshold * (F.size("ea") + F.size("eb") - same) - 1e-9).select("a", "b")
-
-    labels = verified_classes(members, verify)
-    firsts = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("_class"))
-    marked = described.select("doc_id", "set_key").join(firsts, "set_key", "left")
-    heads = marked.filter("_class is not null").groupBy("_class").agg(F.min(F.struct(F.col("doc_id.doc_id").isNull(), "doc_id")).alias("_head"), F.count(F.lit(1)).alias("_size"))
-    out = marked.join(heads, "_class", "left")
-    own = F.coalesce(F.col("_head.doc_id"), F.col("doc_id"))
+        return texts.mapInArrow(_sets(weighted), "node long, elements array<long>")
+
+    labels = verified_classes(members, sets_of, threshold)
+    placed = materialize(nodes.select("set_key", "node", "first", "n").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("_class"), "first", "n"), "classes")
+    heads = placed.groupBy("_class").agg(F.min("first").alias("_head"), F.sum("n").alias("_size"))
+    facts = spread_lookup(placed.select("set_key", "_class"), "_class", heads).select("set_key", F.col("_head.own").alias("_head"), "_size")
+    out = spread_lookup(described.filter("set_key is not null").select("doc_id", "set_key"), "set_key", facts).select("doc_id", "_head", "_size")
+    out = out.unionByName(described.filter("set_key is null").select("doc_id", F.col("doc_id").alias("_head"), F.lit(1).cast("long").alias("_size")))
     return out.select(
-        F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.text_key").alias("text_key"), own["doc_id"].alias("class_id"),
-        F.coalesce("_size", F.lit(1)).alias("class_size"), F.col("doc_id").eqNullSafe(own).alias("kept"),
+        F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.text_key").alias("text_key"), F.col("_head.doc_id").alias("class_id"),
+        F.col("_size").alias("class_size"), F.col("doc_id").eqNullSafe(F.col("_head")).alias("kept"),
     )
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from gridspark.llm import multiindex, periodic, variants
-from gridspark.llm.common import components, spread_lookup
+from gridspark.llm.common import components, least_reached, spread_lookup
 
 VECTORS = "vec_id long, embedding array<float>, label int, node string, cell long, n double, home string, unit string"
 HASH_OF_NOTHING = sha256(b"").hexdigest()
@@ -115,10 +115,24 @@ def test_spanning_links_join_what_links_join():
         assert label == last
 
 
-def test_components_of_a_chain_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(300)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(301)}
+@pytest.mark.parametrize("local", [7, 10**6])
+def test_components_of_a_chain_and_a_star(spark, local):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(300)] + [(500, 499), (499, 500), (7, 7), (600, 600)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), local_links=local).collect()}
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(301)} | {499: 499, 500: 499}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_least_reached_is_the_component():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 60, 400):
+        a, b = rng.integers(0, 300, n), rng.integers(0, 300, n)
+        label = {x: x for x in np.concatenate([a, b]).tolist()}
+        for _ in label:
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                label[i] = label[j] = min(label[i], label[j])
+        nodes, least = least_reached(a, b)
+        assert dict(zip(nodes.tolist(), least.tolist(), strict=True)) == label
 
 
 def test_spread_lookup_is_a_join(spark):

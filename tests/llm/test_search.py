@@ -95,19 +95,35 @@ def test_links_hidden_among_pairs_just_below_the_threshold(spark):
     assert agrees_with_brute_force(spark, texts)
 
 
-def test_a_member_is_asked_though_a_surer_one_stands_in_its_block():
-    def sketch(*same):
-        return np.where(np.arange(125) < same[0], 1, same[1]).astype(np.uint8)
-
-    stand_in, z, y = sketch(125, 1), sketch(117, 2), np.concatenate([sketch(75, 3)[:75], np.full(42, 3), np.full(8, 2)]).astype(np.uint8)
-    share = lambda a, b: (a == b).mean()
-    assert share(stand_in, z) >= dartminhash.SURE and share(z, y) >= dartminhash.CANDIDATE > share(stand_in, y)
-    assert dartminhash.bucket_links(np.array([stand_in, z]))[1] == [0]
-    there = (np.array([1, 2]), np.array([stand_in, z]), np.array([1, 1]), np.array([True, True]))
-    asked = (np.array([3]), y[None], np.array([3]), np.array([False]))
-    for forests in (dartminhash.FORESTS, None):
-        a, b = dartminhash.crossing_links(asked, there, forests)
-        assert list(zip(a.tolist(), b.tolist())) == [(2, 3)]
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_prefix_pairs_hold_all_links_between_labels(spark):
+    r = np.random.default_rng(3)
+    sets = [set(r.choice(60, r.integers(1, 40), replace=False).tolist()) for _ in range(60)]
+    sets += [set(list(s)[: len(s) - int(r.integers(0, 4))]) | set(range(100 + i, 100 + i + int(r.integers(0, 3)))) for i, s in enumerate(sets)]
+    sets = [s or {1} for s in sets]
+    rows = [(i, int(i % 7 == 0), i % 5 != 0, sorted(s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, label long, away boolean, elements array<long>")
+    for threshold in (0.5, 0.8, 1.0):
+        got = {(x.a, x.b) for x in dartminhash.prefix_pairs(df, threshold).collect()}
+        open_pairs = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and (a[2] or b[2])}
+        want = {(a, b) for a, b in open_pairs if jaccard(sets[a], sets[b]) >= threshold - 1e-9}
+        assert want <= got <= open_pairs and want
+
+
+def test_pairs_grow_in_proportion_to_a_family(spark, monkeypatch):
+    """Members that lie just outside their family's class don't meet all of it."""
+    found, made = [], dartminhash.prefix_pairs
+    monkeypatch.setattr(dartminhash, "prefix_pairs", lambda *a: found.append(made(*a).cache()) or found[-1])
+    for n in (150, 600):
+        texts = variants(4, n, 1) + variants(4, n // 3, 6)
+        rows = list(enumerate(texts))
+        got = {r.doc_id: r.class_id for r in dartminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert same_partition(brute_classes(rows), [got[i] for i in range(len(rows))])
+    small, large = (x.count() for x in found)
+    assert large <= 6 * max(small, 100)
 
 
 def test_bucket_links_connect_what_all_pairs_connect():
@@ -126,8 +142,8 @@ def test_bucket_links_connect_what_all_pairs_connect():
 
     share = (members[:, None] == members[None]).mean(axis=2)
     every = [(i, j) for i in range(len(members)) for j in range(i) if share[i, j] >= dartminhash.CANDIDATE]
-    links, groups = dartminhash.bucket_links(members)
-    assert parts(links) == parts(every) and len(links) < len(every) and set(groups) <= set(range(len(members)))
+    links = dartminhash.bucket_links(members)
+    assert parts(links) == parts(every) and len(links) < len(every)
 
 
 @pytest.mark.parametrize("weighted", [False, True])
