@@ -262,22 +262,45 @@ def _(v):
     return out.select("id", "fold", "y", F.col("regime").isin(0, 1).alias("known_regime"), (hard.between(0, 1) & soft.between(0, 1)).alias("in_range"))
 
 
+# A twentieth of the rows is the least size of a regime here, so forty of them fall out and two stay, at any scale.
+REGIME_KS = [2, 40]
+
+
+def _regime_fold(df, k):
+    """The design of the other folds, with the guards."""
+    train, test, z = standardize_design(df.where(F.col("fold") != k), df.where(F.col("fold") == k), NUMERIC, keep=["id", "fold", "y", "presence"])
+    a, b = vectorized(train, z)[0], vectorized(test, z)[0]
+    return a, b, z, {"min_rows": a.count() // 20, "min_presences": 10, "min_absences": 10}
+
+
 @query("kmeans_regime_models", duck("v_score") + SAMPLE + f"SELECT id, {big('fold')}, {r6('y')}, TRUE AS known_regime, TRUE AS in_range FROM s")
 def _(v):
     df = sample(v).persist()
 
     def one(k):
-        train, test, z = standardize_design(df.where(F.col("fold") != k), df.where(F.col("fold") == k), NUMERIC, keep=["id", "fold", "y", "presence"])
-        a, b = vectorized(train, z)[0], vectorized(test, z)[0]
-        # The guards fit the smallest data folder; the library's are larger.
-        placed = X.kmeans_regime_models(a, b, z, "y", "presence", 2, PRIOR, SMALL, min_rows=50, min_presences=10, min_absences=10)
-        if placed is None:
-            raise ValueError("a regime is too small")
-        return placed.select("id", "fold", "y", "regime", "pred")
+        a, b, z, guards = _regime_fold(df, k)
+        placed, _ = X.kmeans_regime_models(a, b, z, "y", "presence", REGIME_KS, PRIOR, SMALL, **guards)
+        return placed.select("id", "fold", "y", "k", "regime", "pred")
 
     out = cut_lineage(reduce(DataFrame.unionByName, T.side_by_side(one, range(5))))
     df.unpersist()
-    return out.select("id", "fold", "y", F.col("regime").isin(0, 1).alias("known_regime"), F.col("pred").between(0, 1).alias("in_range"))
+    return out.select("id", "fold", "y", F.col("regime").between(0, F.col("k") - 1).alias("known_regime"), F.col("pred").between(0, 1).alias("in_range"))
+
+
+@query("regime_distribution", duck("v_score") + SAMPLE + f"""SELECT {big('f.fold', 'fold')}, {big('k')}, count(*) AS n, {r6('1.0', 'share')}, {big('sum(presence)', 'presences')}, k = 2 AS kept
+    FROM (SELECT DISTINCT fold FROM s) f JOIN s ON s.fold <> f.fold, (VALUES (2), (40)) t(k) GROUP BY f.fold, k""")
+def _(v):
+    # The regimes of a k hold every row that the fold's experts may see, once.
+    df = sample(v).persist()
+    parts = []
+    for k in range(5):
+        a, _, z, guards = _regime_fold(df, k)
+        parts.append(X.regime_candidates(a, z, "presence", REGIME_KS, **guards).sizes.withColumn("fold", F.lit(k)))
+    whole = reduce(DataFrame.unionByName, parts).groupBy("fold", "k").agg(
+        F.sum("n").alias("n"), F.sum("share").alias("share"), F.sum("presences").alias("presences"), F.every("kept").alias("kept"),
+    )
+    df.unpersist()
+    return whole
 
 
 @query("bic_select", duck("v_oof") + f""", f AS (SELECT cls + 1 AS k, -sum(pow(p_cand - y, 2)) AS ll, count(*) AS n, (cls + 1) * 9 + cls AS np, -avg(pow(p_base - y, 2)) AS oof FROM v_oof GROUP BY cls),
