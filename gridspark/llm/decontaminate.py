@@ -12,17 +12,20 @@ three words; the question is what stands before. Where the text holds a mark suc
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import free_name, words
+from gridspark.llm.common import free_name, materialize, put_file, shared_folder, words
 
 GRAM = 3
 BLOCK = 16
@@ -46,7 +49,7 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
 class ItemIndex:
     """The inverted index of some items: words and terms by number, postings by term in item order, block maxima."""
 
-    items: list[int]
+    items: list[int | None]
     questions: list[list[str]]
     answers: list[list[str]]
     word_ids: dict[str, int]
@@ -60,9 +63,9 @@ class ItemIndex:
     block_tops: list[np.ndarray] = field(default_factory=list)
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]], frequencies: dict[tuple, int], n_items: int, mean_length: float, k1: float = 1.2, b: float = 0.75) -> ItemIndex:
+    def build(cls, rows: list[tuple[int | None, str]], frequencies: dict[tuple, int], n_items: int, mean_length: float, longest: int, k1: float = 1.2, b: float = 0.75) -> ItemIndex:
         rows = [(i, t, words(t)) for i, t in rows]
-        rows = sorted((i, t, w) for i, t, w in rows if w)
+        rows = sorted(((i, t, w) for i, t, w in rows if w), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         word_ids = {w: n for n, w in enumerate(dict.fromkeys(w for _, _, ws in rows for w in ws))}
         entries = []
         for number, (_, _, ws) in enumerate(rows):
@@ -76,7 +79,7 @@ class ItemIndex:
         codes, first = np.unique(every, return_index=True)
         out = cls(
             [r[0] for r in rows], *zip(*[question_answer(t) for _, t, _ in rows], strict=True), word_ids, codes, np.append(first, len(entries)),
-            np.array([e[1] for e in entries], dtype=np.int64), np.array([e[2] for e in entries]), np.zeros(0), max(len(r[2]) for r in rows), min(len(r[2]) for r in rows) < GRAM,
+            np.array([e[1] for e in entries], dtype=np.int64), np.array([e[2] for e in entries]), np.zeros(0), longest, min(len(r[2]) for r in rows) < GRAM,
         )
         out.tops = np.maximum.reduceat(out.impacts, first)
         out.block_tops = [np.maximum.reduceat(out.impacts[a:z], np.arange(0, z - a, BLOCK)) for a, z in zip(out.first, out.first[1:], strict=False)]
@@ -128,7 +131,7 @@ class ItemIndex:
                     score += float(impact[x[0]])
                     x[0] += 1
             if score >= least:
-                out.append((int(item), score))
+                out.append((int(item), round(score, 9)))  # the order of a sum's parts must not show
 
 
 def terms(ws: list[str]) -> list[tuple[str, ...]]:
@@ -219,26 +222,55 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, least_
     word's place).
 
     ``docs`` has doc_id and text, ``items`` item_id and text; other columns are ignored. Null and wordless texts match
-    nothing, repeated items and documents are answered one by one. Statistics (frequencies of terms, mean length) cover all
-    items. The index is cut into shards of at most ``shard_items`` items; each shard, a few MB, goes to the tasks by itself,
-    and every document is searched in every shard, so the items may be many without an index that grows."""
+    nothing, repeated items and documents are answered one by one, null ids stay null. Ties between passages go to the first.
+    Whole texts are searched, in overlapping passages; empty tables give no rows. Statistics (frequencies of terms, number of
+    items, mean and greatest length) cover all items, so results don't depend on shards. The index is cut into shards of at
+    most ``shard_items`` items, a few MB each. A single one goes to the tasks by itself; more are files of the shared folder,
+    which a task loads one after another for each batch of its documents, so the corpus is read once."""
     spark = docs.sparkSession
     own = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    n_items = own.count()
-    shards = max(1, -(-n_items // shard_items))
+    n_items, mean, longest = _lengths(own)
+    if not n_items:
+        return spark.createDataFrame([], RESULT)
+    shards = -(-n_items // shard_items)
     dealt = own.withColumn("_shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-    out = None
-    counts = None if shards == 1 else _frequencies(own)
+    counts = None if shards == 1 else materialize(_frequencies(own), "item-terms")
+    folder = None if shards == 1 else shared_folder(spark, "item-index")
+    loads: list[Callable[[], ItemIndex]] = []
     for shard in range(shards):
         rows = [(r["item_id"], r["text"]) for r in dealt.filter(F.col("_shard") == shard).select("item_id", "text").collect()]
-        rows = [(-1 if i is None else i, t) for i, t in rows if words(t)]
-        if not rows:
-            continue
-        index = _index(spark, rows, counts, n_items)
-        found = slim.mapInArrow(_searcher(index, threshold, least_question, least_answer), RESULT)
-        out = found if out is None else out.union(found)
-    return spark.createDataFrame([], RESULT) if out is None else out
+        rows = [(i, t) for i, t in rows if words(t)]
+        if rows:
+            index = _index(spark, rows, counts, n_items, mean, longest)
+            if folder is None:
+                loads.append(partial(_given, index))
+            else:
+                put_file(folder, f"{shard}.pickle", pickle.dumps(index))
+                loads.append(partial(_load, folder, f"{shard}.pickle"))
+    return slim.mapInArrow(_searcher(loads, threshold, least_question, least_answer), RESULT)
+
+
+def _given(index: ItemIndex) -> ItemIndex:
+    return index
+
+
+def _load(folder: str, name: str) -> ItemIndex:
+    fs, path = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    with fs.open_input_stream(f"{path}/{name}", compression=None) as file:
+        return pickle.loads(file.read())
+
+
+def _lengths(items: DataFrame) -> tuple[int, float, int]:
+    """Number of items with a word, their mean number of terms, and the most words of one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(words(t)) for t in batch.column(0).to_pylist()], pa.int64())], names=["n"])
+
+    n = F.col("n")
+    found = items.select("text").mapInArrow(run, "n long").filter(n > 0)
+    row = found.agg(F.count(n), F.avg(F.greatest(n - (GRAM - 1), F.lit(1))), F.max(n)).first()
+    return row[0], row[1] or 0.0, row[2] or 0
 
 
 def _frequencies(items: DataFrame) -> DataFrame:
@@ -252,25 +284,26 @@ def _frequencies(items: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _index(spark, rows: list[tuple[int, str]], counts: DataFrame | None, n_items: int) -> ItemIndex:
-    """The index of one shard, with the frequencies of its own terms among all items."""
+def _index(spark, rows: list[tuple[int | None, str]], counts: DataFrame | None, n_items: int, mean: float, longest: int) -> ItemIndex:
+    """The index of one shard, with the statistics of all items."""
     own = Counter(t for _, text in rows for t in dict.fromkeys(terms(words(text))))
-    mean = sum(max(1, len(words(t)) - GRAM + 1) for _, t in rows) / len(rows)
     if counts is not None:
         asked = spark.createDataFrame([(" ".join(t),) for t in own], "term string")
         total = {r["term"]: r["df"] for r in counts.join(asked, "term").collect()}
         own = {t: total[" ".join(t)] for t in own}
-    return ItemIndex.build(rows, own, n_items, mean)
+    return ItemIndex.build(rows, own, n_items, mean, longest)
 
 
-def _searcher(index: ItemIndex, threshold: float, least_question: float, least_answer: float):
+def _searcher(loads: list[Callable[[], ItemIndex]], threshold: float, least_question: float, least_answer: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
         names = [x.split()[0] for x in RESULT.split(", ")]
         for batch in batches:
-            out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in search_text(index, text.as_py(), threshold, least_question, least_answer)]
-            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            for load in loads:
+                index = load()
+                out = [(doc, *hit) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in search_text(index, text.as_py(), threshold, least_question, least_answer)]
+                columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return run
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.common import free_name
+from gridspark.llm.common import free_name, materialize
 
 MAX_N = 4
 UNKNOWN = "und"
@@ -178,11 +178,19 @@ def identify(docs: DataFrame, size: int = 400) -> DataFrame:
     return predict(slim, profiles, size).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def readable(docs: DataFrame, size: int = 400, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: not ``und`` and, where ``min_score`` is set, at least so near a profile.
+def readable(docs: DataFrame, size: int = 400, rare: float = 0.001, margin: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, all columns as they are.
 
-    All columns stay as they are. Profiles are learnt from all rows that have a lang."""
+    Profiles are learnt from all rows that have a lang. The least score is learnt too: ``margin`` times the score below which
+    a share of ``rare`` of the rows with a lang lie, so text unlike all profiles (codes, keys, noise) goes and documents
+    in the languages learnt stay. Null texts and those without a letter go; where no row has a lang all others stay. Ties,
+    repeated rows and very long texts are ordinary; an empty table gives no rows."""
     profiles = learn_profiles(docs, size)
     pred, score = free_name(docs, "lang_pred"), free_name(docs, "score")
-    marked = predict(docs, profiles, size, pred, score)
-    return marked.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= min_score)).drop(pred, score)
+    if not profiles:
+        lettered = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
+        return docs.filter(lettered)
+    marked = materialize(predict(docs, profiles, size, pred, score), "scored")
+    known = F.col("lang").isNotNull() & (F.col(pred) != UNKNOWN)
+    least = marked.agg(F.percentile_approx(F.when(known, F.col(score)), rare, 100_000)).first()[0] or 0.0
+    return marked.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= margin * least)).drop(pred, score)

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import random
 import zlib
 from collections import Counter
 
@@ -229,7 +230,7 @@ def test_edge_rows_of_language(edge, nothing, docs):
     assert len(none) == 5 and all(g.score == 0 for g in none)  # null twice, empty, blank, no letter
     assert all(0 <= g.score <= 1 for g in got) and langid.identify(nothing).count() == 0
     assert {g.lang_pred for g in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
-    kept = langid.readable(edge)
+    kept = langid.readable(edge, margin=0.0)
     assert kept.columns == edge.columns and kept.count() == edge.count() - 5 and langid.readable(nothing).count() == 0
 
 
@@ -314,3 +315,17 @@ def test_stages_take_edge_rows(spark, sf, edge, nothing):
             kept = spark.createDataFrame(stage(spark, kept, sf).collect(), table.schema)
         pieces = corpus_pipeline.STAGES[-1][1](spark, kept, sf).count()
         assert (pieces > 0) == (table is edge)
+
+
+def test_text_unlike_all_languages_goes(spark, docs):
+    rng = random.Random(3)
+    noise = [(10**6 + i, "".join(rng.choice("0123456789abcdefABCDEF+/") for _ in range(400)), None) for i in range(30)]
+    given = docs.select("doc_id", "text", "lang")
+    kept = {r.doc_id for r in langid.readable(given.union(spark.createDataFrame(noise, given.schema))).collect()}
+    plain = {r.doc_id for r in given.collect() if r.text and any(c.isalpha() for c in r.text)}
+    assert len([i for i, *_ in noise if i in kept]) <= 3 and len(plain & kept) >= 0.995 * len(plain)
+
+
+def test_without_languages_all_letters_stay(spark):
+    rows = spark.createDataFrame([(1, "some text", None), (2, "123", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in langid.readable(rows).collect()} == {1, 4}

@@ -223,7 +223,7 @@ def brute_scores(items, text, size):
 
 def test_wand_finds_all_above_the_threshold(spark, sf, docs):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(900, "the of"), (901, "alone"), (902, "Is this it? Answer: yes it is the one")]
-    index = decontaminate._index(spark, items, None, len(items))
+    index = item_index(items)
     r = np.random.default_rng(1)
     base = [w for _, t in items for w in words(t)]
     mixed = [" ".join(r.choice(base, 300)) for _ in range(5)]
@@ -243,13 +243,31 @@ def test_wand_finds_all_above_the_threshold(spark, sf, docs):
 def test_block_bounds_skip_and_keep(spark):
     r = np.random.default_rng(2)
     items = [(i, " ".join(f"t{x}" for x in r.integers(0, 4, 12))) for i in range(400)]
-    index = decontaminate._index(spark, items, None, len(items))
+    index = item_index(items)
     assert max(len(b) for b in index.block_tops) > 3
     for text in [t for _, t in items[:20]]:
         want = {i for (i, _), s in brute_scores(items, text, 256).items() if s >= 0.6 - 1e-9}
         assert {h[0] for h in decontaminate.search_text(index, text, 0.6, 0.7, 0.6)} == want
 
 
+def item_index(items):
+    lengths = [len(words(t)) for _, t in items]
+    return decontaminate._index(None, items, None, len(items), sum(max(1, n - 2) for n in lengths) / len(items), max(lengths))
+
+
+def test_leaks_do_not_depend_on_shards(spark):
+    """Items of unlike length, null and repeated ids: any number of shards gives the rows of one index."""
+    r = np.random.default_rng(12)
+    texts = [" ".join(f"t{x}" for x in r.integers(0, 30, n)) for n in [5, 8, 12, 200, 20, 30, 9, 14, 60, 25] * 3]
+    items = spark.createDataFrame([*enumerate(texts), (None, texts[1]), (-1, texts[2]), (3, texts[3]), (40, None), (41, "..")], "item_id long, text string")
+    docs = [(i, f"{' '.join(f'z{x}' for x in r.integers(0, 99, 300))} {t} {' '.join(w for w in t.split() if r.random() < 0.8)}") for i, t in enumerate(texts)]
+    table = spark.createDataFrame([*docs, (None, texts[0]), (7, None)], "doc_id long, text string")
+    rows = lambda n: sorted(map(str, decontaminate.find_leaks(table, items, shard_items=n).collect()))
+    one = rows(20_000)
+    assert rows(5) == one and rows(1) == one and len(one) > 30 and any("item_id=None" in x for x in one) and any("doc_id=None" in x for x in one)
+    assert decontaminate.find_leaks(table, items.limit(0)).count() == 0 and decontaminate.find_leaks(table.limit(0), items).count() == 0
+
+
 def test_leaks_are_those_that_hold_an_item(spark, sf, docs):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     plain = {r.item_id: " ".join(words(r.text)) for r in items.collect()}
@@ -264,7 +282,7 @@ def test_leaks_are_those_that_hold_an_item(spark, sf, docs):
 def test_a_better_passage_without_the_answer_hides_none(spark):
     question = [f"q{i}" for i in range(40)]
     items = [(1, f"{' '.join(question)} Answer: " + " ".join(f"a{i}" for i in range(10)))]
-    index = decontaminate._index(spark, items, None, 1)
+    index = item_index(items)
     edited = [w if i % 10 != 9 else "x" for i, w in enumerate(question)]
     gap = " ".join(f"f{i}" for i in range(600))
     leak = f"{' '.join(edited)} answer {' '.join(f'a{i}' for i in range(10))}"
