@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridspark.llm.common import free_name, materialize
+from gridspark.llm.common import free_name
 
 MAX_N = 4
 UNKNOWN = "und"
@@ -190,7 +190,7 @@ def readable(docs: DataFrame, size: int = 400, rare: float = 0.001, margin: floa
     if not profiles:
         lettered = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
         return docs.filter(lettered)
-    marked = materialize(predict(docs, profiles, size, pred, score), "scored")
-    known = F.col("lang").isNotNull() & (F.col(pred) != UNKNOWN)
-    least = marked.agg(F.percentile_approx(F.when(known, F.col(score)), rare, 100_000)).first()[0] or 0.0
+    known = predict(docs.filter("lang is not null").select("text"), profiles, size).filter(F.col("lang_pred") != UNKNOWN)
+    least = known.agg(F.percentile_approx("score", rare, 100_000)).first()[0] or 0.0
+    marked = predict(docs, profiles, size, pred, score)
     return marked.filter((F.col(pred) != UNKNOWN) & (F.col(score) >= margin * least)).drop(pred, score)
