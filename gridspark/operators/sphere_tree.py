@@ -108,7 +108,9 @@ def leaf_pairs(nodes: DataFrame, wanted: int) -> DataFrame:
         nodes.where("parent is not null").select(F.col("parent").alias("from"), "leaf", box.alias("box"))
         .unionByName(nodes.where("leaf").select(F.col("id").alias("from"), "leaf", box.alias("box")))
     )
-    roots = nodes.where("_level = 0").select(F.col("id").alias("q_id"), F.col("id").alias("c_id"))
+    # The walk starts two levels down, where a group has at most 64 nodes, or at its leaves above.
+    top = nodes.where("(_level = 2 and parent is not null) or (leaf and _level < 2 and (parent is not null or _level = 0))")
+    roots = top.select(GROUP, F.col("id").alias("q_id")).join(top.select(GROUP, F.col("id").alias("c_id")), GROUP).select("q_id", "c_id")
     while True:
         q = down.select(F.col("from").alias("q_id"), F.col("leaf").alias("q_leaf"), F.col("box").alias("q"))
         c = down.select(F.col("from").alias("c_id"), F.col("leaf").alias("c_leaf"), F.col("box").alias("c"))
