@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.scalar import clip, is_finite
@@ -63,13 +63,12 @@ def models_long(oof: DataFrame, models: Mapping[str, str], keep: Sequence[str])
 
 def metric_deltas(metrics: DataFrame, baseline: str, by: Sequence[str] = ()) -> DataFrame:
     """Improvement of every model over the baseline row of its group."""
-    base = metrics.where(F.col("model") == baseline).select(
-        *by, F.col("rmse").alias("_rmse"), F.col("mae").alias("_mae"), F.col("r2").alias("_r2")
-    )
-    if by:
-        joined = metrics.join(base, list(by))
-    else:
-        joined = metrics.withColumns({c: base.select(c).scalar() for c in base.columns})
+    # The baseline is looked up in the same rows, not in metrics computed again, whose sums may differ in the last digits.
+    names = {"_rmse": "rmse", "_mae": "mae", "_r2": "r2"}
+    base = F.max(F.when(F.col("model") == baseline, F.struct(*[F.col(c).alias(n) for n, c in names.items()]))).over(Window.partitionBy(*by))
+    known = metrics.dropna(subset=list(by)) if by else metrics
+    found = known.withColumn("_base", base)
+    joined = (found.where(F.col("_base").isNotNull()) if by else found).withColumns({n: F.col(f"_base.{n}") for n in names}).drop("_base")
     gain = F.col("_rmse") - F.col("rmse")
     return joined.withColumns({
         "rmse_improvement_vs_baseline": gain,
