@@ -80,3 +80,13 @@ def test_moves_are_permutations_and_differ():
         assert all(sorted(m) == list(range(n)) for m in moved)
         if n > 100:
             assert len(set(moved)) == 12
+
+
+def test_key_index_is_the_index_of_the_hash_and_never_null(spark):
+    from gridspark.functions.rng import index, key_hash, key_index
+
+    df = spark.sql("SELECT CASE WHEN id % 50 = 0 THEN NULL ELSE id END AS k, id % 32 AS d FROM range(2000)")
+    for n in (1, 2, 64, 100, 4096, 1 << 20):
+        both = df.select(key_index(F.col("k"), n, 42, F.col("d")).alias("a"), index(key_hash(F.col("k"), 42, F.col("d")), n).alias("b"))
+        assert both.where("a <> b OR b IS NULL").count() == 0
+        assert not both.schema["a"].nullable
