@@ -17,6 +17,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.operators.scan import exact_quantiles
+from gridspark.session import cut_lineage
+
 NONE, UNKNOWN = "none", "unknown"
 
 #: Usual notices of each family: fixed values.
@@ -112,6 +115,8 @@ ANCHORS = (
 NAMES = ("mit", "cc")
 #: Parts of words one of which is in every anchor: fixed values. A text without one is not cut into paragraphs.
 STEMS = ("licen", "copyright", "permission", "redistribut", "spdx", "gnu", "gpl", "affero", "apache", "bsd", "mozilla", "mpl", "creative", "commons", "cc0", "domain")
+# Sets of features in one part.
+PART_SETS = 20_000
 WORD_SQL = r"[\p{L}\p{N}]+"
 ANCHOR_SQL = r"(?<![\p{L}\p{N}])(?:" + "|".join(ANCHORS) + r")(?![\p{L}\p{N}])"
 
@@ -143,46 +148,64 @@ class LicenseModel:
 
     def score(self, paragraphs: DataFrame) -> DataFrame:
         """Adds ``family`` and ``probability`` to paragraphs with ``_tokens``; ``none`` where no feature is known."""
-        counted = self.counter.transform(paragraphs.withColumn("_grams", features(F.col("_tokens"))))
+        return self.judge(self.counter.transform(paragraphs.withColumn("_grams", features(F.col("_tokens")))), paragraphs.columns)
+
+    def judge(self, counted: DataFrame, keep: list[str]) -> DataFrame:
+        """The same for rows whose ``_features`` are known."""
         scored = self.regression.setFeaturesCol("_features").setProbabilityCol("_p").setPredictionCol("_best").setRawPredictionCol("_raw").transform(counted)
         probability = vector_to_array("_p")
         names = F.array(*map(F.lit, self.families))
         known = F.exists(vector_to_array("_features"), lambda x: x > 0)
         return scored.select(
-            *paragraphs.columns, F.when(known, F.element_at(names, F.col("_best").cast("int") + 1)).otherwise(NONE).alias("family"),
+            *keep, F.when(known, F.element_at(names, F.col("_best").cast("int") + 1)).otherwise(NONE).alias("family"),
             F.when(known, F.array_max(probability)).otherwise(1.0).alias("probability"),
         )
 
 
-def fit(spark: SparkSession, background: DataFrame | None = None, sample: int = 2000, false_rate: float = 0.01, least: float = 0.5) -> LicenseModel:
-    """Fit on the templates, the counter-examples and at most ``sample`` paragraphs of ``background`` (text) that hold an anchor,
-    without those that resemble a template.
+def fit(spark: SparkSession, background: DataFrame | None = None, weight: float = 2000.0, false_rate: float = 0.01, least: float = 0.5) -> LicenseModel:
+    """Fit on the templates, the counter-examples and all paragraphs of ``background`` (text) that hold an anchor, without those
+    that resemble a template.
 
-    Each template also appears with words before and after it, so the position of a notice does not matter. The believed
-    probability is the least, from ``least`` on, that at most ``false_rate`` of the held-out paragraphs that are no notice
-    exceed with a family; every other counter-example and background paragraph is held out."""
+    Paragraphs are counted by their known features in the tasks that read them, so the fit meets each set of features once.
+    The templates are few: where ``background`` has more than ``weight`` paragraphs with an anchor, their numbers are scaled to
+    that sum, so that a larger corpus doesn't outweigh the templates. Each template also appears with words before and after it, so the
+    position of a notice does not matter. The believed probability is the least, from ``least`` on, that at most ``false_rate``
+    of all held-out paragraphs that are no notice exceed with a family; every other counter-example and background paragraph is
+    held out."""
     notices = [(f, t, False) for f, ts in TEMPLATES.items() for t in ts]
     notices += [(f, f"{before} {t} {after}", False) for f, ts in TEMPLATES.items() for t in ts for before, after in (("copyright 2024 the authors", "see the file for details"), ("all code here is", "with no warranty"))]
     others = [(NONE, t, i % 2 == 1) for i, t in enumerate(COUNTER_EXAMPLES)]
-    rows = spark.createDataFrame(notices + others, "family string, text string, held boolean").withColumn("_tokens", split_words(F.col("text")))
-    vocabulary = [r[0] for r in rows.select(F.explode(features(F.col("_tokens"))).alias("g")).distinct().orderBy("g").collect()]
+    rows = spark.createDataFrame(notices + others, "family string, text string, held boolean").withColumn("_grams", features(split_words(F.col("text"))))
+    vocabulary = [r[0] for r in rows.select(F.explode("_grams").alias("g")).distinct().orderBy("g").collect()]
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_grams", outputCol="_features").setBinary(True)
+    data = counter.transform(rows).select("family", "held", "_features", F.lit(1).cast("long").alias("_n"), F.lit(1.0).alias("_weight"))
+    sets = 0
     if background is not None:
-        lines = background.select(F.explode(anchored(F.col("text"))).alias("text")).select("text", split_words(F.col("text")).alias("_tokens"))
-        chosen = lines.orderBy(F.xxhash64("text"), "text").limit(sample).withColumn("_words", spaced(F.col("_tokens")))
-        strange = chosen.filter(F.greatest(*[_similarity(F.col("_words"), f) for f in TEMPLATES]) < 0.3)
-        rows = rows.unionByName(strange.select(F.lit(NONE).alias("family"), "text", (F.pmod(F.xxhash64("text"), F.lit(2)) == 1).alias("held"), "_tokens"))
+        seen = cut_lineage(background_features(background, counter))
+        sets, total = seen.agg(F.count(F.lit(1)), F.sum("_n")).first()
+        scaled = F.col("_n") * F.lit(min(1.0, weight / max(total or 0, 1)))
+        data = data.unionByName(seen.where("strange").select(F.lit(NONE).alias("family"), "held", "_features", "_n", scaled.alias("_weight")))
     families = [*sorted(TEMPLATES), NONE]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")) - 1
-    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="_grams", outputCol="features").setBinary(True)
-    data = counter.transform(rows.withColumn("_grams", features(F.col("_tokens")))).select("family", label.cast("double").alias("label"), "features", "held", "_tokens").coalesce(1)
-    regression = LogisticRegression(family="multinomial", regParam=0.002, maxIter=100, tol=1e-6).fit(data.filter("not held"))
+    # A fit is a chain of jobs, each over all parts.
+    data = data.withColumn("label", label.cast("double")).coalesce(1 + sets // PART_SETS)
+    regression = LogisticRegression(family="multinomial", featuresCol="_features", weightCol="_weight", regParam=0.002, maxIter=100, tol=1e-6).fit(data.filter("not held"))
     model = LicenseModel(vocabulary, regression, families, least)
-    false = model.score(data.filter("held").select("_tokens")).select(F.when(F.col("family") == NONE, 0.0).otherwise(F.col("probability")).alias("p"))
-    bound = false.agg(F.percentile("p", F.lit(1 - false_rate)).alias("p")).first()["p"]
+    false = model.judge(data.filter("held").select("_features", "_n"), ["_n"]).select(F.when(F.col("family") == NONE, 0.0).otherwise(F.col("probability")).alias("p"), "_n")
+    bound = exact_quantiles(false, "p", {"p": 1 - false_rate}, count="_n").first()["p"]
     model.believed = max(least, bound or 0.0)
     return model
 
 
+def background_features(background: DataFrame, counter: CountVectorizerModel) -> DataFrame:
+    """held, strange, _features and the number ``_n`` of the paragraphs with an anchor that share them; those that resemble a template aren't strange."""
+    lines = background.select(F.explode(anchored(F.col("text"))).alias("text")).select("text", split_words(F.col("text")).alias("_tokens"))
+    strange = F.greatest(*[_similarity(F.col("_words"), f) for f in TEMPLATES]) < 0.3
+    held = F.pmod(F.xxhash64("text"), F.lit(2)) == 1
+    marked = lines.withColumn("_words", spaced(F.col("_tokens"))).select(held.alias("held"), strange.alias("strange"), features(F.col("_tokens")).alias("_grams"))
+    return counter.transform(marked).groupBy("held", "strange", "_features").agg(F.count(F.lit(1)).alias("_n"))
+
+
 def anchored(text: Column) -> Column:
     """The paragraphs of a text, in lower case, that hold an anchor word."""
     def of(low: Column) -> Column:

@@ -269,6 +269,18 @@ def test_edge_rows_of_licences(edge, nothing, model):
     assert licenses.scan(nothing, model).count() == 0
 
 
+def test_licenses_threshold_counts_every_paragraph(spark):
+    # A common paragraph that looks like a notice, is held out and has the last hash; the fit gets little weight of it.
+    odd = spark.createDataFrame([(f"redistribution and use {i}",) for i in range(400)], "text string")
+    late = odd.where(F.pmod(F.xxhash64("text"), F.lit(2)) == 1).orderBy(F.xxhash64("text").desc()).first().text
+    docs = spark.createDataFrame([(f"license desk {i}",) for i in range(200)] + [(f"{late}\n{late}\n{late}",)] * 100, "text string")
+    model = licenses.fit(spark, docs, 2)
+    got = model.score(spark.createDataFrame([(late,)], "text string").withColumn("_tokens", licenses.split_words(F.col("text")))).first()
+    assert got.family != licenses.NONE and got.probability > 0.5
+    assert model.believed >= got.probability - 1e-9
+    assert licenses.background_features(docs, model.counter).agg(F.sum("_n")).first()[0] == 500
+
+
 def test_every_anchor_has_a_stem_and_every_template_an_anchor():
     assert all(any(s in a for s in licenses.STEMS) for a in licenses.ANCHORS)
     pairs = [" ".join(licenses._pairs(t)).split() for ts in licenses.TEMPLATES.values() for t in ts]
