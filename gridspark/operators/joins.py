@@ -11,6 +11,8 @@ from gridspark.functions.scalar import is_finite, threshold_label
 
 #: Rows of a quadtree cell from which its rows are dealt into parts, of as many rows each.
 HOT_ROWS = 200_000
+#: Quadtree cells of all boxes up to which they are broadcast.
+FEW_BOXES = 10_000
 DEEPEST = 16
 
 
@@ -40,12 +42,13 @@ def cover(regions: DataFrame) -> DataFrame:
     return out.withColumn("_whole", within("_cy", -90.0, 180.0, "s_lat", "n_lat") & within("_cx", -180.0, 360.0, "w_lon", "e_lon"))
 
 
-def region_join(cells: DataFrame, regions: DataFrame, lat: str = "lat", lon: str = "lon", hot_rows: int = HOT_ROWS) -> DataFrame:
+def region_join(cells: DataFrame, regions: DataFrame, lat: str = "lat", lon: str = "lon", hot_rows: int = HOT_ROWS, few_boxes: int = FEW_BOXES) -> DataFrame:
     """Each cell with every box (inclusive bounds) that holds it; boxes may overlap.
 
     Boxes are covered by quadtree cells of the level that fits them, and rows meet them by equality on the cell, once for
     every level in use; bounds are compared only where a cell is not wholly inside. A cell that holds many rows is dealt
-    into parts by its count, and its boxes are listed for each part.
+    into parts by its count, and its boxes are listed for each part. Boxes with few cells are broadcast instead, so that
+    no row moves.
     """
     covered = cover(regions)
     levels = covered.agg(F.collect_set("_level")).scalar()
@@ -53,13 +56,17 @@ def region_join(cells: DataFrame, regions: DataFrame, lat: str = "lat", lon: str
         "_cy": _tree_cell(F.col(lat), -90.0, 180.0, F.col("_level")), "_cx": _tree_cell(F.col(lon), -180.0, 360.0, F.col("_level")),
     })
     key = ["_level", "_cy", "_cx"]
+    inside = F.col(lat).between(F.col("s_lat"), F.col("n_lat")) & F.col(lon).between(F.col("w_lon"), F.col("e_lon"))
+    bounds = ["_whole", "s_lat", "n_lat", "w_lon", "e_lon"]
+    if covered.limit(few_boxes + 1).count() <= few_boxes:
+        return keyed.join(F.broadcast(covered), key).where(F.col("_whole") | inside).drop(*key, *bounds)
     hot = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
     hot = hot.select(*key, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
-    dealt = keyed.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*cells.columns), parts).cast("int")).drop("_parts")
+    # At most one such cell for every hot_rows rows.
+    dealt = keyed.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*cells.columns), parts).cast("int")).drop("_parts")
     listed = covered.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    inside = F.col(lat).between(F.col("s_lat"), F.col("n_lat")) & F.col(lon).between(F.col("w_lon"), F.col("e_lon"))
-    return dealt.join(listed, [*key, "_part"]).where(F.col("_whole") | inside).drop(*key, "_part", "_whole", "s_lat", "n_lat", "w_lon", "e_lon")
+    return dealt.join(listed, [*key, "_part"]).where(F.col("_whole") | inside).drop(*key, "_part", *bounds)
 
 
 def threshold_mask(layer: DataFrame, value: str, thresholds: Sequence[float]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.rng import index, key_hash
 from gridspark.operators.scan import numbered
+from gridspark.session import cut_lineage
 
 # Support needed to call an improvement likely, and classes in order of strength.
 LIKELY = 0.80
@@ -32,11 +33,11 @@ def block_bootstrap(df: DataFrame, y: str, contrasts: Mapping[str, tuple[str, st
                     by: Sequence[str] = (), seed: int = 42) -> DataFrame:
     """Paired bootstrap of the RMSE difference over spatial blocks.
 
-    Cells are reduced to one row per block first; each repetition then redraws
-    block numbers, identical for all contrasts.
+    Cells are reduced to one row per block first, in one pass; each repetition then
+    redraws block numbers, identical for all contrasts.
     """
-    stats = block_errors(df, y, contrasts, block, by)
-    blocks = numbered(df.select(*by, block).distinct(), block, [], by, "_at", total="n_blocks")
+    stats = cut_lineage(block_errors(df, y, contrasts, block, by))
+    blocks = numbered(stats.select(*by, block).distinct(), block, [], by, "_at", total="n_blocks")
     draws = blocks.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).select(
         *by, "_rep", "n_blocks", (index(key_hash(F.col("_at") - 1, seed, F.col("_rep")), F.col("n_blocks")) + 1).alias("_at")
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import ranking
+from gridspark.operators import joins, ranking, resample
 
 
 def test_rows_of_a_large_group_are_dealt_before_they_meet_their_edges(spark):
@@ -19,3 +19,19 @@ def test_rows_of_a_large_group_are_dealt_before_they_meet_their_edges(spark):
         for k, value in old.items():
             spark.conf.set(k, value)
     assert got == {(f, i): n for f, n in (("a", 790), ("b", 10)) for i in range(10)}
+
+
+def test_few_boxes_move_no_rows(spark):
+    cells = spark.range(5000).select("id", (F.col("id") % 170 - 85.0).alias("lat"), (F.col("id") % 350 - 175.0).alias("lon"))
+    boxes = spark.createDataFrame([("a", -10.0, 40.0, 0.0, 30.0), ("b", 0.0, 2.0, 0.0, 2.0)], "region string, w_lon double, e_lon double, s_lat double, n_lat double")
+    got = joins.region_join(cells, boxes)
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    pairs = lambda df: sorted((r.id, r.region) for r in df.collect())
+    assert pairs(got) == pairs(joins.region_join(cells, boxes, hot_rows=100, few_boxes=0)) != []
+
+
+def test_bootstrap_reads_the_rows_once(spark):
+    df = spark.range(400).select((F.col("id") % 20).alias("block"), (F.col("id") % 3).cast("double").alias("y"), F.lit(1.0).alias("c"), F.lit(0.5).alias("r"))
+    out = resample.block_bootstrap(df, "y", {"x": ("c", "r")}, "block", reps=50)
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first().n_blocks == 20
