@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.operators.metrics import spearman, weighted_mean
+from gridspark.operators.metrics import spearman, weighted_corr, weighted_mean
 from gridspark.operators.ranking import quantile_bins, share_within
 from gridspark.operators.scan import exact_quantiles, weighted_quantiles
+from gridspark.session import cut_lineage
 
 # Fixed value: share of the total below which no factor counts as dominant.
 DOMINANT_SHARE = 0.45
@@ -102,12 +103,23 @@ def category_curve(phi: DataFrame, category: str, min_n: int = 20, w: str = "w")
 
 
 def value_attribution_relation(phi: DataFrame, feature: str = "feature", x: str = "x") -> DataFrame:
-    """How the attribution of each feature follows its value."""
-    base = phi.groupBy(feature).agg(
-        F.corr(x, "phi").alias("pearson"), F.avg((F.col("phi") > 0).cast("double")).alias("share_positive"), F.count(F.lit(1)).alias("n")
+    """How the attribution of each feature follows its value.
+
+    Equal rows are counted in one pass; correlations, quantiles and ranks come from the counts.
+    """
+    counted = cut_lineage(phi.where(F.col(feature).isNotNull()).groupBy(feature, x, "phi").agg(F.count(F.lit(1)).alias("_n")))
+    n, p = F.col("_n"), F.col("phi")
+    both = F.when(F.col(x).isNotNull() & p.isNotNull(), n)
+    # Features are few, so their means are a map in one row; values enter the sums as distances from them.
+    mean = lambda c: F.sum(both * F.col(c)) / F.sum(both)
+    means = counted.groupBy(feature).agg(F.struct(mean(x).alias("x"), mean("phi").alias("p")).alias("m"))
+    centre = F.try_element_at(means.agg(F.map_from_entries(F.collect_list(F.struct(feature, "m")))).scalar(), F.col(feature))
+    base = counted.withColumns({"_cx": F.col(x) - centre["x"], "_cp": p - centre["p"]}).groupBy(feature).agg(
+        weighted_corr(F.col("_cx"), F.col("_cp"), both).alias("pearson"),
+        (F.sum(F.when(p > 0, n).when(p.isNotNull(), F.lit(0))) / F.sum(F.when(p.isNotNull(), n))).alias("share_positive"), F.sum(n).alias("n"),
     )
-    spread = exact_quantiles(phi, "phi", {"p05": 0.05, "p50": 0.5, "p95": 0.95}, [feature])
-    return base.join(spread, feature).join(spearman(phi, x, "phi", [feature]), feature)
+    spread = exact_quantiles(counted, "phi", {"p05": 0.05, "p50": 0.5, "p95": 0.95}, [feature], count="_n")
+    return base.join(spread, feature).join(spearman(counted, x, "phi", [feature], "_n"), feature)
 
 
 def robust_limit(phi: DataFrame, feature: str = "feature", w: str = "w", q: float = 0.99) -> DataFrame:

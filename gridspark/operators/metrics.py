@@ -157,10 +157,11 @@ def improved_share(old: Column, new: Column, y: Column, w: Column) -> Column:
     return weighted_mean(better, w) * 100.0
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation with average ranks."""
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """Rank correlation with average ranks; a row of counted rows stands for ``count`` equal rows."""
     # Rows enter as distinct (x, y) pairs with a count, so copies meet the ranks once.
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_n"))
+    valid = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = valid.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_n")) if count is None else valid.select(*by, x, y, F.col(count).alias("_n"))
     ranked = pairs
     for value, name in ((x, "_rx"), (y, "_ry")):
         counts = pairs.groupBy(*by, value).agg(F.sum("_n").alias("_rows"))

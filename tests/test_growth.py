@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gridspark.operators import joins, ranking, resample
+from gridspark.operators import attribution, joins, ranking, resample
 
 
 def test_rows_of_a_large_group_are_dealt_before_they_meet_their_edges(spark):
@@ -21,6 +21,20 @@ def test_rows_of_a_large_group_are_dealt_before_they_meet_their_edges(spark):
     assert got == {(f, i): n for f, n in (("a", 790), ("b", 10)) for i in range(10)}
 
 
+def test_relation_reads_the_rows_once(spark):
+    rows = [("a", float(i), float(i * i % 7) + 1e6) for i in range(20)] + [("a", None, 2.0), ("a", 3.0, None), ("b", 1.0, -1.0), ("b", 1.0, -1.0), (None, 1.0, 1.0)]
+    phi = spark.createDataFrame(rows, "feature string, x double, phi double")
+    got = attribution.value_attribution_relation(phi.crossJoin(spark.range(3).select(F.col("id").alias("copy"))))
+    assert "Range" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = phi.groupBy("feature").agg(F.corr("x", "phi").alias("r"), F.avg((F.col("phi") > 0).cast("double")).alias("s"), F.percentile("phi", 0.5).alias("p50"))
+    want = {r.feature: r for r in want.where("feature = 'a'").collect()}
+    found = {r.feature: r for r in got.collect()}
+    assert set(found) == {"a", "b"}
+    a = found["a"]
+    assert abs(a.pearson - want["a"].r) < 1e-9 and a.share_positive == want["a"].s and a.n == 66
+    assert found["b"].n == 6 and found["b"].p50 == -1.0 and found["b"].share_positive == 0.0 and found["b"].spearman is None
+
+
 def test_few_boxes_move_no_rows(spark):
     cells = spark.range(5000).select("id", (F.col("id") % 170 - 85.0).alias("lat"), (F.col("id") % 350 - 175.0).alias("lon"))
     boxes = spark.createDataFrame([("a", -10.0, 40.0, 0.0, 30.0), ("b", 0.0, 2.0, 0.0, 2.0)], "region string, w_lon double, e_lon double, s_lat double, n_lat double")
