@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.models.design import linear, logistic, vectorized
+from gridspark.models.two_stage import PART_CELLS
 from gridspark.operators.crops import with_group_totals
 
 SHARE_EPS = 1e-6
@@ -180,8 +181,11 @@ def softmax_share_tree(train: DataFrame, test: DataFrame, numeric: Sequence[str]
     """Boosted trees on the log share of long rows; scores of a cell become shares by softmax."""
     both = train.withColumn("_train", F.lit(True)).unionByName(test.withColumn("_train", F.lit(False)))
     data, _ = vectorized(both.withColumn("_t", F.log(F.col(y) + F.lit(SHARE_EPS))), numeric, categorical)
-    model = GBTRegressor(labelCol="_t", weightCol=w, maxIter=trees, maxDepth=max_depth, subsamplingRate=0.85, maxBins=64, seed=seed).fit(
-        data.where("_train")
-    )
+    rows = data.where("_train").select("features", "_t", w).persist()
+    # Boosting is a chain of jobs, each over all parts, so there are as many as the rows need.
+    parts = rows.coalesce(1 + rows.count() // PART_CELLS).persist()
+    model = GBTRegressor(labelCol="_t", weightCol=w, maxIter=trees, maxDepth=max_depth, subsamplingRate=0.85, maxBins=64, seed=seed).fit(parts)
+    parts.unpersist()
+    rows.unpersist()
     scored = model.transform(data.where("NOT _train")).drop("features", "_t", "_train")
     return stable_softmax(scored, "prediction", cell).drop("prediction", *[f"_ix_{c}" for c in categorical])

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gridspark.models import share
 from gridspark.operators import attribution, joins, ranking, resample
 
 
@@ -49,3 +50,19 @@ def test_bootstrap_reads_the_rows_once(spark):
     out = resample.block_bootstrap(df, "y", {"x": ("c", "r")}, "block", reps=50)
     assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.first().n_blocks == 20
+
+
+def test_trees_get_parts_by_their_rows(spark, monkeypatch):
+    seen = []
+
+    class Spy(share.GBTRegressor):
+        def fit(self, dataset, params=None):
+            seen.append(dataset.rdd.getNumPartitions())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(share, "GBTRegressor", Spy)
+    long = spark.range(400).select((F.col("id") % 10).alias("r"), F.floor(F.col("id") / 40).alias("c"), (F.floor(F.col("id") / 10) % 4).cast("string").alias("crop"),
+                                   (F.col("id") % 17 / 17).alias("x"), (F.col("id") % 5 / 10).alias("y"), F.lit(1.0).alias("w")).repartition(30)
+    out = share.softmax_share_tree(long.where("r < 8"), long.where("r >= 8"), ["x"], ["crop"], trees=2, max_depth=2)
+    assert out.count() == 80
+    assert seen == [1]
