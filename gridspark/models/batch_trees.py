@@ -81,6 +81,14 @@ class Boost:
             return self.table[np.ravel_multi_index(tuple(b), self.sizes)]
         return self.margin(b) if self.fraction else 1 / (1 + np.exp(-2 * self.margin(b)))
 
+    def importances(self) -> np.ndarray:
+        """Each feature's share of the gain of all trees."""
+        out = np.zeros(len(self.sizes))
+        for tree in self.trees:
+            inner = tree.feature >= 0
+            out += np.bincount(tree.feature[inner], tree.gain[inner] * tree.weight[inner], len(out))
+        return out / out.sum() if out.sum() > 0 else out
+
     def finish(self) -> None:
         """Tabulate the predictions of all combinations of bins, where they are few."""
         if math.prod(self.sizes) <= TABLE_CELLS:

@@ -40,6 +40,7 @@ def test_trees_are_those_of_spark(rows):
     gap = scored.join(want, "id").agg(F.max(F.abs(F.col("p") - F.col("want_p"))), F.max(F.abs(F.col("q") - F.greatest(F.lit(0.0), F.least(F.lit(1.0), "want_q"))))).first()
     assert max(gap) < 1e-9
     np.testing.assert_allclose(model.classifier.featureImportances.toArray(), p.featureImportances.toArray(), atol=0.01)
+    np.testing.assert_allclose(model.presence.importances(), model.classifier.featureImportances.toArray(), atol=1e-6)
 
 
 def test_side_by_side_is_as_each_alone_and_takes_no_more_passes(rows, monkeypatch):
